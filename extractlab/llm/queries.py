@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from extractlab.llm.op01_bpe import op1_bpe
+from extractlab.llm.op04_packing import op4_pack
 from extractlab.llm.op06_token_files import op6_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_token_files": op6_token_files}
+    return {
+        "op1_bpe": op1_bpe,
+        "op4_pack": op4_pack,
+        "op6_token_files": op6_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
