@@ -161,17 +161,18 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     generation over a basis, rounded down."""
     k = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
-    inverse = np.linalg.inv(basis)
+    inverse = np.diag(1.0 / (capacity // sizes))
     x = inverse @ demand
     for step in range(rounds):
         value, pattern = best_pattern(sizes, inverse.sum(axis=0), capacity)
-        if value <= 1 + 1e-7:
+        # The optimum is at least sum(x) / value: stop when less than half a sequence could be won.
+        if value <= 1 + 1e-7 or x.sum() * (1 - 1 / value) < max(0.5, 1e-5 * x.sum()):
             break
         direction = inverse @ pattern
         ratios = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(ratios.argmin())
         basis[:, out] = pattern
-        if step % 50 == 49:
+        if step % 400 == 399:
             inverse = np.linalg.inv(basis)
             x = np.maximum(inverse @ demand, 0)
         else:
