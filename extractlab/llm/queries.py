@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from extractlab.llm.op01_bpe import op1_bpe
+from extractlab.llm.op03_pii import op3_pii
 from extractlab.llm.op04_packing import op4_pack
 from extractlab.llm.op06_token_files import op6_token_files
 
@@ -14,6 +15,7 @@ from extractlab.llm.op06_token_files import op6_token_files
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op3_pii": op3_pii,
         "op4_pack": op4_pack,
         "op6_token_files": op6_token_files,
     }
