@@ -68,3 +68,14 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, rows: int, size: int
 def fold(df: DataFrame, key: str, modulus: int) -> DataFrame:
     """Column ``fold``: crc32 of the key as text, modulo ``modulus``."""
     return df.withColumn("fold", F.crc32(F.col(key).cast("string").cast("binary")) % modulus)
+
+
+def labelled_sample(labels: DataFrame, column: str, modulus: int, held_out: int, rows: int) -> DataFrame:
+    """At most ``rows`` labelled (doc_id, label) outside the held-out fold, in the order of a hash of the
+    id. Repeated ids take their largest label; null ids and labels are left out."""
+    usable = fold(labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()), "doc_id", modulus)
+    return (
+        usable.where(F.col("fold") != held_out)
+        .groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    )

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from extractlab.llm.op01_bpe import op1_bpe
 from extractlab.llm.op03_pii import op3_pii
 from extractlab.llm.op04_packing import op4_pack
+from extractlab.llm.op05_quality import op5_quality
 from extractlab.llm.op06_token_files import op6_token_files
+from extractlab.llm.op07_language import op7_language
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,7 +19,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op3_pii": op3_pii,
         "op4_pack": op4_pack,
+        "op5_quality": op5_quality,
         "op6_token_files": op6_token_files,
+        "op7_language": op7_language,
     }
 
 
