@@ -141,26 +141,37 @@ def encoded_with(documents: DataFrame, outputs: dict, tokenizer: str | None = No
     path = tokenizer or default_path()
     least = mean // 4
 
-    def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = pa.struct({"at": pa.int64(), "size": pa.int32(), "digest": pa.binary()})
-        types = {"doc_id": pa.int64(), "doc_key": pa.binary(), "packed": pa.binary(), "chunks": pa.list_(chunk)}
-        squeeze = zstandard.ZstdCompressor(level=1)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, bytes, bytes]]]:
+        """(doc_id, key, text) rows; equal rows have equal keys."""
         for b in bounded(batches, "text", 1000, 8 << 20):
+            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
+            ids = b.column(0).to_pylist()
+            yield [(d, _digest(b"%r " % d + t), t) for d, t in zip(ids, texts, strict=True)]
+
+    def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"doc_key": pa.binary(), "at": pa.int64(), "size": pa.int32(), "digest": pa.binary()}
+        for batch in rows(batches):
             out: dict[str, list] = {k: [] for k in types}
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = (text or "").encode()
+            for _, key, data in batch:
                 ends = boundaries(data, mean, least)
-                chunks = [{"at": s, "size": e - s, "digest": _digest(data[s:e])} for s, e in zip([0, *ends], ends, strict=False)]
-                for k, v in zip(types, (doc, _digest(b"%r " % doc + data), squeeze.compress(data), chunks), strict=True):
-                    out[k].append(v)
+                for s, e in zip([0, *ends], ends, strict=False):
+                    for k, v in zip(types, (key, s, e - s, _digest(data[s:e])), strict=True):
+                        out[k].append(v)
             yield batch_of(types, out)
 
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"doc_id": pa.int64(), "doc_key": pa.binary(), "packed": pa.binary()}
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in rows(batches):
+            ids, keys, texts = zip(*batch, strict=True)
+            yield batch_of(types, {"doc_id": list(ids), "doc_key": list(keys), "packed": [pack(t) for t in texts]})
+
     def encode_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, types = encoder(path), {"digest": pa.binary(), "ids": pa.binary()}
         open_ = zstandard.ZstdDecompressor()
         for b in bounded(batches, "packed", 500, 4 << 20):
             out: dict[str, list] = {"digest": [], "ids": []}
-            for packed, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for packed, own in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 data = open_.decompress(packed)
                 for c in own:
                     ids = enc.encode(data[c["at"] : c["at"] + c["size"]].decode())
@@ -175,7 +186,7 @@ def encoded_with(documents: DataFrame, outputs: dict, tokenizer: str | None = No
         open_ = zstandard.ZstdDecompressor()
         for b in bounded(batches, "packed", 500, 4 << 20):
             out: dict[str, list] = {k: [] for k in types}
-            for doc, packed, own in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, packed, own in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 shared = {c["at"]: (c["size"], np.frombuffer(c["ids"], width).astype(np.uint32)) for c in own or []}
                 ids = assemble(enc, open_.decompress(packed), shared)
                 out["doc_id"].append(doc)
@@ -183,11 +194,12 @@ def encoded_with(documents: DataFrame, outputs: dict, tokenizer: str | None = No
                     out[k].append(make(enc, ids))
             yield batch_of(types, out)
 
-    # The one shuffle of the texts; each use below reads this exchange again.
-    docs = documents.select("doc_id", "text").mapInArrow(
-        fingerprint, "doc_id bigint, doc_key binary, packed binary, chunks array<struct<at:bigint,size:int,digest:binary>>"
-    ).repartition("doc_key")
-    places = docs.select("doc_key", F.explode("chunks").alias("c")).select("doc_key", "c.at", "c.size", "c.digest")
+    texts = documents.select("doc_id", "text")
+    # The one shuffle of the texts. Both joins below read it with equal columns and filters, so Spark
+    # reuses the exchange.
+    docs = texts.mapInArrow(squeeze, "doc_id bigint, doc_key binary, packed binary")
+    docs = docs.where("doc_key IS NOT NULL").repartition("doc_key")
+    places = texts.mapInArrow(fingerprint, "doc_key binary, at bigint, size int, digest binary")
     repeated = (
         places.groupBy("digest")
         .agg(F.count("*").alias("n"), F.min(F.struct("doc_key", "at", "size")).alias("owner"))
@@ -196,13 +208,13 @@ def encoded_with(documents: DataFrame, outputs: dict, tokenizer: str | None = No
     owners = repeated.groupBy(F.col("owner.doc_key").alias("doc_key")).agg(
         F.collect_list(F.struct(F.col("owner.at").alias("at"), F.col("owner.size").alias("size"), "digest")).alias("own")
     )
-    shared = docs.join(owners, "doc_key").select("packed", "own").mapInArrow(encode_shared, "digest binary, ids binary")
+    shared = docs.join(owners, "doc_key").select("doc_id", "doc_key", "packed", "own").mapInArrow(encode_shared, "digest binary, ids binary")
     reused = (
         places.join(shared, "digest")
         .groupBy("doc_key")
         .agg(F.collect_list(F.struct("at", "size", "ids")).alias("reused"))
     )
-    return docs.join(reused, "doc_key", "left").select("doc_id", "packed", "reused").mapInArrow(
+    return docs.join(reused, "doc_key", "left").select("doc_id", "doc_key", "packed", "reused").mapInArrow(
         finish, ", ".join(["doc_id bigint", *(f"{k} {sql}" for k, (sql, _, _) in outputs.items())])
     )
 
