@@ -12,6 +12,8 @@ from extractlab.llm.op04_packing import op4_pack
 from extractlab.llm.op05_quality import op5_quality
 from extractlab.llm.op06_token_files import op6_token_files
 from extractlab.llm.op07_language import op7_language
+from extractlab.llm.op09_toxicity import op9_toxicity
+from extractlab.llm.op10_minhash import op10_minhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": op5_quality,
         "op6_token_files": op6_token_files,
         "op7_language": op7_language,
+        "op9_toxicity": op9_toxicity,
+        "op10_minhash": op10_minhash,
     }
 
 
