@@ -65,6 +65,13 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, rows: int, size: int
             yield b.slice(start)
 
 
+def reading(documents: DataFrame, keep: list[str]) -> tuple[DataFrame, str, int]:
+    """The columns ``keep`` and the text, once; the text's name and its place."""
+    if "text" in keep:
+        return documents.select(*keep), "text", keep.index("text")
+    return documents.select(*keep, "text"), "text", len(keep)
+
+
 def fold(df: DataFrame, key: str, modulus: int) -> DataFrame:
     """Column ``fold``: crc32 of the key as text, modulo ``modulus``."""
     return df.withColumn("fold", F.crc32(F.col(key).cast("string").cast("binary")) % modulus)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from extractlab.llm.common import batch_of, bounded, fold, labelled_sample, table
+from extractlab.llm.common import batch_of, bounded, fold, labelled_sample, reading, table
 
 FIT_ROWS = 12_000
 BUCKETS = 1 << 14
@@ -160,16 +160,16 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mach
     )
 
 
-def score(documents: DataFrame, model: Machine, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (doc_id if not given) and ``score``, the probability of good quality."""
+def score(documents: DataFrame, model: Machine, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns ``keep`` (doc_id if not given) and the probability of good quality as ``name``."""
     keep = keep or ["doc_id"]
     shared = documents.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    schema = documents.select(*keep).schema.add("score", "double")
-    at = len(keep)
+    schema = documents.select(*keep).schema.add(name, "double")
+    read, column, at = reading(documents, keep)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in bounded(batches, "text_read", 500, 4 << 20):
+        for b in bounded(batches, column, 500, 4 << 20):
             index, value, sizes = [], [], []
             for text in b.column(at).to_pylist():
                 words = (text or "").split()
@@ -182,9 +182,9 @@ def score(documents: DataFrame, model: Machine, keep: list[str] | None = None) -
                 starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
                 z = m.logits(np.concatenate(index), np.concatenate(value), starts).astype(float)
                 p = pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))
-                yield pa.RecordBatch.from_arrays([*b.columns[:at], p], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], p], names=[*keep, name])
 
-    return documents.select(*keep, F.col("text").alias("text_read")).mapInArrow(scored, schema)
+    return read.mapInArrow(scored, schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

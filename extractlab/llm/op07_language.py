@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from extractlab.llm.common import batch_of, bounded, fold, table
+from extractlab.llm.common import batch_of, bounded, fold, reading, table
 
 #: ISO 639-1 codes by family.
 FAMILIES = {
@@ -188,16 +188,16 @@ def train(documents: DataFrame, rows: int = FIT_ROWS) -> Hierarchy:
     return fit([(r["lang"], np.frombuffer(r["index"], np.uint16).astype(np.int64), np.frombuffer(r["value"], np.float32)) for r in found])
 
 
-def predict(documents: DataFrame, model: Hierarchy, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (doc_id if not given), ``lang_pred`` and ``score``."""
+def predict(documents: DataFrame, model: Hierarchy, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` (doc_id if not given), the language and the score under ``names``."""
     keep = keep or ["doc_id"]
     shared = documents.sparkSession.sparkContext.broadcast(model)  # of fixed size for the languages learned
-    schema = documents.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    at = len(keep)
+    schema = documents.select(*keep).schema.add(names[0], "string").add(names[1], "double")
+    read, column, at = reading(documents, keep)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in bounded(batches, "text_read", 300, 2 << 20):
+        for b in bounded(batches, column, 300, 2 << 20):
             texts = [t or "" for t in b.column(at).to_pylist()]
             found, edges = ngrams(texts)
             lead, total = np.zeros((len(texts), len(m.machines))), np.zeros(len(texts))
@@ -211,9 +211,9 @@ def predict(documents: DataFrame, model: Hierarchy, keep: list[str] | None = Non
             lead = shares(lead, 1.0) / np.maximum(1.0, total)[:, None] + m.bias
             out = [m.decide(lead[i]) if _LETTER.search(t) else (UNDETERMINED, 0.0) for i, t in enumerate(texts)]
             lang, p = pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], lang, p], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], lang, p], names=[*keep, *names])
 
-    return documents.select(*keep, F.col("text").alias("text_read")).mapInArrow(predicted, schema)
+    return read.mapInArrow(predicted, schema)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

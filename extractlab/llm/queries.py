@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from extractlab.llm.op01_bpe import op1_bpe
+from extractlab.llm.op02_near_vectors import op2_near_vectors
 from extractlab.llm.op03_pii import op3_pii
 from extractlab.llm.op04_packing import op4_pack
 from extractlab.llm.op05_quality import op5_quality
 from extractlab.llm.op06_token_files import op6_token_files
 from extractlab.llm.op07_language import op7_language
+from extractlab.llm.op08_neighbours import op8_neighbours
 from extractlab.llm.op09_toxicity import op9_toxicity
 from extractlab.llm.op10_minhash import op10_minhash
 
@@ -19,11 +21,13 @@ from extractlab.llm.op10_minhash import op10_minhash
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_near_vectors": op2_near_vectors,
         "op3_pii": op3_pii,
         "op4_pack": op4_pack,
         "op5_quality": op5_quality,
         "op6_token_files": op6_token_files,
         "op7_language": op7_language,
+        "op8_neighbours": op8_neighbours,
         "op9_toxicity": op9_toxicity,
         "op10_minhash": op10_minhash,
     }
