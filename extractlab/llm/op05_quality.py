@@ -88,9 +88,11 @@ def binned(stats: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return BUCKETS + np.arange(_STATISTICS) * BINS + (stats[:, None] > edges).sum(axis=1)
 
 
-def fit(stats: np.ndarray, indices: list[np.ndarray], values: list[np.ndarray], label: np.ndarray, epochs: int = 6, batch: int = 256, rate: float = 0.02, decay: float = 1e-4) -> Machine:
-    """Logistic loss, Adam steps on small batches."""
+def fit(stats: np.ndarray, indices: list[np.ndarray], values: list[np.ndarray], label: np.ndarray, epochs: int = 6, steps: int = 400, rate: float = 0.02, decay: float = 1e-4) -> Machine:
+    """Logistic loss, Adam steps on small batches: as many epochs, and more on few rows until there are enough steps."""
     size = BUCKETS + _STATISTICS * BINS
+    batch = 256 if len(label) >= 4096 else 64
+    epochs = max(epochs, -(-steps * batch // max(1, len(label))))
     edges = np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(stats) else np.zeros((_STATISTICS, BINS - 1))
     share = label.mean() if len(label) else 0.5
     random = np.random.default_rng(5)
