@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from extractlab.plans import scalars  # noqa: F401  registers its queries
+from extractlab.plans import operations, recognition, scalars  # noqa: F401  they register their queries
 from extractlab.plans.registry import ORACLES, QUERIES
 
 
