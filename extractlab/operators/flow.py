@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from extractlab.operators.ordered import in_order
+
 #: Fixed values, in seconds: silence that ends a session, the album's quiet time, the lock window.
 INACTIVITY, ALBUM_QUIET, LOCK_WINDOW = 900, 2, 900
 LOCK_FAILURES = 5
@@ -87,20 +89,49 @@ def lockouts(attempts: DataFrame) -> DataFrame:
     recorded, so the window's content depends on earlier decisions: an ordered fold over each owner's own
     attempts, of which at most ``LOCK_FAILURES`` are held."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(group: Iterator[tuple]) -> Iterator[tuple]:
         failures: deque[int] = deque()
-        out = []
-        for r in rows.sort_values(["t", "event_id"]).itertuples():
-            while failures and failures[0] <= r.t - LOCK_WINDOW:
+        for owner, t, event, correct in group:
+            while failures and failures[0] <= t - LOCK_WINDOW:
                 failures.popleft()
             if len(failures) >= LOCK_FAILURES:
-                out.append((r.owner, r.event_id, "locked", failures[0] + LOCK_WINDOW - r.t))
-            elif r.correct:
+                yield owner, event, "locked", failures[0] + LOCK_WINDOW - t
+            elif correct:
                 failures.clear()
-                out.append((r.owner, r.event_id, "accepted", None))
+                yield owner, event, "accepted", None
             else:
-                failures.append(r.t)
-                out.append((r.owner, r.event_id, "locked" if len(failures) >= LOCK_FAILURES else "refused", None))
-        return pd.DataFrame(out, columns=["owner", "event_id", "result", "retry_after"])
-
-    return attempts.groupBy("owner").applyInPandas(fold, "owner long, event_id long, result string, retry_after long")
+                failures.append(t)
+                yield owner, event, "locked" if len(failures) >= LOCK_FAILURES else "refused", None
+
+    part = attempts.select("owner", "t", "event_id", "correct")
+    return in_order(part, "owner", ["t", "event_id"], fold, "owner bigint, event_id bigint, result string, retry_after bigint")
+
+
+def busy_seconds(events: DataFrame, time: str, window: int) -> DataFrame:
+    """For each second with events, how many fall in the ``window`` seconds that end with it. Seconds are dealt
+    out in blocks of that length, each with a copy of the block before, so no task sees the whole line."""
+    counts = events.groupBy(time).agg(F.count("*").alias("n"))
+    block = F.floor(F.col(time) / window)
+    dealt = counts.withColumn("_own", block).withColumn("_block", F.explode(F.array(block, block + 1)))
+    by = Window.partitionBy("_block").orderBy(time).rangeBetween(-(window - 1), 0)
+    return dealt.withColumn("recent", F.sum("n").over(by)).where(F.col("_own") == F.col("_block")).select(time, "n", "recent")
+
+
+def retained(seen: DataFrame, owner: str, item: str, limit: int, keep: int) -> DataFrame:
+    """Owners with more than ``limit`` items keep their ``keep`` largest, others all."""
+    sizes = seen.groupBy(owner).agg(F.count("*").alias("_size"))
+    rank = F.row_number().over(Window.partitionBy(owner).orderBy(F.col(item).desc()))
+    return seen.withColumn("_rank", rank).join(sizes, owner).where((F.col("_size") <= limit) | (F.col("_rank") <= keep)).select(owner, item)
+
+
+def replayed(calls: DataFrame, budgets: DataFrame, case: str, order: str, seconds: str, rejects: Column) -> DataFrame:
+    """How each case ends under each budget: timeout at the first call whose running total exceeds it, mixed at
+    the first rejecting one if that comes first, else complete. Traces are scanned once for all budgets."""
+    running = F.sum(seconds).over(Window.partitionBy(case).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = calls.withColumn("_spent", running).withColumn("_reject", rejects)
+    # A handful of budgets: the policies to be replayed, not data.
+    each = rows.crossJoin(F.broadcast(budgets)).groupBy(case, "budget").agg(
+        F.min(F.when(F.col("_spent") > F.col("budget"), F.col(order))).alias("late"), F.min(F.when(F.col("_reject"), F.col(order))).alias("mixed")
+    )
+    late_first = F.col("late").isNotNull() & (F.col("mixed").isNull() | (F.col("late") <= F.col("mixed")))
+    return each.select(case, "budget", F.when(late_first, "timeout").when(F.col("mixed").isNotNull(), "mixed").otherwise("complete").alias("state"))
