@@ -35,6 +35,7 @@ from extractlab.llm.common import batch_of, bounded, fold, labelled_sample, tabl
 
 FIT_ROWS = 20_000
 LEXICON = 20_000
+TALLY = 50_000
 PRIOR = 1000.0
 #: Least documents of the toxic class that hold an entry, and least z-score of its log-odds.
 SUPPORT, SIGNIFICANCE = 3, 3.0
@@ -142,17 +143,23 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mode
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Entries with the documents of each class that hold them, once for each task. A text that
-        repeats a word counts once, so that repetitive texts don't make their words look toxic."""
+        """Entries with the documents of each class that hold them, summed over runs of documents that hold
+        at most about ``TALLY`` entries. A text that repeats a word counts once, so that repetitive texts
+        don't make their words look toxic."""
+        types = {"entry": pa.string(), "clean": pa.int64(), "toxic": pa.int64()}
         tally: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for b in bounded(batches, "text", 500, 4 << 20):
+
+        def summed() -> pa.RecordBatch:
+            return batch_of(types, {"entry": list(tally), "clean": [v[0] for v in tally.values()], "toxic": [v[1] for v in tally.values()]})
+
+        for b in bounded(batches, "text", 200, 1 << 20):
             for label, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                own = {e for w in set(tokens(text)) for e in entries(w)}
-                for e in own:
+                for e in {e for w in set(tokens(text)) for e in entries(w)}:
                     tally[e][label] += 1
-        types = {"entry": pa.string(), "clean": pa.int64(), "toxic": pa.int64()}
-        columns = {"entry": list(tally)} | {k: [v[i] for v in tally.values()] for i, k in enumerate(list(types)[1:])}
-        yield batch_of(types, columns)
+                if len(tally) >= TALLY:
+                    yield summed()
+                    tally.clear()
+        yield summed()
 
     counted = written(
         labelled.mapInArrow(count, "entry string, clean bigint, toxic bigint")
