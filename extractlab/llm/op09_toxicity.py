@@ -179,8 +179,9 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mode
     for r in wanted:
         share = (corpus.get(r["entry"], 0) + 0.5) / max(1, size)
         prior = PRIOR * share
-        a, b = r["toxic"] + prior, r["clean"] + prior
-        odds = math.log(a / (toxic + PRIOR - a)) - math.log(b / (clean + PRIOR - b))
+        # Half a count more on both sides: the corpus gives rare words next to no prior of their own.
+        a, b = r["toxic"] + prior + 0.5, r["clean"] + prior + 0.5
+        odds = math.log(a / (toxic + PRIOR + 1 - a)) - math.log(b / (clean + PRIOR + 1 - b))
         if odds / math.sqrt(1 / a + 1 / b) >= SIGNIFICANCE:
             picked[r["entry"]] = (odds, b / (clean + PRIOR))
     loss = -math.log(1 - DENSITY)
