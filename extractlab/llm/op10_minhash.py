@@ -5,7 +5,8 @@
    for it from here on.
 2. Bands of ``ROWS`` values bring candidates together. Within a bucket everything is first paired with
    its smallest member; after these pairs are settled, only buckets that still hold several components
-   compare across components, in blocks of signatures, so a bucket of near copies costs no square.
+   compare across components, in blocks, so a bucket of near copies costs no square. A pair is examined
+   in the first bucket that it shares, and verified there; what comes back are links, not pairs.
 3. A pair's signatures are compared batch by batch; it is dropped as soon as the posterior chance that
    its similarity reaches the threshold falls under ``MISS``.
 4. Surviving pairs are verified on the full sets, the most similar partner of each document first, then
@@ -39,7 +40,7 @@ STEP = 16
 MISS = 1e-6
 #: A link: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
-BLOCK = 1024
+BLOCK = 512
 
 _P = 0x9E3779B97F4A7C15
 _RANDOM = np.random.default_rng(10)
@@ -136,19 +137,24 @@ def describe(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, signature binary")
 
 
+def bands_of(signatures: np.ndarray) -> np.ndarray:
+    """The bucket of each signature in each band."""
+    s = signatures.astype(np.uint64)
+    key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(s), axis=0)
+    for r in range(ROWS):
+        key = mixed(key * np.uint64(_P) ^ s[:, r : BANDS * ROWS : ROWS])
+    return key.view(np.int64)
+
+
 def banded(classes: DataFrame) -> DataFrame:
     """(bucket, doc_id): a row for each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            s = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, HASHES).astype(np.uint64)
-            key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(s), axis=0)
-            for r in range(ROWS):
-                key = mixed(key * np.uint64(_P) ^ s[:, r : BANDS * ROWS : ROWS])
-            ids = np.repeat(np.array(b.column(0).to_pylist(), np.int64), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], names=["bucket", "doc_id"])
+            if b.num_rows:
+                key = bands_of(np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, HASHES))
+                ids = np.repeat(np.array(b.column(0).to_pylist(), np.int64), BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(ids)], names=["bucket", "doc_id"])
 
     return classes.select("doc_id", "signature").mapInArrow(run, "bucket bigint, doc_id bigint")
 
@@ -198,9 +204,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
             for i, j, p, q in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if i != last:
                     last, x = i, shingles(unpack(p).decode())
-                y = shingles(unpack(q).decode())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= threshold * (len(x) + len(y) - both):
+                if similar(x, shingles(unpack(q).decode()), threshold):
                     linked.append((i, j))
             yield batch_of({"u": pa.int64(), "v": pa.int64()}, {"u": [i for i, _ in linked], "v": [j for _, j in linked]})
 
@@ -216,33 +220,55 @@ def apart(rows: DataFrame, components: DataFrame, *names: str) -> DataFrame:
     return rows
 
 
-def across(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Surviving pairs of members (bucket, doc_id, doc_id_root) of one bucket in different components.
-    Large buckets are dealt out as pairs of blocks."""
+def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= threshold * (len(x) + len(y) - both)
+
+
+def across(members: DataFrame, classes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Links (u, v) between members (bucket, doc_id, doc_id_root) of one bucket in different components.
+    Large buckets are dealt out as pairs of blocks. Within a task, members that a link has joined are not
+    compared again."""
     sizes = written(members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "minhash-blocks")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = (
         members.join(sizes, "bucket").withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", "doc_id", "doc_id_root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .join(classes.select("doc_id", "signature"), "doc_id")
+        .join(classes.select("doc_id", "signature"), "doc_id").join(texts, "doc_id")
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
+        unpack = zstandard.ZstdDecompressor().decompress
         s = np.frombuffer(b"".join(group["signature"]), "<u4").reshape(-1, HASHES)
-        ids, root, block = (group[k].to_numpy() for k in ("doc_id", "doc_id_root", "own"))
-        i, j = group["i"].iat[0], group["j"].iat[0]
+        keys = bands_of(s)
+        ids, block, packed = (group[k].to_numpy() for k in ("doc_id", "own", "packed"))
+        _, root = np.unique(group["doc_id_root"].to_numpy(), return_inverse=True)
+        i, j, bucket = group["i"].iat[0], group["j"].iat[0], group["bucket"].iat[0]
+        sets: dict[int, np.ndarray] = {}
+
+        def full(row: int) -> np.ndarray:
+            if row not in sets:
+                sets[row] = shingles(unpack(packed[row]).decode())
+            return sets[row]
+
         out = []
         right = np.flatnonzero(block == j)
         for x in np.flatnonzero(block == i):
             y = right[root[right] != root[x]]
             if i == j:
-                y = y[ids[y] > ids[x]]
+                y = y[y > x]
+            if not len(y):
+                continue
+            y = y[keys[y, (keys[y] == keys[x]).argmax(axis=1)] == bucket]
             rows, matches = surviving(np.broadcast_to(s[x], (len(y), HASHES)), s[y])
-            out += zip(np.minimum(ids[x], ids[y[rows]]), np.maximum(ids[x], ids[y[rows]]), matches, strict=True)
-        return pd.DataFrame(out, columns=["a", "b", "matches"])
+            for z in y[rows[np.argsort(-matches, kind="stable")]].tolist():
+                if root[z] != root[x] and similar(full(x), full(z), threshold):
+                    out.append((ids[x], ids[z]))
+                    root[root == root[z]] = root[x]
+        return pd.DataFrame(out, columns=["u", "v"])
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a bigint, b bigint, matches bigint").distinct()
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "u bigint, v bigint")
 
 
 def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -278,9 +304,7 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFra
     members = apart(bands.join(buckets.where("n > 2").select("bucket"), "bucket"), components, "doc_id")
     members = written(members, "minhash-members")
     split = members.groupBy("bucket").agg(F.min("doc_id_root").alias("x"), F.max("doc_id_root").alias("y")).where("x <> y").select("bucket")
-    found = written(across(members.join(split, "bucket"), classes), "minhash-across")
-    open_ = found.join(survivors, ["a", "b"], "left_anti")
-    last = written(verified(open_, texts, threshold), "minhash-links")
+    last = written(across(members.join(split, "bucket"), classes, texts, threshold), "minhash-links")
     if not last.isEmpty():
         components = written(connected_components(links.unionByName(last)), "minhash-components")
     by_class = apart(classes.select("digest", "doc_id"), components, "doc_id").select("digest", F.col("doc_id_root").alias("component"))
