@@ -2,7 +2,7 @@
 
 1. Words of labelled documents are counted by class; words and stems that the toxic class
    favours become the lexicon (at most ``LEXICON`` entries). The Dirichlet prior of their log-odds is
-   their count over all documents, scaled to ``PRIOR`` pseudo-words.
+   their count over all documents, scaled to at most ``PRIOR`` pseudo-words.
 2. A token's score is the logarithm of its likelihood in a toxic passage against the background: the
    entry's shrunken log-odds, or for any other token a small loss.
 3. A linear scan finds every maximal scoring segment of a text. Its score is turned into the
@@ -175,15 +175,16 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mode
         .orderBy((F.log(ratio) * F.sqrt("toxic")).desc(), "entry").limit(LEXICON).collect()
     )
     corpus, size = corpus_counts(documents, [r["entry"] for r in wanted])
+    weight = min(PRIOR, toxic / 10)  # the prior must not outweigh what few labels say
     picked: dict[str, tuple[float, float]] = {}
     for r in wanted:
         share = (corpus.get(r["entry"], 0) + 0.5) / max(1, size)
-        prior = PRIOR * share
+        prior = weight * share
         # Half a count more on both sides: the corpus gives rare words next to no prior of their own.
         a, b = r["toxic"] + prior + 0.5, r["clean"] + prior + 0.5
-        odds = math.log(a / (toxic + PRIOR + 1 - a)) - math.log(b / (clean + PRIOR + 1 - b))
+        odds = math.log(a / (toxic + weight + 1 - a)) - math.log(b / (clean + weight + 1 - b))
         if odds / math.sqrt(1 / a + 1 / b) >= SIGNIFICANCE:
-            picked[r["entry"]] = (odds, b / (clean + PRIOR))
+            picked[r["entry"]] = (odds, b / (clean + weight))
     loss = -math.log(1 - DENSITY)
     model = Model({e: min(odds + math.log(DENSITY) + 2, MOST_SCORE) for e, (odds, _) in picked.items()}, loss)
     model.gains = {e: g for e, g in model.gains.items() if g >= LEAST_SCORE}
