@@ -14,6 +14,8 @@ from extractlab.llm.common import table, written
 
 #: A document goes if its language is undetermined or less certain than this.
 LEAST_CERTAINTY = 0.2
+#: Near copies share at least so many hundredths of their shingles (op10_minhash alone takes 85).
+NEAR = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id. Null ids stay."""
-    found = op10_minhash.near_duplicates(docs)
+    found = op10_minhash.near_duplicates(docs, NEAR)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 

@@ -109,10 +109,17 @@ def least_matches(threshold: float = THRESHOLD / 100, miss: float = MISS) -> lis
     return out
 
 
-def surviving(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bands_for(threshold: int) -> int:
+    """``BANDS``, or as many as it takes that a pair at the threshold shares no bucket with a chance of at
+    most ``MISS``; from 77 on the hashes suffice for that."""
+    apart = 1 - (threshold / 100) ** ROWS
+    return next((n for n in range(BANDS, HASHES // ROWS) if apart**n <= MISS), HASHES // ROWS)
+
+
+def surviving(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the signature pairs that pass every batch, and their numbers of matches."""
     alive, matches, done = np.arange(len(a)), np.zeros(len(a), np.int64), 0
-    for n, least in least_matches():
+    for n, least in least_matches(threshold / 100):
         matches = matches + (a[alive, done:n] == b[alive, done:n]).sum(axis=1)
         keep = matches >= least
         alive, matches, done = alive[keep], matches[keep], n
@@ -137,29 +144,29 @@ def describe(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, signature binary")
 
 
-def bands_of(signatures: np.ndarray) -> np.ndarray:
+def bands_of(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """The bucket of each signature in each band."""
     s = signatures.astype(np.uint64)
-    key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(s), axis=0)
+    key = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None, :], len(s), axis=0)
     for r in range(ROWS):
-        key = mixed(key * np.uint64(_P) ^ s[:, r : BANDS * ROWS : ROWS])
+        key = mixed(key * np.uint64(_P) ^ s[:, r : bands * ROWS : ROWS])
     return key.view(np.int64)
 
 
-def banded(classes: DataFrame) -> DataFrame:
+def banded(classes: DataFrame, bands: int) -> DataFrame:
     """(bucket, doc_id): a row for each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                key = bands_of(np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, HASHES))
-                ids = np.repeat(np.array(b.column(0).to_pylist(), np.int64), BANDS)
+                key = bands_of(np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, HASHES), bands)
+                ids = np.repeat(np.array(b.column(0).to_pylist(), np.int64), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(ids)], names=["bucket", "doc_id"])
 
     return classes.select("doc_id", "signature").mapInArrow(run, "bucket bigint, doc_id bigint")
 
 
-def screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def screened(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) that pass the sequential comparison, with their matches."""
     sides = [classes.select(F.col("doc_id").alias(k), F.col("signature").alias(f"signature_{k}")) for k in ("a", "b")]
 
@@ -168,7 +175,7 @@ def screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(-1, HASHES) for i in (2, 3))
-                rows, matches = surviving(x, y)
+                rows, matches = surviving(x, y, threshold)
                 taken = b.take(pa.array(rows))
                 yield batch_of(types, {"a": taken.column(0).to_pylist(), "b": taken.column(1).to_pylist(), "matches": matches})
 
@@ -229,6 +236,7 @@ def across(members: DataFrame, classes: DataFrame, texts: DataFrame, threshold:
     """Links (u, v) between members (bucket, doc_id, doc_id_root) of one bucket in different components.
     Large buckets are dealt out as pairs of blocks. Within a task, members that a link has joined are not
     compared again."""
+    bands = bands_for(threshold)
     sizes = written(members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "minhash-blocks")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = (
@@ -241,7 +249,7 @@ def across(members: DataFrame, classes: DataFrame, texts: DataFrame, threshold:
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         s = np.frombuffer(b"".join(group["signature"]), "<u4").reshape(-1, HASHES)
-        keys = bands_of(s)
+        keys = bands_of(s, bands)
         ids, block, packed = (group[k].to_numpy() for k in ("doc_id", "own", "packed"))
         _, root = np.unique(group["doc_id_root"].to_numpy(), return_inverse=True)
         i, j, bucket = group["i"].iat[0], group["j"].iat[0], group["bucket"].iat[0]
@@ -261,7 +269,7 @@ def across(members: DataFrame, classes: DataFrame, texts: DataFrame, threshold:
             if not len(y):
                 continue
             y = y[keys[y, (keys[y] == keys[x]).argmax(axis=1)] == bucket]
-            rows, matches = surviving(np.broadcast_to(s[x], (len(y), HASHES)), s[y])
+            rows, matches = surviving(np.broadcast_to(s[x], (len(y), HASHES)), s[y], threshold)
             for z in y[rows[np.argsort(-matches, kind="stable")]].tolist():
                 if root[z] != root[x] and similar(full(x), full(z), threshold):
                     out.append((ids[x], ids[z]))
@@ -278,14 +286,14 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFra
     classes = written(
         full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "minhash-classes"
     )
-    bands = banded(classes)
+    bands = banded(classes, bands_for(threshold))
     buckets = written(
         bands.groupBy("bucket").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1"), "minhash-buckets"
     )
     stars = (
         bands.join(buckets, "bucket").where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     )
-    survivors = written(screened(stars, classes), "minhash-survivors")
+    survivors = written(screened(stars, classes, threshold), "minhash-survivors")
     wanted = (
         buckets.where("n > 2").join(bands, "bucket").select("doc_id")
         .unionByName(survivors.select(F.col("a").alias("doc_id"))).unionByName(survivors.select(F.col("b").alias("doc_id")))

@@ -356,6 +356,35 @@ def test_near_duplicates(spark, docs, empty):
     assert op10_minhash.near_duplicates(empty).count() == 0
 
 
+def test_pipeline_drops_near_copies_from_0_8(spark):
+    """The stage against brute force at 0.8, with chains that only links under 0.85 hold together."""
+    import corpus_pipeline
+    from extractlab.llm.components import roots
+
+    rows = []
+    for i in range(80):
+        w, v = ([f"{c}{i}x{k}" for k in range(104)] for c in "wv")  # ten words at an end cost ten of 100 shingles
+        rows += [" ".join(x) for x in (w, w[:94] + v[94:], v[:10] + w[10:94] + v[94:])]
+    rows = list(enumerate(rows))
+    sets = {i: shingle_set(t) for i, t in rows}
+    part = {(i, j): 100 * len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in range(i + 1, min(i + 3, len(rows)))}
+    links = [p for p, share in part.items() if share >= 80]
+    assert len(links) == 160 and max(part.values()) < 85
+    root = roots(iter(links))
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({root.get(i, i) for i in sets})
+
+
+def test_bands_reach_the_threshold():
+    assert op10_minhash.bands_for(85) == op10_minhash.BANDS and op10_minhash.bands_for(80) == 27
+    r = np.random.default_rng(4)
+    a = r.integers(0, 2**32, (20000, op10_minhash.HASHES), dtype=np.uint32)
+    b = np.where(r.random(a.shape) < 0.8, a, a + np.uint32(1))
+    assert len(op10_minhash.surviving(a, b, 80)[0]) >= 19998
+    same = op10_minhash.bands_of(a, 27) == op10_minhash.bands_of(b, 27)
+    assert same.any(axis=1).all()
+
+
 def test_pruning_keeps_similar_pairs():
     """At the threshold itself, fewer than one pair in ten thousand is lost to the sequential comparison."""
     r = np.random.default_rng(3)
