@@ -68,6 +68,26 @@ def test_forest_recall_at_the_threshold():
     assert met.all()
 
 
+@pytest.mark.parametrize("depth", [10, 12])
+def test_forest_keeps_a_hot_group_together(depth):
+    """A third of all vectors are near copies: all their links at the threshold meet in some leaf."""
+    r = np.random.default_rng(6)
+    v = r.normal(size=(12000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[:4000] = v[0] + np.sqrt(0.0142 / 64) * r.normal(size=(4000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    forest = op02_near_vectors.Forest.fit(v[r.permutation(12000)[:8192]], 64, depth, op02_near_vectors.TREES, 0.98)
+    group = v[:1500]
+    met = np.zeros((1500, 1500), bool)
+    for row, node in forest.leaves(group):
+        names, column = np.unique(node, return_inverse=True)
+        inside = np.zeros((1500, len(names)), np.float32)
+        inside[row, column] = 1
+        met |= inside @ inside.T > 0
+    linked = group @ group.T >= 0.98
+    assert linked.sum() > 1_000_000 and not (linked & ~met).any()
+
+
 def test_hilbert_walks_to_neighbours():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), axis=-1).reshape(-1, dims)
