@@ -1,11 +1,13 @@
 """What the ten operators share: table readers, scratch tables and Arrow batch mapping.
 
-Scratch tables live in the folder the cluster names in ``spark.checkpoint.dir``; a private
-folder is made only where that setting is absent, as in tests on one machine.
+Scratch tables live in the folder the cluster names in ``spark.checkpoint.dir``; a private folder is
+made only where that setting is absent and Spark runs in one local process, as in tests. Models are
+fitted in one task on a bounded sample, so that neither the sample nor its features pass the driver.
 """
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,6 +26,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables and files."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="extractlab-scratch-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -43,6 +47,15 @@ def map_arrow(
     return df.mapInArrow(fn, schema)
 
 
+def fitted(sample: DataFrame, fit: Callable[[list[pa.RecordBatch]], object]):
+    """What ``fit`` makes of a bounded sample, in one task; only the result comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(list(batches)))], pa.binary())], names=["model"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()[0])
+
+
 def batch_of(types: dict[str, pa.DataType], columns: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[k], type=t) for k, t in types.items()], names=list(types)

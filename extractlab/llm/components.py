@@ -1,8 +1,10 @@
 """Connected components of an undirected graph by alternating large-star and small-star steps.
 
-Every step is a join and a shuffle over edges; its result is written to the scratch folder. A node with
-very many neighbours is split by the skew handling of sort-merge joins, since both inputs of each join
-are plain exchanges of written tables.
+Runs of at most ``EDGES`` edges are first contracted to stars within tasks. If no more than that many
+edges remain in all, one task finishes; otherwise the stars alternate. Every such step is a join and a
+shuffle over edges; its result is written to the scratch folder. A node with very many neighbours is
+split by the skew handling of sort-merge joins, since both inputs of each join are plain exchanges of
+written tables.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from extractlab.llm.common import batch_of, written
 
-EDGES = 100_000
+EDGES = 200_000
 
 
 def roots(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
@@ -58,16 +60,23 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").mapInArrow(contract, "u bigint, v bigint")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for all nodes of the edges (u, v); a component is its smallest node."""
+def starred(stars: DataFrame) -> DataFrame:
+    """(node, component) of stars (u, v), whose centres v are their smallest nodes."""
+    own = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return own.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def connected_components(edges: DataFrame, most: int = EDGES) -> DataFrame:
+    """(node, component) for all nodes of the edges (u, v); a component is its smallest node. One task
+    takes the last step over at most ``most`` edges."""
     now = written(contracted(edges.where("u <> v")).distinct(), "components")
     seen = None
     while True:
         size, total = now.select(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if seen == (size, total) or not size:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
+        if size <= min(most, EDGES):
+            return starred(written(contracted(now.repartition(1)), "components") if size else now)
+        if seen == (size, total):
+            return starred(now)
         seen = (size, total)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
