@@ -1,26 +1,30 @@
 """Near-duplicate documents by MinHash with sequential Bayesian verification.
 
 1. Every text becomes the set of its five-word shingles (64-bit hashes), its size, a digest of the whole
-   set and ``HASHES`` MinHash values. Documents with equal sets form a class, whose smallest id stands
-   for it from here on.
+   set and ``HASHES`` MinHash values. Documents with equal sets form a class, known by its digest; its
+   smallest id stands for it in the graph of links.
 2. Bands of ``ROWS`` values bring candidates together. Within a bucket everything is first paired with
-   its smallest member; after these pairs are settled, only buckets that still hold several components
-   compare across components, in blocks, so a bucket of near copies costs no square. A pair is examined
-   in the first bucket that it shares, and verified there; what comes back are links, not pairs.
+   one member; after these pairs are settled, only buckets that still hold several components go on:
+   there all members meet those outside the bucket's largest component, in blocks, so a bucket of near
+   copies costs no square. A pair is examined in the first bucket that it shares.
 3. A pair's signatures are compared batch by batch; it is dropped as soon as the posterior chance that
    its similarity reaches the threshold falls under ``MISS``.
 4. Surviving pairs are verified on the full sets, the most similar partner of each document first, then
-   whatever still joins two components.
+   whatever still joins two components. Texts are fetched for members with a surviving pair only.
 
 Defined results: texts without words (or null) have an empty set and link with nothing; fewer than five
-words make one shingle; rows that share a doc_id are one node; rows with a null doc_id link with
-nothing, get a null component and are kept; an empty table gives no rows; extra columns are not read.
+words make one shingle; rows that share a doc_id are one node with the links of all their texts; rows
+with a null doc_id link with nothing, get a null component and are kept; of equally similar partners
+the one with the larger digest goes first, which changes no result; repeated rows get equal results;
+texts are hashed in stripes, so a very long one needs a few bytes for each of its bytes; an empty table
+gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +44,10 @@ STEP = 16
 MISS = 1e-6
 #: A link: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
-BLOCK = 512
+#: A block of a bucket holds so many members on average, and so many bytes of shingles.
+BLOCK, BLOCK_BYTES = 512, 64 << 20
+#: Bytes of shingle sets that a task keeps.
+KEPT_BYTES = 64 << 20
 
 _P = 0x9E3779B97F4A7C15
 _RANDOM = np.random.default_rng(10)
@@ -48,14 +55,10 @@ _A = _RANDOM.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uin
 _B = _RANDOM.integers(0, 2**63, HASHES, dtype=np.uint64)
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        _powers[0] = np.cumprod(np.full(2 * n, _P, np.uint64))
-        _powers[1] = np.cumprod(np.full(2 * n, pow(_P, -1, 2**64), np.uint64))
-    return _powers[0], _powers[1]
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+STRIPE = 1 << 20
+_POWER = np.cumprod(np.full(STRIPE, _P, np.uint64))
+_INVERSE = np.cumprod(np.full(STRIPE, pow(_P, -1, 2**64), np.uint64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -64,18 +67,45 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hashed(word: np.ndarray) -> np.uint64:
+    """The polynomial hash of one word of any length, in stripes."""
+    total, factor = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for at in range(0, len(word), STRIPE):
+        part = word[at : at + STRIPE].astype(np.uint64) + np.uint64(1)
+        total += (part * _POWER[: len(part)]).sum(dtype=np.uint64) * factor
+        factor *= _POWER[-1]
+    return total[0]
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash for each word, in order. Stripes end at white space; what is longer than one is a single word."""
+    out, at, n = [], 0, len(data)
+    while at < n:
+        raw = np.frombuffer(data, np.uint8, min(STRIPE, n - at), at)
+        white = _WHITE[raw]
+        if at + len(raw) < n:
+            last = np.flatnonzero(white)
+            if not len(last):
+                end = _SPACE.search(data, at + STRIPE)
+                raw = np.frombuffer(data, np.uint8, (end.start() if end else n) - at, at)
+                out.append(np.array([hashed(raw)]) + np.uint64(len(raw)))
+                at += len(raw)
+                continue
+            raw, white = raw[: last[-1] + 1], white[: last[-1] + 1]
+        edges = np.flatnonzero(np.diff(white, prepend=True, append=True))
+        starts, ends = edges[::2], edges[1::2]
+        if len(starts):
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _POWER[: len(raw)])))
+            out.append((total[ends] - total[starts]) * _INVERSE[starts] * np.uint64(_P) + (ends - starts).astype(np.uint64))
+        at += len(raw)
+    return mixed(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    data = (text or "").encode().lower()  # bytes: lower-cases A-Z only
-    raw = np.frombuffer(data, np.uint8)
-    white = np.concatenate(([True], _WHITE[raw], [True]))
-    edges = np.flatnonzero(white[1:] != white[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _power(len(raw))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)])))
-    words = mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    words = word_hashes((text or "").encode().lower())  # bytes: lower-cases A-Z only
+    if not len(words):
+        return words
     width = min(WIDTH, len(words))
     code = np.full(len(words) - width + 1, width, np.uint64)
     for j in range(width):
@@ -154,77 +184,68 @@ def bands_of(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def banded(classes: DataFrame, bands: int) -> DataFrame:
-    """(bucket, doc_id): a row for each band of each class."""
+    """(bucket, digest): a row for each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 key = bands_of(np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, HASHES), bands)
-                ids = np.repeat(np.array(b.column(0).to_pylist(), np.int64), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(ids)], names=["bucket", "doc_id"])
+                digests = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), bands)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), digests], names=["bucket", "digest"])
 
-    return classes.select("doc_id", "signature").mapInArrow(run, "bucket bigint, doc_id bigint")
+    return classes.select("digest", "signature").mapInArrow(run, "bucket bigint, digest binary")
 
 
 def screened(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) that pass the sequential comparison, with their matches."""
-    sides = [classes.select(F.col("doc_id").alias(k), F.col("signature").alias(f"signature_{k}")) for k in ("a", "b")]
+    """The pairs of digests (a, b) that pass the sequential comparison, with their matches."""
+    sides = [classes.select(F.col("digest").alias(k), F.col("signature").alias(f"signature_{k}")) for k in ("a", "b")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"a": pa.int64(), "b": pa.int64(), "matches": pa.int64()}
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(-1, HASHES) for i in (2, 3))
                 rows, matches = surviving(x, y, threshold)
                 taken = b.take(pa.array(rows))
-                yield batch_of(types, {"a": taken.column(0).to_pylist(), "b": taken.column(1).to_pylist(), "matches": matches})
+                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(matches)], names=["a", "b", "matches"])
 
     joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "signature_a", "signature_b")
-    return joined.mapInArrow(run, "a bigint, b bigint, matches bigint")
+    return joined.mapInArrow(run, "a binary, b binary, matches bigint")
 
 
 def packed_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, packed): the texts of the wanted (doc_id, digest), compressed."""
+    """(digest, packed): one compressed text for each wanted class (digest, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in bounded(batches, "text", 500, 4 << 20):
             rows = [
-                (d, pack(t.encode()))
-                for d, t, digest in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
+                (digest, pack(t.encode()))
+                for t, digest in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
                 if hashlib.blake2b(shingles(t).tobytes(), digest_size=16).digest() == digest
             ]
-            yield batch_of({"doc_id": pa.int64(), "packed": pa.binary()}, {"doc_id": [d for d, _ in rows], "packed": [p for _, p in rows]})
+            yield batch_of({"digest": pa.binary(), "packed": pa.binary()}, {"digest": [d for d, _ in rows], "packed": [p for _, p in rows]})
 
-    texts = documents.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "digest")
-    return texts.mapInArrow(run, "doc_id bigint, packed binary").groupBy("doc_id").agg(F.first("packed").alias("packed"))
+    texts = documents.select("doc_id", "text").join(wanted, "doc_id").select("text", "digest")
+    return texts.mapInArrow(run, "digest binary, packed binary").groupBy("digest").agg(F.min("packed").alias("packed"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """(u, v) of the pairs whose full sets are similar enough."""
-    sides = [texts.select(F.col("doc_id").alias(k), F.col("packed").alias(f"packed_{k}")) for k in ("a", "b")]
+    """The pairs of digests (a, b) whose full sets are similar enough."""
+    sides = [texts.select(F.col("digest").alias(k), F.col("packed").alias(f"packed_{k}")) for k in ("a", "b")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in bounded(batches, "packed_a", 500, 1 << 20):
             linked, last, x = [], None, None
-            for i, j, p, q in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for k, (i, p, q) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 2, 3)), strict=True)):
                 if i != last:
                     last, x = i, shingles(unpack(p).decode())
                 if similar(x, shingles(unpack(q).decode()), threshold):
-                    linked.append((i, j))
-            yield batch_of({"u": pa.int64(), "v": pa.int64()}, {"u": [i for i, _ in linked], "v": [j for _, j in linked]})
+                    linked.append(k)
+            yield b.select([0, 1]).take(pa.array(linked, pa.int64()))
 
     joined = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "packed_a", "packed_b")
-    return joined.mapInArrow(run, "u bigint, v bigint")
-
-
-def apart(rows: DataFrame, components: DataFrame, *names: str) -> DataFrame:
-    """Rows with the component of each named node, itself if it has none, as ``<name>_root``."""
-    for name in names:
-        own = components.select(F.col("node").alias(name), F.col("component").alias(f"{name}_root"))
-        rows = rows.join(own, name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
-    return rows
+    return joined.mapInArrow(run, "a binary, b binary")
 
 
 def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
@@ -232,96 +253,153 @@ def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(x) + len(y) - both)
 
 
-def across(members: DataFrame, classes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """Links (u, v) between members (bucket, doc_id, doc_id_root) of one bucket in different components.
-    Large buckets are dealt out as pairs of blocks. Within a task, members that a link has joined are not
-    compared again."""
-    bands = bands_for(threshold)
-    sizes = written(members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "minhash-blocks")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    dealt = (
-        members.join(sizes, "bucket").withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", "doc_id", "doc_id_root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .join(classes.select("doc_id", "signature"), "doc_id").join(texts, "doc_id")
+def grids(members: DataFrame) -> DataFrame:
+    """The members (bucket, digest, root, n_shingles) of buckets with several components, dealt out: all of
+    them by rows of blocks, those outside the largest component also by columns; a row for each cell (i, j)."""
+    parts = members.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    buckets = parts.groupBy("bucket").agg(
+        F.count("*").alias("components"), F.sum("n").alias("n"), F.sum("size").alias("size"),
+        F.max(F.struct("n", "root", "size")).alias("most"),
+    ).where("components > 1")
+
+    def blocks(n, size):
+        return F.ceil(F.greatest(n / BLOCK, size * 8 / BLOCK_BYTES)).cast("int")
+
+    sizes = written(buckets.select(
+        "bucket", F.col("most.root").alias("main"), blocks(F.col("n"), F.col("size")).alias("rows"),
+        blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("columns"),
+    ), "minhash-blocks")
+    dealt = members.join(sizes, "bucket").select(
+        "bucket", "digest", "root", (F.col("root") != F.col("main")).alias("outside"), "rows", "columns",
+        F.pmod(F.xxhash64("digest"), F.col("rows")).cast("int").alias("row"),
+        F.pmod(F.xxhash64("digest"), F.col("columns")).cast("int").alias("column"),
     )
+    left = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).select(
+        "bucket", F.col("row").alias("i"), "j", "digest", "root", "outside", F.lit(True).alias("left"))
+    right = dealt.where("outside").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).select(
+        "bucket", "i", F.col("column").alias("j"), "digest", "root", "outside", F.lit(False).alias("left"))
+    return left.unionByName(right)
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        unpack = zstandard.ZstdDecompressor().decompress
+
+def across(members: DataFrame, classes: DataFrame, documents: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between members of one bucket in different components. Cells of blocks are compared by
+    signature first; texts go only to the cells' members with a surviving pair. Within a task, members
+    that a link has joined are not compared again."""
+    bands = bands_for(threshold)
+    cells = grids(members).join(classes.select("digest", "signature"), "digest")
+
+    def pairs(group: pd.DataFrame, root: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each member on the left its surviving partners on the right in other components, most similar
+        first. The caller may join components in ``root`` meanwhile."""
         s = np.frombuffer(b"".join(group["signature"]), "<u4").reshape(-1, HASHES)
         keys = bands_of(s, bands)
-        ids, block, packed = (group[k].to_numpy() for k in ("doc_id", "own", "packed"))
-        _, root = np.unique(group["doc_id_root"].to_numpy(), return_inverse=True)
-        i, j, bucket = group["i"].iat[0], group["j"].iat[0], group["bucket"].iat[0]
+        bucket, left, outside, digest = group["bucket"].iat[0], group["left"].to_numpy(), group["outside"].to_numpy(), group["digest"].to_numpy()
+        right = np.flatnonzero(~left)
+        for x in np.flatnonzero(left):
+            y = right[root[right] != root[x]]
+            if outside[x] and len(y):  # two members outside meet in two cells
+                y = y[digest[y] > digest[x]]
+            if len(y):
+                y = y[keys[y, (keys[y] == keys[x]).argmax(axis=1)] == bucket]
+                rows, matches = surviving(np.broadcast_to(s[x], (len(y), HASHES)), s[y], threshold)
+                yield x, y[rows[np.argsort(-matches, kind="stable")]]
+
+    def numbered(group: pd.DataFrame) -> np.ndarray:
+        return np.unique(group["root"].to_numpy(), return_inverse=True)[1]
+
+    def screen(group: pd.DataFrame) -> pd.DataFrame:
+        found = np.zeros(len(group), bool)
+        for x, y in pairs(group, numbered(group)):
+            found[x] |= len(y) > 0
+            found[y] = True
+        return group.loc[found, ["bucket", "i", "j", "digest", "root", "outside", "left", "signature"]]
+
+    schema = "bucket bigint, i int, j int, digest binary, root bigint, outside boolean, left boolean, signature binary"
+    close = written(cells.groupBy("bucket", "i", "j").applyInPandas(screen, schema), "minhash-close")
+    wanted = close.select("digest").distinct().join(classes.select("digest", "doc_id"), "digest")
+    texts = packed_texts(documents, wanted)
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        unpack = zstandard.ZstdDecompressor().decompress
+        packed, digest = group["packed"].to_numpy(), group["digest"].to_numpy()
         sets: dict[int, np.ndarray] = {}
 
         def full(row: int) -> np.ndarray:
             if row not in sets:
-                sets[row] = shingles(unpack(packed[row]).decode())
+                own = shingles(unpack(packed[row]).decode())
+                if own.nbytes + sum(x.nbytes for x in sets.values()) > KEPT_BYTES:
+                    sets.clear()
+                sets[row] = own
             return sets[row]
 
         out = []
-        right = np.flatnonzero(block == j)
-        for x in np.flatnonzero(block == i):
-            y = right[root[right] != root[x]]
-            if i == j:
-                y = y[y > x]
-            if not len(y):
-                continue
-            y = y[keys[y, (keys[y] == keys[x]).argmax(axis=1)] == bucket]
-            rows, matches = surviving(np.broadcast_to(s[x], (len(y), HASHES)), s[y], threshold)
-            for z in y[rows[np.argsort(-matches, kind="stable")]].tolist():
+        root = numbered(group)
+        for x, ys in pairs(group, root):
+            for z in ys.tolist():
                 if root[z] != root[x] and similar(full(x), full(z), threshold):
-                    out.append((ids[x], ids[z]))
+                    out.append((digest[x], digest[z]))
                     root[root == root[z]] = root[x]
-        return pd.DataFrame(out, columns=["u", "v"])
+        return pd.DataFrame(out, columns=["a", "b"])
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "u bigint, v bigint")
+    return close.join(texts, "digest").groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary")
 
 
 def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+    """doc_id, n_shingles, digest and component_id of every row."""
     described = written(describe(documents), "minhash")
     full = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(
-        full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "minhash-classes"
+        full.groupBy("digest").agg(
+            F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")
+        ),
+        "minhash-classes",
     )
     bands = banded(classes, bands_for(threshold))
     buckets = written(
-        bands.groupBy("bucket").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1"), "minhash-buckets"
+        bands.groupBy("bucket").agg(F.min("digest").alias("lead"), F.count("*").alias("n")).where("n > 1"), "minhash-buckets"
     )
     stars = (
-        bands.join(buckets, "bucket").where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+        bands.join(buckets, "bucket").where("digest <> lead").select(F.col("lead").alias("a"), F.col("digest").alias("b")).distinct()
     )
     survivors = written(screened(stars, classes, threshold), "minhash-survivors")
-    wanted = (
-        buckets.where("n > 2").join(bands, "bucket").select("doc_id")
-        .unionByName(survivors.select(F.col("a").alias("doc_id"))).unionByName(survivors.select(F.col("b").alias("doc_id")))
-        .distinct().join(classes.select("doc_id", "digest"), "doc_id")
-    )
-    texts = written(packed_texts(documents, wanted), "minhash-texts")
-    # The most similar partner of each document first: in a group of copies this settles nearly all.
-    best = survivors.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
-    # Classes share no doc_id unless rows with one id have different texts; such classes are one node already.
-    links = written(verified(best, texts, threshold), "minhash-links")
-    components = written(connected_components(links), "minhash-components")
-    rest = apart(survivors.join(best, ["a", "b"], "left_anti"), components, "a", "b").where("a_root <> b_root")
-    more = written(verified(rest, texts, threshold), "minhash-links")
-    links = links.unionByName(more)
-    components = written(connected_components(links), "minhash-components")
-    members = apart(bands.join(buckets.where("n > 2").select("bucket"), "bucket"), components, "doc_id")
-    members = written(members, "minhash-members")
-    split = members.groupBy("bucket").agg(F.min("doc_id_root").alias("x"), F.max("doc_id_root").alias("y")).where("x <> y").select("bucket")
-    last = written(across(members.join(split, "bucket"), classes, texts, threshold), "minhash-links")
+    nodes = classes.select("digest", "doc_id")
+    wanted = survivors.select(F.col("a").alias("digest")).unionByName(survivors.select(F.col("b").alias("digest"))).distinct()
+    texts = written(packed_texts(documents, wanted.join(nodes, "digest")), "minhash-texts")
+    # The most similar partner of each class first: in a group of copies this settles nearly all.
+    best = survivors.groupBy("b").agg(F.max(F.struct("matches", "a")).alias("most")).select("most.a", "b")
+
+    def edges(pairs: DataFrame) -> DataFrame:
+        sides = [nodes.select(F.col("digest").alias(k), F.col("doc_id").alias(n)) for k, n in (("a", "u"), ("b", "v"))]
+        return pairs.join(sides[0], "a").join(sides[1], "b").select("u", "v")
+
+    # Ids whose rows have different texts tie the classes of these texts together.
+    several = full.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
+    tied = full.join(several, "doc_id").select(F.col("doc_id").alias("v"), "digest").join(nodes, "digest").select(F.col("doc_id").alias("u"), "v")
+    links = written(edges(verified(best, texts, threshold)).unionByName(tied), "minhash-links")
+
+    def rooted(components: DataFrame) -> DataFrame:
+        """(digest, root): the component of each class, its own node if it has none."""
+        found = components.select(F.col("node").alias("doc_id"), "component")
+        return nodes.join(found, "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("root"))
+
+    roots = written(rooted(connected_components(links)), "minhash-roots")
+    sides = [roots.select(F.col("digest").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b")]
+    rest = survivors.join(best, ["a", "b"], "left_anti").join(sides[0], "a").join(sides[1], "b").where("root_a <> root_b")
+    more = written(edges(verified(rest, texts, threshold)), "minhash-links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = written(rooted(connected_components(links)), "minhash-roots")
+    crowded = bands.join(buckets.where("n > 2").select("bucket"), "bucket")
+    members = written(crowded.join(roots, "digest").join(classes.select("digest", "n_shingles"), "digest"), "minhash-members")
+    last = written(edges(across(members, classes, documents, threshold)), "minhash-links")
     if not last.isEmpty():
-        components = written(connected_components(links.unionByName(last)), "minhash-components")
-    by_class = apart(classes.select("digest", "doc_id"), components, "doc_id").select("digest", F.col("doc_id_root").alias("component"))
-    rows = described.join(by_class, "digest", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
+        roots = written(rooted(connected_components(links.unionByName(last))), "minhash-roots")
+    by_class = roots.select("digest", F.col("root").alias("component"))
+    return described.join(by_class, "digest", "left").select(
+        "doc_id", "n_shingles", "digest", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     )
-    return rows
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
