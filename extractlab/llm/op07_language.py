@@ -3,14 +3,18 @@
 A linear classifier first predicts the language family; within the family, one linear support vector
 machine for each pair of languages votes. All machines share features: hashed byte n-grams of the
 lower-cased text with everything but letters read as a space, as shares of the text. They are fitted
-by sub-gradient steps on at most ``FIT_ROWS`` texts of each language, chosen by a hash of the id.
+by sub-gradient steps on at most ``FIT_ROWS`` different texts of each language: those with the smallest
+hashes of id and text. The fit runs in one task. The model's size grows with the square of the number of
+languages learned in a family (and of families), not with the rows.
 
 A score is the logistic of the family's lead times that of the language's narrowest pairwise lead.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; null languages are
 not learned from; languages outside ``FAMILIES`` form a family of their own; with one language only,
 every text with letters gets it; with none, all are ``und``; a null doc_id counts as not held out;
-repeated rows get equal results; an empty table gives no rows; extra columns are not read.
+repeated rows get equal results; equal votes go to the larger sum of leads, then to the name that comes
+first; texts are read whole in batches bounded by bytes, a very long one alone, at about 60 bytes for each
+of its bytes; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +26,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from extractlab.llm.common import batch_of, bounded, fold, reading, table
+from extractlab.llm.common import batch_of, bounded, fitted, fold, reading, table
 
 #: ISO 639-1 codes by family.
 FAMILIES = {
@@ -46,12 +50,17 @@ ORDERS = (2, 3, 4)
 FIT_ROWS = 600
 HELD_OUT, MODULUS = 1, 3
 SHARPNESS = 1.5
-_LETTER = re.compile(r"[^\W\d_]")
+_CANDIDATE = re.compile(r"[^\W\d_]+")
 _READ = np.full(256, 32, np.uint32)
 _READ[97:123] = np.arange(97, 123)
 _READ[128:] = np.arange(128, 256)
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; number signs such as fractions and Roman numerals are not."""
+    return any(m[0].isalpha() or any(map(str.isalpha, m[0])) for m in _CANDIDATE.finditer(text))
+
+
 def ngrams(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each order, the hashes of the n-grams of all texts and where each text's begin."""
     parts = [np.frombuffer(b" " + t.lower().encode() + b"    ", np.uint8) for t in texts]
@@ -162,36 +171,40 @@ def train(documents: DataFrame, rows: int = FIT_ROWS) -> Hierarchy:
     usable = fold(documents.select("doc_id", "lang", "text"), "doc_id", MODULUS).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce("fold", F.lit(0)) != HELD_OUT)
     )
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    usable = usable.select("lang", "text", F.xxhash64(F.lit("language"), "doc_id", "text").alias("draw"))
+    # Per language, the hash up to which its texts are learned from; equal rows count once.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    most = usable.select("lang", "draw").distinct().withColumn("place", place).where(F.col("place") <= rows)
+    # A row for each language, as the model has.
+    upto = {r["lang"]: r["most"] for r in most.groupBy("lang").agg(F.max("draw").alias("most")).collect()}
+    if not upto:
         return fit([])
-    share = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 1.2 * rows / n + 20 / n))))
-    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_003)) / 1_000_003
+    limit = F.element_at(F.create_map(*(F.lit(x) for pair in sorted(upto.items()) for x in pair)), F.col("lang"))
+    chosen = usable.where(F.col("draw") <= limit).groupBy("lang", "draw").agg(F.min("text").alias("text"))
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"lang": pa.string(), "index": pa.binary(), "value": pa.binary()}
         for b in bounded(batches, "text", 500, 4 << 20):
             out: dict[str, list] = {k: [] for k in types}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if _LETTER.search(text):
+                if has_letter(text):
                     index, value = profile(text)
                     out["lang"].append(lang)
                     out["index"].append(index.astype(np.uint16).tobytes())
                     out["value"].append(value.astype(np.float32).tobytes())
             yield batch_of(types, out)
 
-    found = (
-        usable.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text")
-        .mapInArrow(profiles, "lang string, index binary, value binary")
-        .orderBy(F.xxhash64("index", "value")).limit(2 * rows * len(counts)).collect()
-    )
-    return fit([(r["lang"], np.frombuffer(r["index"], np.uint16).astype(np.int64), np.frombuffer(r["value"], np.float32)) for r in found])
+    def learned(batches: list[pa.RecordBatch]) -> Hierarchy:
+        rows = sorted(row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        return fit([(lang, np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(v, np.float32)) for lang, i, v in rows])
+
+    return fitted(chosen.select("lang", "text").mapInArrow(profiles, "lang string, index binary, value binary"), learned)
 
 
 def predict(documents: DataFrame, model: Hierarchy, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep`` (doc_id if not given), the language and the score under ``names``."""
     keep = keep or ["doc_id"]
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # of fixed size for the languages learned
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # 128 KB for each machine, whatever the rows
     schema = documents.select(*keep).schema.add(names[0], "string").add(names[1], "double")
     read, column, at = reading(documents, keep)
 
@@ -209,7 +222,7 @@ def predict(documents: DataFrame, model: Hierarchy, keep: list[str] | None = Non
                         run = np.concatenate(([0.0], np.cumsum(m.weights[:, j][code], dtype=np.float64)))
                         lead[:, j] += run[start + size] - run[start]
             lead = shares(lead, 1.0) / np.maximum(1.0, total)[:, None] + m.bias
-            out = [m.decide(lead[i]) if _LETTER.search(t) else (UNDETERMINED, 0.0) for i, t in enumerate(texts)]
+            out = [m.decide(lead[i]) if has_letter(t) else (UNDETERMINED, 0.0) for i, t in enumerate(texts)]
             lang, p = pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], lang, p], names=[*keep, *names])
 
