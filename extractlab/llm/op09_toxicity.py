@@ -1,25 +1,30 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
-1. Words of labelled documents are counted by class; words and stems that the toxic class
-   favours become the lexicon (at most ``LEXICON`` entries). The Dirichlet prior of their log-odds is
-   their count over all documents, scaled to at most ``PRIOR`` pseudo-words.
-2. A token's score is the logarithm of its likelihood in a toxic passage against the background: the
-   entry's shrunken log-odds, or for any other token a small loss.
+1. Words of labelled documents are counted by class; words and stems that the toxic class favours
+   significantly become the lexicon. The Dirichlet prior of their log-odds is their count over all
+   documents, scaled to at most ``PRIOR`` pseudo-words.
+2. A token's score is the logarithm of its likelihood in a toxic passage against the background. An
+   entry's log-odds compare toxic with clean documents; a passage is denser than its document by
+   1 / ``PASSAGE``, and entries make up the share ``DENSITY`` of its tokens. Other tokens lose a little.
 3. A linear scan finds every maximal scoring segment of a text. Its score is turned into the
-   probability that chance gives none as high in a text of that length (extreme-value law with the
-   decay and constant of the background's scores). The chances of a text's significant segments
-   multiply, and a two-parameter logistic fitted on labelled texts maps their logarithm to [0, 1].
+   probability that chance gives none as high in a text of that length: the extreme-value law, its
+   decay from the background's scores, its constant the likeliest one given the highest segments of
+   clean labelled texts. The chances of a text's significant segments multiply, and a two-parameter
+   logistic fitted on labelled texts maps their logarithm to [0, 1].
 
 Fitting uses at most ``FIT_ROWS`` labelled documents outside the held-out fold, chosen by a hash of
-their ids; corpus counts cover all documents; texts are scored whole.
+their ids, so the lexicon is bounded by what at least ``SUPPORT`` toxic ones of them hold; corpus counts
+cover all documents; texts are scored whole.
 
 Defined results: null and empty texts have no segment and get the lowest score; repeated rows get
-equal scores; a null doc_id counts as not held out; without both label values all scores are 0; an
-empty table gives no rows; extra columns are not read.
+equal scores, and count once in the fit; of segments with equal scores all are kept; a null doc_id counts
+as not held out; a very long text is a batch of its own, at about 100 bytes for each of its tokens; without
+both label values all scores are 0; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter, defaultdict
@@ -31,16 +36,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from extractlab.llm.common import batch_of, bounded, fold, labelled_sample, table, written
+from extractlab.llm.common import batch_of, bounded, fitted, fold, labelled_sample, table, written
 
 FIT_ROWS = 20_000
-LEXICON = 20_000
-TALLY = 50_000
+#: Words that a task counts before it passes their sums on, and words that a worker remembers the gains of.
+TALLY, REMEMBERED = 50_000, 200_000
 PRIOR = 1000.0
 #: Least documents of the toxic class that hold an entry, and least z-score of its log-odds.
 SUPPORT, SIGNIFICANCE = 3, 3.0
 #: Share of a toxic passage's tokens that come from the lexicon.
 DENSITY = 0.1
+#: Share of a toxic document's tokens that are in its passages.
+PASSAGE = 0.135
+#: A segment counts if chance gives one as high in fewer texts than this share.
+CHANCE = 0.05
 STEMS = (7, 6, 5, 4)
 LEAST_SCORE, MOST_SCORE = 1.0, 8.0
 HELD_OUT, MODULUS = 0, 5
@@ -52,6 +61,7 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+@functools.lru_cache(1 << 16)
 def entries(word: str) -> tuple[str, ...]:
     """The lexicon entries that a word may match: itself, then its stems, longest first."""
     return (word, *(word[:n] + "*" for n in STEMS if len(word) > n))
@@ -89,34 +99,36 @@ class Model:
     scale: float = 1.0
     offset: float = -50.0
 
+    #: Words that were met, and the gains of those that have one.
+    met: set[str] = field(default_factory=set)
+    worth: dict[str, float] = field(default_factory=dict)
+
     def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """The number of tokens, and all maximal segments."""
         words = tokens(text)
-        known = self.gains
-        hits = []
-        gain = {w: next((known[e] for e in entries(w) if e in known), None) for w in set(words)}
-        gain = {w: g for w, g in gain.items() if g is not None}
-        if gain:
-            hits = [(i, gain[w]) for i, w in enumerate(words) if w in gain]
+        own = set(words)
+        for w in own - self.met:
+            gain = next((self.gains[e] for e in entries(w) if e in self.gains), None)
+            if gain is not None:
+                self.worth[w] = gain
+        self.met |= own
+        known = own & self.worth.keys()
+        hits = [(i, self.worth[w]) for i, w in enumerate(words) if w in known] if known else []
+        if len(self.met) > REMEMBERED:
+            self.met, self.worth = set(), {}
         return len(words), segments(hits, self.loss, len(words)) if hits else []
 
-    def evidence(self, text: str | None) -> float:
-        """Minus the logarithm of the chance of a text's significant segments."""
-        n, found = self.passages(text)
-        total = 0.0
-        for _, _, s in found:
-            expected = self.constant * max(1, n) * math.exp(-self.decay * s)
-            p = -math.expm1(-expected)
-            if p < 0.05:
-                total -= math.log(max(p, 1e-300))
-        return min(total, 1000.0)
+    def surprise(self, n: int, score: float) -> float:
+        """Minus the logarithm of the chance of a segment in a text of n tokens; 0 if that is not small."""
+        p = -math.expm1(-self.constant * max(1, n) * math.exp(-self.decay * score))
+        return -math.log(max(p, 1e-300)) if p < CHANCE else 0.0
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.scale * evidence + self.offset))))
 
 
-def background(gains: list[float], chances: list[float], loss: float) -> tuple[float, float]:
-    """Decay and constant of the extreme-value law for independent background tokens."""
+def background(gains: list[float], chances: list[float], loss: float) -> float:
+    """Decay of the extreme-value law for independent background tokens."""
     s, p = np.array(gains), np.array(chances)
     rest = max(1e-9, 1 - p.sum())
 
@@ -129,8 +141,13 @@ def background(gains: list[float], chances: list[float], loss: float) -> tuple[f
     for _ in range(80):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if excess(mid) < 0 else (lo, mid)
-    # The constant's usual lower bound for a gain that is rare: the chance that a segment begins.
-    return hi, max(1e-9, float(p.sum()))
+    return hi
+
+
+def likeliest_constant(decay: float, sizes: np.ndarray, highest: np.ndarray) -> float:
+    """Of the extreme-value law, given the highest segments of clean texts (0 if a text has none): the texts
+    with a segment by the sum of sizes times exp(-decay * highest)."""
+    return float(((highest > 0).sum() + 0.5) / max(1.0, (sizes * np.exp(-decay * highest)).sum()))
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
@@ -170,56 +187,59 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mode
     if not clean or not toxic:
         return Model()
     ratio = (F.col("toxic") + 0.5) / toxic / ((F.col("clean") + 0.5) / clean)
-    wanted = (
-        counted.where((F.col("toxic") >= SUPPORT) & (ratio > 1))
-        .orderBy((F.log(ratio) * F.sqrt("toxic")).desc(), "entry").limit(LEXICON).collect()
-    )
-    corpus, size = corpus_counts(documents, [r["entry"] for r in wanted])
+    corpus, size = corpus_counts(documents)
     weight = min(PRIOR, toxic / 10)  # the prior must not outweigh what few labels say
-    picked: dict[str, tuple[float, float]] = {}
-    for r in wanted:
-        share = (corpus.get(r["entry"], 0) + 0.5) / max(1, size)
-        prior = weight * share
-        # Half a count more on both sides: the corpus gives rare words next to no prior of their own.
-        a, b = r["toxic"] + prior + 0.5, r["clean"] + prior + 0.5
-        odds = math.log(a / (toxic + weight + 1 - a)) - math.log(b / (clean + weight + 1 - b))
-        if odds / math.sqrt(1 / a + 1 / b) >= SIGNIFICANCE:
-            picked[r["entry"]] = (odds, b / (clean + weight))
-    loss = -math.log(1 - DENSITY)
-    model = Model({e: min(odds + math.log(DENSITY) + 2, MOST_SCORE) for e, (odds, _) in picked.items()}, loss)
-    model.gains = {e: g for e, g in model.gains.items() if g >= LEAST_SCORE}
-    model.decay, model.constant = background([*model.gains.values()], [picked[e][1] for e in model.gains], loss)
-    shared = spark.sparkContext.broadcast(model)  # at most LEXICON entries
+    prior = weight * (F.coalesce("n", F.lit(0)) + 0.5) / max(1, size)
+    # Half a count more on both sides: the corpus gives rare words next to no prior of their own.
+    a, b = F.col("toxic") + prior + 0.5, F.col("clean") + prior + 0.5
+    odds = F.log(a / (toxic + weight + 1 - a)) - F.log(b / (clean + weight + 1 - b))
+    gain = F.least(odds + math.log(DENSITY) - math.log(PASSAGE), F.lit(MOST_SCORE))
+    picked = (
+        counted.where((F.col("toxic") >= SUPPORT) & (ratio > 1)).join(corpus, "entry", "left")
+        .where((odds / F.sqrt(1 / a + 1 / b) >= SIGNIFICANCE) & (gain >= LEAST_SCORE))
+        .select("entry", gain.alias("gain"), (b / (clean + weight)).alias("chance")).collect()  # from at most ``rows`` texts
+    )
+    picked.sort()
+    model = Model({r["entry"]: r["gain"] for r in picked}, -math.log(1 - DENSITY))
+    model.decay = background([r["gain"] for r in picked], [r["chance"] for r in picked], model.loss)
+    shared = spark.sparkContext.broadcast(model)  # as large as the lexicon
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"label": pa.int32(), "evidence": pa.float64()}
+        types = {"label": pa.int32(), "n": pa.int64(), "scores": pa.list_(pa.float64())}
         for b in bounded(batches, "text", 500, 4 << 20):
-            yield batch_of(types, {"label": b.column(1).to_pylist(), "evidence": [shared.value.evidence(t) for t in b.column(2).to_pylist()]})
-
-    seen = labelled.mapInArrow(weigh, "label int, evidence double").orderBy("evidence", "label").limit(rows).collect()
-    model.scale, model.offset = logistic(np.array([r["evidence"] for r in seen]), np.array([r["label"] for r in seen]))
+            found = [shared.value.passages(t) for t in b.column(2).to_pylist()]
+            yield batch_of(types, {"label": b.column(1).to_pylist(), "n": [n for n, _ in found], "scores": [[x for _, _, x in own] for _, own in found]})
+
+    def calibrated(batches: list[pa.RecordBatch]) -> tuple[float, float, float]:
+        seen = sorted(row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        clean = [(n, max(own, default=0.0)) for label, n, own in seen if not label]
+        model.constant = likeliest_constant(model.decay, np.array([n for n, _ in clean]), np.array([x for _, x in clean]))
+        evidence = np.array([sum(model.surprise(n, x) for x in own) for _, n, own in seen])
+        return model.constant, *logistic(evidence, np.array([label for label, _, _ in seen]))
+
+    weighed = labelled.mapInArrow(weigh, "label int, n bigint, scores array<double>")
+    model.constant, model.scale, model.offset = fitted(weighed, calibrated)
     return model
 
 
-def corpus_counts(documents: DataFrame, wanted: list[str]) -> tuple[dict[str, int], int]:
-    """How often each wanted entry occurs in all documents, and the number of all tokens."""
-    shared = documents.sparkSession.sparkContext.broadcast(frozenset(wanted))  # at most LEXICON entries
+def corpus_counts(documents: DataFrame) -> tuple[DataFrame, int]:
+    """(entry, n): how often words and stems occur in all documents, and the number of all tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"word": pa.string(), "n": pa.int64()}
         tally: Counter = Counter()
-        for b in bounded(batches, "text", 500, 4 << 20):
-            for text in b.column(0).to_pylist():
-                words = Counter(tokens(text))
-                tally[""] += words.total()
-                for w, n in words.items():
-                    for e in entries(w):
-                        if e in shared.value:
-                            tally[e] += n
-        yield batch_of({"entry": pa.string(), "n": pa.int64()}, {"entry": list(tally), "n": list(tally.values())})
+        for b in bounded(batches, "text", 500, 1 << 20):
+            tally.update(tokens("\n".join(t for t in b.column(0).to_pylist() if t)))
+            if len(tally) >= TALLY:
+                yield batch_of(types, {"word": list(tally), "n": list(tally.values())})
+                tally.clear()
+        yield batch_of(types, {"word": list(tally), "n": list(tally.values())})
 
-    found = documents.select("text").mapInArrow(count, "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n")).collect()
-    counts = {r["entry"]: r["n"] for r in found}
-    return counts, counts.get("", 0)
+    words = documents.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    words = written(words, "toxicity-words")
+    stems = [F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STEMS]
+    each = words.select("n", F.explode(F.array_compact(F.array("word", *stems))).alias("entry"))
+    return each.groupBy("entry").agg(F.sum("n").alias("n")), words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -241,7 +261,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, and the significant passages' token ranges as ``passages`` (start:end, joined)."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most LEXICON entries
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # as large as the lexicon
     types = {"doc_id": pa.int64(), "score": pa.float64(), "passages": pa.string()}
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,15 +270,10 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             out: dict[str, list] = {k: [] for k in types}
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 n, found = m.passages(text)
-                spans, total = [], 0.0
-                for s, e, x in found:
-                    p = -math.expm1(-m.constant * max(1, n) * math.exp(-m.decay * x))
-                    if p < 0.05:
-                        spans.append(f"{s}:{e}")
-                        total -= math.log(max(p, 1e-300))
+                counted = [(s, e, x) for s, e, x in ((s, e, m.surprise(n, score)) for s, e, score in found) if x]
                 out["doc_id"].append(doc)
-                out["score"].append(m.probability(min(total, 50.0)))
-                out["passages"].append(",".join(spans))
+                out["score"].append(m.probability(min(sum(x for _, _, x in counted), 50.0)))
+                out["passages"].append(",".join(f"{s}:{e}" for s, e, _ in counted))
             yield batch_of(types, out)
 
     return documents.select("doc_id", "text").mapInArrow(scored, "doc_id bigint, score double, passages string")
