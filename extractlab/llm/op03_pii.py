@@ -6,13 +6,19 @@
    the entities seen in it are the nodes of a bipartite graph, one edge for each distinct pair.
 3. Round by round a pattern's confidence is the mean score of its instances, and a candidate's score the
    noisy-or of its reliable patterns. Candidates that reach the threshold join the entities, so their
-   own patterns count in the next round.
+   own patterns count in the next round. Scores only grow; the rounds end when none does any more.
+
+A context is whole words, however long, up to the match before the previous one of the same pattern; an
+earlier match in it stands as its kind. Candidates are digit runs (7 to 15 digits as phone, 16 to 19 as
+card) and address-like strings: contexts of IP addresses are scored too, but propose nothing.
 
 The regular expressions are the kinds' definitions with possessive repeats and look-behinds that keep
 Java's matcher linear and iterative on long runs; they accept the same spans. Positions are code
 points. A document's matches are numbered and summed in windows over its own rows.
 
-Defined results: a null or empty text has no spans; repeated rows each get their own result; null
+Defined results: a null or empty text has no spans; repeated rows each get their own result; of a base
+span and a candidate that touch, the base span stays; of discovered spans that overlap, the one that starts
+(then ends) first; a very long text is read whole in one pass for each pattern; null
 doc_ids are kept; an empty table gives no rows; extra columns are not read.
 """
 
@@ -39,10 +45,10 @@ NEEDS = {
     "address": lambda t: t.contains("@") | t.contains("[at]") | t.contains("(at)"),
     "phone": lambda t: t.contains("+"),
 }
-CONTEXT = 64
 MIN_SUPPORT = 3
 CONFIDENCE = 0.8
-ROUNDS = 3
+#: Scores that grow by less than this in sum count as unchanged.
+SETTLED = 1e-6
 
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -65,11 +71,22 @@ def accepted(kind: Column, value: Column) -> Column:
 
 def matches(text: Column, name: str) -> Column:
     """array<struct<gap, value, before, after>>: a pattern's leftmost non-overlapping matches, each with
-    the length of the text since the one before."""
+    the length of the text since the one before and the words around it."""
     pattern = PATTERNS[name]
-    between = F.transform(
+    # Up to three whole words at either end of what lies between; those at the end are read backwards.
+    pieces = F.transform(
         F.split(text, pattern, -1),
-        lambda p: F.struct(F.length(p).alias("size"), F.right(p, F.lit(CONTEXT)).alias("tail"), F.left(p, F.lit(CONTEXT)).alias("head")),
+        lambda p: F.struct(
+            F.length(p).alias("size"), F.reverse(F.regexp_extract(F.reverse(p), r"^\s*+(\S++(?:\s++\S++){0,2}+)", 1)).alias("tail"),
+            F.regexp_extract(p, r"^\s*+(\S++)", 1).alias("head"),
+        ),
+    )
+    between = F.transform(
+        pieces,
+        lambda p, i: F.struct(
+            p["size"].alias("size"), p["head"].alias("head"),
+            F.when(i > 0, F.concat_ws(" ", F.get(pieces, i - 1)["tail"], F.lit(f"<{name}>"), p["tail"])).otherwise(p["tail"]).alias("tail"),
+        ),
     )
     pairs = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"),
@@ -141,7 +158,7 @@ def contexts() -> Column:
     )
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = MIN_SUPPORT) -> DataFrame:
+def bootstrap(found: DataFrame, confidence: float = CONFIDENCE, support: int = MIN_SUPPORT) -> DataFrame:
     """(kind, value) of the candidates that reliable patterns discover. ``found`` must be a written table."""
     edges = written(
         found.select("kind", "value", "seed", F.explode(contexts()).alias("context"))
@@ -149,8 +166,8 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFID
         "pii-edges",
     )
     scores = edges.where("NOT seed").select("kind", "value").distinct().withColumn("score", F.lit(0.0))
-    before = 0
-    for _ in range(rounds):
+    before = (0, 0.0)
+    while True:
         scored = edges.join(scores, ["kind", "value"], "left").withColumn(
             "score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
         )
@@ -166,8 +183,8 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFID
             .where(F.col("score") >= confidence),
             "pii-scores",
         )
-        now = scores.count()
-        if now == before:
+        now = scores.select(F.count("*"), F.coalesce(F.sum("score"), F.lit(0.0))).first()
+        if now[0] == before[0] and now[1] <= before[1] + SETTLED:
             break
         before = now
     return scores.select("kind", "value").distinct()
