@@ -1,8 +1,8 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 1. Each text is cut where a rolling hash of the last ``WINDOW`` bytes hits a fixed pattern, so equal
-   passages give equal chunks wherever they stand. A document's row carries its compressed text and
-   its chunks' digests, and is shuffled once.
+   passages give equal chunks wherever they stand. A document's compressed text is shuffled once;
+   rows with equal id and text become one there, with their number.
 2. Digests that occur more than once name the shared chunks. Each of these is encoded once, in the
    document that holds its first occurrence, and its ids go to all of its occurrences.
 3. A document takes over the ids of its shared chunks between the first and the last safe cut in each
@@ -13,9 +13,9 @@
 The ids equal those of encoding the whole text. Decoding joins the tokens' bytes; broken UTF-8 becomes
 U+FFFD as in the library.
 
-Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows give a
-row each; null doc_ids are kept; an empty table gives no rows; extra columns are not read; a text of
-any length is encoded whole.
+Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows are
+encoded once and give a row each, written out in bounded batches; null doc_ids are kept; an empty table
+gives no rows; extra columns are not read; a text of any length is encoded whole.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from extractlab.llm.tokens import Encoder, default_path, encoder
 WINDOW = 32
 #: A cut on average every so many bytes, and the shortest and longest chunk.
 MEAN, LEAST, MOST = 1024, 256, 8192
+#: Rows of a batch in which a repeated row's results are written out.
+COPIES = 1000
 STRIPE = 1 << 20
 _FACTOR = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
@@ -141,37 +143,35 @@ def encoded_with(documents: DataFrame, outputs: dict, tokenizer: str | None = No
     path = tokenizer or default_path()
     least = mean // 4
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, bytes, bytes]]]:
-        """(doc_id, key, text) rows; equal rows have equal keys."""
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal rows have equal keys."""
+        types = {"doc_id": pa.int64(), "doc_key": pa.binary(), "packed": pa.binary()}
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b in bounded(batches, "text", 1000, 8 << 20):
-            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
-            ids = b.column(0).to_pylist()
-            yield [(d, _digest(b"%r " % d + t), t) for d, t in zip(ids, texts, strict=True)]
+            ids, texts = b.column(0).to_pylist(), [(t or "").encode() for t in b.column(1).to_pylist()]
+            yield batch_of(types, {
+                "doc_id": ids, "doc_key": [_digest(b"%r " % d + t) for d, t in zip(ids, texts, strict=True)], "packed": [pack(t) for t in texts],
+            })
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"doc_key": pa.binary(), "at": pa.int64(), "size": pa.int32(), "digest": pa.binary()}
-        for batch in rows(batches):
+        open_ = zstandard.ZstdDecompressor()
+        for b in bounded(batches, "packed", 500, 4 << 20):
             out: dict[str, list] = {k: [] for k in types}
-            for _, key, data in batch:
+            for key, packed in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                data = open_.decompress(packed)
                 ends = boundaries(data, mean, least)
                 for s, e in zip([0, *ends], ends, strict=False):
                     for k, v in zip(types, (key, s, e - s, _digest(data[s:e])), strict=True):
                         out[k].append(v)
             yield batch_of(types, out)
 
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"doc_id": pa.int64(), "doc_key": pa.binary(), "packed": pa.binary()}
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in rows(batches):
-            ids, keys, texts = zip(*batch, strict=True)
-            yield batch_of(types, {"doc_id": list(ids), "doc_key": list(keys), "packed": [pack(t) for t in texts]})
-
     def encode_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, types = encoder(path), {"digest": pa.binary(), "ids": pa.binary()}
         open_ = zstandard.ZstdDecompressor()
         for b in bounded(batches, "packed", 500, 4 << 20):
             out: dict[str, list] = {"digest": [], "ids": []}
-            for packed, own in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for packed, own in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
                 data = open_.decompress(packed)
                 for c in own:
                     ids = enc.encode(data[c["at"] : c["at"] + c["size"]].decode())
@@ -186,20 +186,23 @@ def encoded_with(documents: DataFrame, outputs: dict, tokenizer: str | None = No
         open_ = zstandard.ZstdDecompressor()
         for b in bounded(batches, "packed", 500, 4 << 20):
             out: dict[str, list] = {k: [] for k in types}
-            for doc, packed, own in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            for doc, packed, copies, own in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
                 shared = {c["at"]: (c["size"], np.frombuffer(c["ids"], width).astype(np.uint32)) for c in own or []}
                 ids = assemble(enc, open_.decompress(packed), shared)
-                out["doc_id"].append(doc)
-                for k, (_, _, make) in outputs.items():
-                    out[k].append(make(enc, ids))
+                row = [doc, *(make(enc, ids) for _, _, make in outputs.values())]
+                for k, v in zip(types, row, strict=True):
+                    out[k].append(v)
+                for at in range(1, copies, COPIES):
+                    yield batch_of(types, {k: [v] * min(COPIES, copies - at) for k, v in zip(types, row, strict=True)})
             yield batch_of(types, out)
 
-    texts = documents.select("doc_id", "text")
-    # The one shuffle of the texts. Both joins below read it with equal columns and filters, so Spark
+    # The one shuffle of the texts. All that follows reads it with equal columns and filters, so Spark
     # reuses the exchange.
-    docs = texts.mapInArrow(squeeze, "doc_id bigint, doc_key binary, packed binary")
-    docs = docs.where("doc_key IS NOT NULL").repartition("doc_key")
-    places = texts.mapInArrow(fingerprint, "doc_key binary, at bigint, size int, digest binary")
+    docs = documents.select("doc_id", "text").mapInArrow(squeeze, "doc_id bigint, doc_key binary, packed binary")
+    docs = docs.where("doc_key IS NOT NULL").groupBy("doc_key").agg(
+        F.first("doc_id").alias("doc_id"), F.first("packed").alias("packed"), F.count("*").alias("copies")
+    )
+    places = docs.mapInArrow(fingerprint, "doc_key binary, at bigint, size int, digest binary")
     repeated = (
         places.groupBy("digest")
         .agg(F.count("*").alias("n"), F.min(F.struct("doc_key", "at", "size")).alias("owner"))
@@ -208,13 +211,13 @@ def encoded_with(documents: DataFrame, outputs: dict, tokenizer: str | None = No
     owners = repeated.groupBy(F.col("owner.doc_key").alias("doc_key")).agg(
         F.collect_list(F.struct(F.col("owner.at").alias("at"), F.col("owner.size").alias("size"), "digest")).alias("own")
     )
-    shared = docs.join(owners, "doc_key").select("doc_id", "doc_key", "packed", "own").mapInArrow(encode_shared, "digest binary, ids binary")
+    shared = docs.join(owners, "doc_key").select("doc_key", "doc_id", "packed", "copies", "own").mapInArrow(encode_shared, "digest binary, ids binary")
     reused = (
         places.join(shared, "digest")
         .groupBy("doc_key")
         .agg(F.collect_list(F.struct("at", "size", "ids")).alias("reused"))
     )
-    return docs.join(reused, "doc_key", "left").select("doc_id", "doc_key", "packed", "reused").mapInArrow(
+    return docs.join(reused, "doc_key", "left").select("doc_key", "doc_id", "packed", "copies", "reused").mapInArrow(
         finish, ", ".join(["doc_id bigint", *(f"{k} {sql}" for k, (sql, _, _) in outputs.items())])
     )
 
