@@ -1,10 +1,11 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
-1. Equal vectors of a label form a class with a representative (smallest id) and a size.
+1. Equal vectors of a label form a class with a representative (smallest id) and a size (different ids).
 2. Each tree splits recursively: a node projects on a random direction and splits at the median of a
-   bounded sample; a vector within the spill margin of the split goes to both sides. The depth follows
-   the number of vectors; below the sample's reach nodes split at zero. No split goes through a crowd:
-   a group of near copies stays in one node, whose leaf is then large.
+   bounded sample; a vector within the spill margin of the split goes to both sides. A vector descends
+   as deep as its label has vectors for; where the sample has too few in a node, that node splits where
+   its last ancestor with enough would. No split goes through a crowd: a group of near copies stays in
+   one node, whose leaf is then large.
 3. Vectors of one label in one leaf are compared, in blocks where a leaf is large. A pair that shares
    several leaves is counted in the first one only, so no pairs need to be shuffled for that: a task
    returns how many vectors each one links with, and a spanning forest of the links.
@@ -15,8 +16,10 @@ than one in a million. For groups of near copies this is tested on a large one,
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and those with a
 null label or vec_id, have no links and are kept (component: their own id); vectors of different
-lengths never link; rows that share a vec_id are one node; equal vectors are linked; an empty table
-gives no rows; extra columns are not read.
+lengths never link; equal vectors are linked; rows equal in vec_id, label and vector count once as each
+other's partners; rows that share a vec_id only are one node of the components, and each has the links of its
+own vector, to others of that id as well; a similarity of exactly the limit links; an empty table gives no
+rows; extra columns are not read; labels may be of any type.
 """
 
 from __future__ import annotations
@@ -32,13 +35,15 @@ from pyspark.sql import functions as F
 
 from extractlab.llm.common import batch_of, table, written
 from extractlab.llm.components import connected_components
-from extractlab.llm.vectors import matrix, one_length, sample, usable
+from extractlab.llm.vectors import matrix, sample, usable
 
 SIMILARITY = 0.98
 TREES = 6
 LEAF = 128
 SPILL = 0.6
 FIT_ROWS = 8192
+#: A node splits by its own rows of the sample if it has so many.
+ENOUGH = 8
 MOST_DEPTH = 16
 #: A node is split only where at most this share of it is within two margins (about 0.19 in an isotropic cloud).
 CROWDED = 0.3
@@ -71,62 +76,75 @@ class Forest:
         margin = SPILL * np.sqrt(2 * (1 - similarity)) / np.sqrt(dim)
         splits = []
         for t in range(trees):
-            node, own = np.zeros(len(unit), np.int64), []
+            # What nodes split by: their own rows of the sample, or those of an ancestor (index in ``sources``).
+            node, source, own = np.zeros(len(unit), np.int64), np.zeros(1, np.int64), []
+            sources = [np.arange(len(unit))]
             for level in range(depth):
                 p = unit @ directions[t, level]
-                at = np.zeros(1 << level)
-                for k in np.unique(node):
-                    inside = p[node == k]
-                    if len(inside) >= 8:
-                        at[k] = split_of(inside, 2 * margin)
-                own.append(at)
-                node = 2 * node + (p >= at[node])
+                own.append(np.array([split_of(p[rows], 2 * margin) if len(rows) >= ENOUGH else 0.0 for rows in sources])[source])
+                node = 2 * node + (p >= own[-1][node])
+                source = np.repeat(source, 2)
+                order = np.argsort(node, kind="stable")
+                names, first = np.unique(node[order], return_index=True)
+                for k, rows in zip(names, np.split(order, first[1:]), strict=True):
+                    if len(rows) >= ENOUGH:
+                        source[k] = len(sources)
+                        sources.append(rows)
+                used, source = np.unique(source, return_inverse=True)
+                sources = [sources[i] for i in used]
             splits.append(own)
         return cls(directions, splits, margin)
 
-    def leaves(self, unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each tree the row numbers and their leaves; a row may be in several."""
+    def leaves(self, unit: np.ndarray, depth: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each tree the row numbers and their leaves; a row may be in several. ``depth`` of each row, the
+        forest's if not given."""
         out = []
         for t, own in enumerate(self.splits):
             row, node = np.arange(len(unit)), np.zeros(len(unit), np.int64)
+            done = []
             for level, at in enumerate(own):
+                if depth is not None:
+                    stays = depth[row] <= level
+                    done.append((row[stays], node[stays]))
+                    row, node = row[~stays], node[~stays]
                 gap = (unit @ self.directions[t, level])[row] - at[node]
                 left, right = gap < self.margin, gap >= -self.margin
                 row = np.concatenate((row[left], row[right]))
                 node = np.concatenate((2 * node[left], 2 * node[right] + 1))
-            out.append((row, node))
+            done.append((row, node))
+            out.append((np.concatenate([r for r, _ in done]), np.concatenate([k for _, k in done])))
         return out
 
 
 def routed(classes: DataFrame, forest: Forest) -> DataFrame:
-    """(label, leaf, vec_id, size, leaves, unit): a row for each leaf that a class is in."""
+    """(label, leaf, vec_id, h, size, leaves, unit): a row for each leaf that a class is in."""
     shared = classes.sparkSession.sparkContext.broadcast(forest)  # at most TREES * 2^MOST_DEPTH splits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"label": pa.int32(), "leaf": pa.int32(), "vec_id": pa.int64(), "size": pa.int64(), "leaves": pa.binary(), "unit": pa.binary()}
+        types = {"label": pa.string(), "leaf": pa.int32(), "vec_id": pa.int64(), "h": pa.int64(), "size": pa.int64(), "leaves": pa.binary(), "unit": pa.binary()}
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                v = matrix(b.column(3))
+                v = matrix(b.column(5))
                 unit = v / np.linalg.norm(v, axis=1, keepdims=True)
                 depth = len(shared.value.splits[0])
                 rows, codes = [], []
-                for t, (row, node) in enumerate(shared.value.leaves(unit)):
+                for t, (row, node) in enumerate(shared.value.leaves(unit, np.array(b.column(4).to_pylist()))):
                     rows.append(row)
                     codes.append((t << depth) + node)
                 row, code = np.concatenate(rows), np.concatenate(codes)
                 order = np.lexsort((code, row))
                 row, code = row[order], code[order].astype(np.int32)
                 sets = [x.tobytes() for x in np.split(code, np.flatnonzero(np.diff(row)) + 1)]
-                label, vec, size = (b.column(i).to_pylist() for i in range(3))
+                label, vec, h, size = (b.column(i).to_pylist() for i in range(4))
                 units = [x.tobytes() for x in unit]
                 yield batch_of(types, {
-                    "label": [label[r] for r in row], "leaf": code, "vec_id": [vec[r] for r in row], "size": [size[r] for r in row],
+                    "label": [label[r] for r in row], "leaf": code, "vec_id": [vec[r] for r in row], "h": [h[r] for r in row], "size": [size[r] for r in row],
                     "leaves": [sets[r] for r in row], "unit": [units[r] for r in row],
                 })
 
-    return classes.select("label", "vec_id", "size", "embedding").mapInArrow(
-        run, "label int, leaf int, vec_id bigint, size bigint, leaves binary, unit binary"
+    return classes.select("label", "vec_id", "h", "size", "depth", "embedding").mapInArrow(
+        run, "label string, leaf int, vec_id bigint, h bigint, size bigint, leaves binary, unit binary"
     )
 
 
@@ -159,14 +177,14 @@ def least_reached(n: int, ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.n
 
 
 def compared(rows: DataFrame, similarity: float) -> DataFrame:
-    """(u, v, n): v null: u links with n further vectors; n null: u and v are connected."""
+    """(u, h, v, n): v null: u's class h links with n further vectors; n null: u and v are connected."""
     sizes = rows.groupBy("label", "leaf").agg(F.count("*").alias("n")).where("n > 1")
     sizes = written(sizes.select("label", "leaf", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "forest-leaves")
-    own = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
+    own = F.pmod(F.col("h"), F.col("blocks")).cast("int")
     dealt = (
         rows.join(sizes, ["label", "leaf"]).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("label", "leaf", "vec_id", "size", "leaves", "unit", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .select("label", "leaf", "vec_id", "h", "size", "leaves", "unit", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -179,7 +197,6 @@ def compared(rows: DataFrame, similarity: float) -> DataFrame:
         for at in range(0, len(left), 256):
             some = left[at : at + 256]
             linked = unit[some] @ unit[right].T >= similarity
-            linked &= ids[some][:, None] != ids[right][None, :]
             if i == j:
                 linked &= some[:, None] < right[None, :]
             if linked.any():
@@ -194,46 +211,54 @@ def compared(rows: DataFrame, similarity: float) -> DataFrame:
         joined = np.flatnonzero(root != ids)
         return pd.DataFrame({
             "u": pd.array([*ids[counted], *ids[joined]], "Int64"),
+            "h": pd.array([*group["h"].to_numpy()[counted]] + [None] * len(joined), "Int64"),
             "v": pd.array([None] * len(counted) + [*root[joined]], "Int64"),
             "n": pd.array([*further[counted]] + [None] * len(joined), "Int64"),
         })
 
-    return dealt.groupBy("label", "leaf", "i", "j").applyInPandas(compare, "u bigint, v bigint, n bigint")
+    return dealt.groupBy("label", "leaf", "i", "j").applyInPandas(compare, "u bigint, h bigint, v bigint, n bigint")
 
 
 def near_vectors(embeddings: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """vec_id, n_links and component_id of every row."""
-    part = embeddings.select("vec_id", "embedding", "label").where(
-        usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    label = F.col("label").cast("string")
+    part = embeddings.where(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).select(
+        "vec_id", "embedding", label.alias("label")
     )
     classes = written(
-        part.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")).select(
-            F.col("label").cast("int").alias("label"), "embedding", F.col("rep").alias("vec_id"), "size"
-        ),
-        "vector-classes",
+        part.distinct().groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("size"))
+        .withColumn("h", F.xxhash64("label", "embedding")), "vector-classes",
+    )
+    levels = F.least(F.greatest(F.ceil(F.log2(F.col("n") / leaf)), F.lit(0)), F.lit(MOST_DEPTH)).cast("int")
+    deep = written(
+        classes.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).withColumn("depth", levels), "vector-labels"
     )
     found = None
-    for dim in one_length(classes):
-        own = classes.where(F.size("embedding") == dim)
-        per_label = own.groupBy("label").count().agg(F.avg("count")).first()[0]
-        depth = int(min(MOST_DEPTH, max(0, np.ceil(np.log2(per_label / leaf))))) if per_label > leaf else 0
-        fitted = np.array([r[0] for r in sample(own, FIT_ROWS, "embedding")], dtype=float).reshape(-1, dim)
-        fitted /= np.linalg.norm(fitted, axis=1, keepdims=True)
-        one = compared(routed(own, Forest.fit(fitted, dim, depth, trees, similarity)), similarity)
+    for row in deep.groupBy("dim").agg(F.max("depth").alias("depth")).collect():  # a few lengths of vectors
+        own = classes.where(F.size("embedding") == row["dim"])
+        unit = np.array([r[0] for r in sample(own, FIT_ROWS, "embedding")], dtype=float).reshape(-1, row["dim"])
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        own = own.join(deep.where(F.col("dim") == row["dim"]).select("label", "depth"), "label")
+        one = compared(routed(own, Forest.fit(unit, row["dim"], row["depth"], trees, similarity)), similarity)
         found = one if found is None else found.unionByName(one)
     if found is None:
         return embeddings.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     found = written(found, "vector-links")
-    components = written(connected_components(found.where("v IS NOT NULL").select("u", "v")), "vector-components")
-    further = found.where("v IS NULL").groupBy("u").agg(F.sum("n").alias("more"))
+    # Ids with several vectors tie the classes of these together.
+    several = part.select("vec_id", F.xxhash64("label", "embedding").alias("h")).groupBy("vec_id").agg(F.min("h").alias("x"), F.max("h").alias("y"))
+    several = part.join(several.where("x <> y").select("vec_id"), "vec_id")
+    tied = several.withColumnRenamed("vec_id", "v").join(classes, ["label", "embedding"]).select(F.col("vec_id").alias("u"), "v")
+    components = written(connected_components(found.where("v IS NOT NULL").select("u", "v").unionByName(tied)), "vector-components")
+    further = found.where("v IS NULL").groupBy("u", F.col("h").alias("u_h")).agg(F.sum("n").alias("more"))
     settled = (
-        classes.join(further, F.col("vec_id") == F.col("u"), "left").join(components, F.col("vec_id") == F.col("node"), "left")
+        classes.join(further, (F.col("vec_id") == F.col("u")) & (F.col("h") == F.col("u_h")), "left")
+        .join(components, F.col("vec_id") == F.col("node"), "left")
         .select(
             F.col("label").alias("of_label"), F.col("embedding").alias("of_embedding"),
             (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "vec_id").alias("component"),
         )
     )
-    return embeddings.select("vec_id", "embedding", F.col("label").cast("int").alias("label")).join(
+    return embeddings.select("vec_id", "embedding", label.alias("label")).join(
         settled, (F.col("label") == F.col("of_label")) & (F.col("embedding") == F.col("of_embedding")) & F.col("vec_id").isNotNull(), "left"
     ).select("vec_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
 
