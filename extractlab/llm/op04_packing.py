@@ -9,21 +9,25 @@
 4. The plan is a list of runs: "the documents of length l with ranks lo to hi go, c to a sequence, to
    sequences from s on, at offset o". A piece finds its place by its rank among pieces of its length.
 
-Ranks are taken within salted parts of a length, so one length may hold any share of the rows.
+Ranks are taken within salted parts of a length, so one length may hold any share of the rows; the salt
+comes from a number that each piece gets when it is cut, so equal rows spread as well.
 
 Defined results: a null or empty text is a piece of one token (the end id); repeated rows are packed
-separately; null doc_ids are packed like others; an empty table gives no rows; extra columns are not
-read.
+separately; null doc_ids are packed like others; pieces of one length are alike, their order is that of
+their numbers; a very long text is encoded alone in its batch; an empty table gives no rows; extra columns
+are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,17 +43,18 @@ GROUPS = 160
 PART_ROWS = 20_000
 
 PIECES = {
-    "doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(),
+    "doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "number": pa.int64(),
 }
 
 
 def pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """One row for each piece: a document's ids and its end id, cut into pieces of ``capacity`` ids of
-    which the first may be shorter."""
+    which the first may be shorter. Numbers differ, but may change when a task is run again: write them."""
     path = tokenizer or default_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        numbers = itertools.count(TaskContext.get().partitionId() << 40)
         for b in bounded(batches, "text", 1000, 8 << 20):
             out: dict[str, list] = {k: [] for k in PIECES}
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -57,12 +62,12 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
                 first = len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (s, e) in enumerate(zip(edges, edges[1:], strict=False)):
-                    for name, v in zip(PIECES, (doc, k, s, e - s, zlib.crc32(ids[s:e].tobytes())), strict=True):
+                    for name, v in zip(PIECES, (doc, k, s, e - s, zlib.crc32(ids[s:e].tobytes()), next(numbers)), strict=True):
                         out[name].append(v)
             yield batch_of(PIECES, out)
 
     return documents.select("doc_id", "text").mapInArrow(
-        cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+        cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, number bigint"
     )
 
 
@@ -253,14 +258,14 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
     spark = parts.sparkSession
     total = parts.count()
     salts = max(64, total // PART_ROWS)
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("number"), F.lit(salts)))
     counts = written(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "piece-counts")
     # At most ``capacity`` rows reach the driver.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = plan(histogram, capacity, groups).runs
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "salt").orderBy("number")
     ranked = (
         salted.withColumn("rank", F.row_number().over(within) - 1)
         .join(offsets, ["length", "salt"])
