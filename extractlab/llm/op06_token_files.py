@@ -11,13 +11,15 @@ value packed, the high bits in unary, and the bit position of every 64th one as
 so ``select(i)`` reads one directory entry and a short stretch of the bit vector.
 
 Defined results: a null text is an empty document (its end id only); null doc_ids come first;
-repeated doc_ids keep all their rows, ordered by text hash; an empty table writes no file and reads
+repeated doc_ids keep all their rows, ordered by text hash (equal rows are alike); a very long text is one
+document of one file; an empty table writes no file and reads
 as no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -35,6 +37,8 @@ from extractlab.llm.tokens import default_path, encoder
 END_ID = 0
 MAGIC = b"XLTOKEN1"
 SAMPLE = 64
+#: Values whose low bits are unpacked at once; a multiple of eight.
+SLICE = 1 << 16
 _HEAD = struct.Struct("<8sQQQQqBxxxxxxx")
 _SEQ = struct.Struct("<QQBxxxxxxxQQ")
 
@@ -52,19 +56,22 @@ class EliasFano:
         n, universe = len(values), int(values[-1]) + 1 if len(values) else 0
         bits = max(0, (universe // n).bit_length() - 1) if n else 0
         low = values & np.uint64((1 << bits) - 1)
-        packed = np.packbits(
-            ((low[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).reshape(-1),
-            bitorder="little",
-        )
+        packed = np.packbits(np.concatenate([  # slices of whole bytes bound what is unpacked at once
+            ((low[s : s + SLICE, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).reshape(-1)
+            for s in range(0, max(1, n), SLICE)
+        ]), bitorder="little")
         ones = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         high[ones] = 1
         return cls(n, universe, bits, packed, np.packbits(high, bitorder="little"), ones[::SAMPLE].astype(np.uint32))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
-        at = i[:, None] * self.low_bits + np.arange(self.low_bits)
-        bit = (self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-        return (bit.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+        out = np.zeros(len(i), np.int64)
+        at = i * self.low_bits
+        for k in range(self.low_bits):
+            out |= ((self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.int64) << k
+            at = at + 1
+        return out
 
     def select(self, i: int) -> int:
         """The i-th value, through the directory."""
@@ -134,6 +141,7 @@ class TokenFile:
 def _filesystem(path: str):
     from pyarrow import fs
 
+    path = re.sub("^s3[an]://", "s3://", path)  # Hadoop's names for one store
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -157,10 +165,11 @@ MANIFEST = {
 }
 
 
-def write_token_files(documents: DataFrame, folder: str, tokenizer: str | None = None, file_ids: int = 1 << 24) -> DataFrame:
+def write_token_files(documents: DataFrame, folder: str, tokenizer: str | None = None, file_ids: int = 1 << 24, file_docs: int = 1 << 20) -> DataFrame:
     """Writes the files and returns their manifest with ``start``, the ids before each file.
 
-    ``file_ids`` bounds the ids of a file (beyond its last document) and so a task's memory.
+    ``file_ids`` bounds the ids of a file (beyond its last document), ``file_docs`` its documents, and both
+    together a task's memory.
     """
     path = tokenizer or default_path()
     spark = documents.sparkSession
@@ -184,7 +193,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str | None =
                 docs.append(doc)
                 ids.append(own if wide else own.astype(np.uint16))
                 total += len(own)
-                if total >= file_ids:
+                if total >= file_ids or len(docs) >= file_docs:
                     yield flush()
                     docs, ids, total, part = [], [], 0, part + 1
         if docs:
