@@ -19,6 +19,7 @@ def rows():
     n = len(out)
     bad = [None, [0.0] * 16, [float("nan")] * 16, [float("inf")] + [0.0] * 15, [None] + [1.0] * 15, [1.0, 0.0]]
     out += [(n + i, e, 0) for i, e in enumerate(bad)] + [(n + 10, out[0][1], None), (None, out[0][1], 0)]
+    out += [out[0], out[0], out[45], (7, out[50][1], out[50][2]), (7, out[61][1], out[61][2]), (3 << 40, out[0][1], 0)]  # repeated rows and ids
     return [(*x, 0, 0.0, 0, 0) for x in out]
 
 
@@ -34,14 +35,50 @@ def good(e):
 @pytest.mark.parametrize("block", [1024, 16])
 def test_near_vectors(vectors, monkeypatch, block):
     monkeypatch.setattr(op02_near_vectors, "BLOCK", block)
-    part = [(i, np.array(e) / np.linalg.norm(e), k) for i, e, k, *_ in rows() if good(e) and k is not None and i is not None]
-    links = [(a, b) for a, x, k in part for b, y, m in part if a < b and k == m and len(x) == len(y) and x @ y >= 0.98]
-    root, n = roots(iter(links)), {}
-    for a, b in links:
-        n[a], n[b] = n.get(a, 0) + 1, n.get(b, 0) + 1
-    got = op02_near_vectors.near_vectors(vectors, leaf=16).collect()
-    assert len(links) > 200 and len(got) == len(rows())
-    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got if r["vec_id"] is not None} == {i: (n.get(i, 0), root.get(i, i)) for i, *_ in rows() if i is not None}
+    assert sorted(map(repr, found_near(vectors))) == sorted(map(repr, wanted_near(rows())))
+
+
+def found_near(vectors, **more):
+    """(vec_id, n_links, component) by vec_id, in the order of the numbers of links."""
+    got = op02_near_vectors.near_vectors(vectors, leaf=16, **more).collect()
+    return [(r["vec_id"], r["n_links"], r["component_id"]) for r in got]
+
+
+def wanted_near(rows):
+    """By comparing all different (id, label, vector)."""
+    entry = {(i, tuple(e), k): np.array(e) / np.linalg.norm(e) for i, e, k, *_ in rows if good(e) and k is not None and i is not None}
+    links = [(a, b) for a, x in entry.items() for b, y in entry.items() if a < b and a[2] == b[2] and len(x) == len(y) and x @ y >= 0.98]
+    assert len(links) > 200
+    root, n = roots((a[0], b[0]) for a, b in links), {}
+    for pair in links:
+        for a in pair:
+            n[a] = n.get(a, 0) + 1
+    return [(i, n.get((i, tuple(e or ()), k), 0), root.get(i, i)) for i, e, k, *_ in rows]
+
+
+def test_near_vectors_of_large_labels(spark, vectors):
+    other = vectors.withColumn("label", F.col("label").cast("long") + (1 << 40))
+    assert sorted(map(repr, found_near(other))) == sorted(map(repr, wanted_near(rows())))
+
+
+@pytest.mark.parametrize("depth", [8, 10, 12, 14, 16])
+def test_forest_recall_in_clusters(depth):
+    """Clusters of near copies among spread-out vectors, deeper than the sample reaches: no link is missed."""
+    r = np.random.default_rng(depth)
+    v = r.normal(size=(9000, 32)) + 2 * r.normal(size=(30, 32))[r.integers(0, 30, 9000)]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[:2000] = v[r.integers(0, 400, 2000)] + np.sqrt(0.014 / 32) * r.normal(size=(2000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    forest = op02_near_vectors.Forest.fit(v[r.permutation(9000)[:4000]], 32, depth, op02_near_vectors.TREES, 0.98)
+    group = v[:2000]
+    met = np.zeros((2000, 2000), bool)
+    for row, node in forest.leaves(group):
+        names, column = np.unique(node, return_inverse=True)
+        inside = np.zeros((2000, len(names)), np.float32)
+        inside[row, column] = 1
+        met |= inside @ inside.T > 0
+    linked = group @ group.T >= 0.98
+    assert linked.sum() > 4000 and (linked & ~met).sum() <= linked.sum() * 1e-4
 
 
 def test_no_vectors(spark, vectors):
@@ -98,7 +135,9 @@ def test_hilbert_walks_to_neighbours():
 
 @pytest.mark.parametrize("k", [3, 500])
 def test_neighbours(vectors, k):
-    part = [(i, np.array(e, float)) for i, e, *_ in rows() if good(e) and i is not None]
+    part = {(i, tuple(e)): (i, np.array(e, float)) for i, e, *_ in rows() if good(e) and i is not None}
+    part = [x for k, x in part.items() if k[0] not in (7,)]  # an id with several vectors is one candidate, at the nearest of them
+    vectors = vectors.where("vec_id <> 7")
     got = {}
     for r in op08_neighbours.neighbours(vectors, F.col("vec_id") % 10 == 0, k).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -110,10 +149,11 @@ def test_neighbours(vectors, k):
     assert set(got) <= {i for i, _ in part if i % 10 == 0}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_components(spark, most):
     r = np.random.default_rng(7)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 80)]
-    got = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+    got = connected_components(spark.createDataFrame(edges, "u long, v long"), most).collect()
     wanted = {x: c for x, c in roots(iter(edges)).items() if any(a != b and x in (a, b) for a, b in edges)}
     assert {x["node"]: x["component"] for x in got} == wanted and len(got) == len(wanted)
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
