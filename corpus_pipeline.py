@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from extractlab.llm import op03_pii, op04_packing, op05_quality, op07_language, op10_minhash
 from extractlab.llm.common import table, written
 
-#: A document goes if its language is undetermined or less certain than this.
+#: A document goes if its language is undetermined or less certain than this; as a winner of all its pairwise
+#: votes has at least 0.25, that is one whose votes run in a circle.
 LEAST_CERTAINTY = 0.2
 #: Near copies share at least so many hundredths of their shingles (op10_minhash alone takes 85).
 NEAR = 80
@@ -34,10 +35,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id. Null ids stay."""
-    found = op10_minhash.near_duplicates(docs, NEAR)
+    """One document of each group of near copies: that with the smallest id, and of several rows with
+    this id the one with the smallest hash. Null ids and texts without words stay."""
+    found = written(op10_minhash.near_duplicates(docs, NEAR).drop("digest"), "pipeline-found")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    repeated = found.where("n_shingles > 0 AND doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull()
+    marked = kept.withColumn("_worded", worded).join(repeated.select("_id"), F.col("doc_id") == F.col("_id"), "left")
+    several = marked.where("_worded AND _id IS NOT NULL").select(docs.columns)
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    first = several.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(row, F.xxhash64("text")).alias("_row")).select("_row.*")
+    return marked.where("NOT _worded OR _id IS NULL").select(docs.columns).unionByName(first)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
