@@ -172,13 +172,16 @@ def train(documents: DataFrame, rows: int = FIT_ROWS) -> Hierarchy:
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce("fold", F.lit(0)) != HELD_OUT)
     )
     usable = usable.select("lang", "text", F.xxhash64(F.lit("language"), "doc_id", "text").alias("draw"))
-    # Per language, the hash up to which its texts are learned from; equal rows count once.
+    # Per language, the hash up to which its texts are learned from; equal rows count once. Only the lowest
+    # share of the hashes, half as many again as wanted, is ranked. A row for each language reaches the driver.
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("n")).collect()}
+    if not sizes:
+        return fit([])
+    share = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, (1.5 * rows + 50) / max(1, n)))))
+    low = usable.select("lang", "draw").where(F.col("draw") / 2.0**64 + 0.5 <= F.element_at(share, F.col("lang"))).distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    most = usable.select("lang", "draw").distinct().withColumn("place", place).where(F.col("place") <= rows)
-    # A row for each language, as the model has.
+    most = low.withColumn("place", place).where(F.col("place") <= rows)
     upto = {r["lang"]: r["most"] for r in most.groupBy("lang").agg(F.max("draw").alias("most")).collect()}
-    if not upto:
-        return fit([])
     limit = F.element_at(F.create_map(*(F.lit(x) for pair in sorted(upto.items()) for x in pair)), F.col("lang"))
     chosen = usable.where(F.col("draw") <= limit).groupBy("lang", "draw").agg(F.min("text").alias("text"))
 
