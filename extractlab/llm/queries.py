@@ -1,4 +1,8 @@
-"""The registered queries of this subpackage, and the SQL that some of them can be held against."""
+"""The registered queries of this subpackage, and the SQL that some of them are held against.
+
+The other operators train models, run tokenizers or extend what patterns find, which SQL can't express;
+``tests/llm`` holds their queries against brute force, the libraries or held-out labels.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +21,30 @@ from extractlab.llm.op08_neighbours import op8_neighbours
 from extractlab.llm.op09_toxicity import op9_toxicity
 from extractlab.llm.op10_minhash import op10_minhash
 
+_VECTORS = """(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
+
+#: Every pair of vectors of one label, and the ids that links reach.
+_NEAR = f"""WITH RECURSIVE p AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS n FROM {_VECTORS} x WHERE label IS NOT NULL),
+    l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM p a JOIN p b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.98),
+    r AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.v, r.root FROM r JOIN l ON r.node = l.u),
+    c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node), k AS (SELECT u, count(DISTINCT v) AS n_links FROM l GROUP BY u)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON vec_id = node LEFT JOIN k ON vec_id = u"""
+
+#: Every candidate of every query.
+_NEAREST = f"""SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM (
+    SELECT a.vec_id AS query_id, b.vec_id, sqrt(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))) AS score
+    FROM {_VECTORS} a JOIN {_VECTORS} b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0) d) e WHERE rank <= 10"""
+
+#: Shingles as text, every pair that shares one, and the ids that links reach.
+_COPIES = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM w),
+    u AS (SELECT doc_id, unnest(sh) AS h FROM s), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    k AS (SELECT x, y FROM p JOIN s a ON x = a.doc_id JOIN s b ON y = b.doc_id WHERE 100 * n >= 85 * (len(a.sh) + len(b.sh) - n)),
+    l AS (SELECT x AS u, y AS v FROM k UNION ALL SELECT y, x FROM k),
+    r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.v, r.root FROM r JOIN l ON r.node = l.u), c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+    SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON doc_id = node"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -34,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_near_vectors": _NEAR, "op8_neighbours": _NEAREST, "op10_minhash": _COPIES}
