@@ -25,13 +25,15 @@ def field_rules(status: Column, raw: Column, normalized: Column, pages: Column)
     }
 
 
-def list_rules(status: Column, whole: Column, reason: Column, rows: Column, extracted: Column) -> dict[str, Column]:
+def list_rules(status: Column, whole: Column, reason: Column, accepted: Column, resolved: Column) -> dict[str, Column]:
+    """``accepted``: whether any cell was extracted; ``resolved``: whether all cells were, or are missing."""
     return {
-        "complete_needs_enumeration": (status == "complete") & ~whole,
-        "reason_forbidden": (status == "complete") & reason.isNotNull(),
-        "reason_required": (status != "complete") & reason.isNull(),
-        "partial_needs_rows": (status == "partial") & (rows == 0),
-        "unresolved_has_values": (status == "unresolved") & (extracted > 0),
+        "complete_needs_enumeration_and_cells": (status == "complete") & ~(whole & resolved),
+        "partial_needs_accepted_cell": (status == "partial") & ~accepted,
+        "unresolved_has_accepted_cell": (status == "unresolved") & accepted,
+        "unresolved_needs_reason": (status == "unresolved") & reason.isNull(),
+        "reason_forbidden": (status != "unresolved") & reason.isNotNull(),
+        "partial_is_complete": (status == "partial") & whole & resolved,
     }
 
 

@@ -61,9 +61,10 @@ def inventory_difference(wanted: DataFrame, found: DataFrame, name: str) -> Data
 
 
 def duplicates(rows: DataFrame, digest: str, order: str) -> DataFrame:
-    """Rows whose content came up before, in order."""
-    by = Window.partitionBy(digest).orderBy(order)
-    return rows.withColumn("_first", F.first(order).over(by)).where(F.col(order) != F.col("_first")).select(order, F.col("_first").alias("first"))
+    """Rows whose content came up before, with the first row that has it. The first ones come from partial
+    aggregates, and a hot digest is split by the join."""
+    first = rows.groupBy(digest).agg(F.min(order).alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return rows.join(first, digest).where(F.col(order) != F.col("first")).select(order, "first")
 
 
 def ledger_state(entries: DataFrame) -> DataFrame:
@@ -82,9 +83,19 @@ def reviewed(values: DataFrame, decisions: DataFrame) -> DataFrame:
     return kept.withColumn("truth_status", F.when((F.col("truth_status") == "extracted") & ~F.coalesce("legible", F.lit(True)), "unreadable").otherwise(F.col("truth_status")))
 
 
+#: Buckets of a group's items, by the first digits of their hashes.
+DIGEST_DIGITS = 3
+
+
 def set_digest(rows: DataFrame, keys: list[str], item: Column) -> DataFrame:
-    """Order-independent content hash of each group's items."""
-    return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(item)), "\n"), 256).alias("digest"))
+    """Order-independent content hash of each group's items: of the hashes of its buckets of sorted item
+    hashes. A bucket holds a 4096th of a group, and a group at most 4096 buckets."""
+    hashed = rows.select(*keys, F.sha2(item, 256).alias("_h"))
+    buckets = hashed.groupBy(*keys, F.substring("_h", 1, DIGEST_DIGITS).alias("_b")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), "\n"), 256).alias("_d")
+    )
+    both = F.concat_ws(":", "_b", "_d")
+    return buckets.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(both)), "\n"), 256).alias("digest"))
 
 
 def distractors(items: DataFrame, classes: int, steps: tuple[int, ...]) -> DataFrame:

@@ -20,12 +20,13 @@ def first_of_each(events: DataFrame, keys: list[str], order: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.min(order).alias(order), F.count("*").alias("seen"))
 
 
-def sessions(events: DataFrame, owner: str, time: str, order: str, gap: int) -> DataFrame:
-    """Runs of events less than ``gap`` apart: silence of just the gap ends one."""
-    by = Window.partitionBy(owner).orderBy(time, order)
+def sessions(events: DataFrame, owner: str | list[str], time: str, order: str, gap: int) -> DataFrame:
+    """Runs of an owner's (or several keys') events less than ``gap`` apart: silence of just the gap ends one."""
+    owner = [owner] if isinstance(owner, str) else owner
+    by = Window.partitionBy(*owner).orderBy(time, order)
     new = F.coalesce(F.col(time) - F.lag(time).over(by) >= gap, F.lit(True))
     rows = events.withColumn("_new", new).withColumn("session", F.sum(F.when(F.col("_new"), 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(owner, "session").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("events"))
+    return rows.groupBy(*owner, "session").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("events"))
 
 
 def stale(events: DataFrame, owner: str, time: str, started: Column) -> DataFrame:

@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def percentiles(rows: DataFrame, keys: list[str], value: str, at: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    parts = [F.round(F.percentile(value, F.lit(q)), 6).alias(f"p{round(100 * q)}") for q in at]
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), *parts)
+    """Exact percentiles with linear interpolation. Equal values are counted first, so the window that ranks
+    them holds a row for each different value."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*keys).orderBy("_v")
+    ranked = counted.withColumn("_last", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).withColumn(
+        "_all", F.sum("_n").over(Window.partitionBy(*keys))
+    )
+    first, last, top = F.col("_last") - F.col("_n") + 1, F.col("_last"), F.col("_all") - 1
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((first <= rank) & (rank <= last), F.col("_v")))
+
+    parts = []
+    for q in at:
+        place = top * F.lit(q)
+        low, high = value_at(F.floor(place)), value_at(F.ceil(place))
+        parts.append(F.round(low + (high - low) * F.max(place - F.floor(place)), 6).alias(f"p{round(100 * q)}"))
+    found = ranked.groupBy(*keys).agg(F.max("_all").alias("n"), *parts)
+    return rows.select(*keys).distinct().join(found, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def page_seconds(calls: DataFrame) -> DataFrame:

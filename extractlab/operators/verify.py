@@ -12,13 +12,20 @@ V1_GRID = (None, 300, 500, 700, 800, 850, 900, 950, 970, 990, 995, 999)
 MARGIN_GRID = (0, 50, 100, 200, 300, 500, 700, 900)
 
 
-def ladder(status: Column, raw: Column, format_ok: Column, mille: Column, least: int | None, alternate: Column | None) -> Column:
-    """The status after format, weakest-token and alternate-view checks, in this order; never upgraded."""
+def ladder(
+    status: Column, raw: Column, format_ok: Column, mille: Column, least: int | None, alternate: Column | None,
+    alternate_status: Column | None = None, normal=None,
+) -> Column:
+    """The status after format, weakest-token and alternate-view checks, in this order; never upgraded.
+    The alternate view confirms if it was extracted and has the same normal form (``normal``: raw to normal form,
+    null where there is none; not given: the raw text)."""
     steps = F.when(status != "extracted", status).when(~format_ok, "invalid")
     if least is not None:
         steps = steps.when(mille.isNull() | (mille < least), "ambiguous")
     if alternate is not None:
-        steps = steps.when(alternate.isNull() | (alternate != raw), "ambiguous")
+        seen = alternate.isNotNull() if alternate_status is None else F.coalesce(alternate_status == "extracted", F.lit(False)) & alternate.isNotNull()
+        same = alternate == raw if normal is None else normal(alternate) == normal(raw)
+        steps = steps.when(~(seen & F.coalesce(same, F.lit(False))), "ambiguous")
     return steps.otherwise(status)
 
 
@@ -99,3 +106,11 @@ def select_point(points: DataFrame) -> DataFrame:
     the higher token threshold, the higher margin, the first."""
     free = points.where("wrong = 0 AND wrong_profiles = 0")
     return free.orderBy(F.coalesce("completeness", F.lit(0.0)).desc(), F.col("v2"), F.coalesce("v1", F.lit(-1)).desc(), F.col("margin").desc(), "index").limit(1)
+
+
+def freeze_gate(wrong: Column, wrong_profiles: Column, completeness: Column, target: float) -> Column:
+    """Whether a calibration point may be frozen, or why not."""
+    return (
+        F.when((wrong > 0) | (wrong_profiles > 0), "calibration_point_has_errors")
+        .when(completeness.isNull() | (completeness < target), "calibration_completeness_below_target").otherwise("selectable")
+    )

@@ -88,7 +88,8 @@ def duplicate_capture(spark, sf):
     return corpus.duplicates(table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha")), "sha", "doc_id")
 
 
-_LEDGER = "SELECT user_id AS config, event_id % 5 AS run, CASE WHEN event_type IN ('view', 'click', 'error') THEN 'started' WHEN event_type = 'signup' AND event_id % 7 = 0 THEN 'completed' ELSE 'acknowledged' END AS event FROM events WHERE event_id % 37 < 2"
+# Every event is an entry of the ledger; few runs complete, and most of those that start are acknowledged.
+_LEDGER = "SELECT user_id AS config, event_id % 5 AS run, CASE WHEN event_type = 'signup' AND event_id % 97 = 0 THEN 'completed' WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'acknowledged' ELSE 'started' END AS event FROM events"
 
 
 @query("ledger_state", f"""SELECT config, CASE WHEN bool_or(c) THEN 'refused' WHEN count(*) FILTER (WHERE s AND NOT c AND NOT a) > 0 THEN 'pending' ELSE 'open' END AS state,
@@ -106,7 +107,8 @@ def review_apply(spark, sf):
     return corpus.reviewed(cases, decisions).groupBy("truth_status", "quality").agg(F.count("*").alias("n"))
 
 
-@query("case_digest", "SELECT category, sha256(string_agg(item, chr(10) ORDER BY item)) AS digest FROM (SELECT category, CAST(case_id AS VARCHAR) || ':' || quality AS item FROM {cases} c) i GROUP BY category")
+@query("case_digest", """SELECT category, sha256(string_agg(b || ':' || d, chr(10) ORDER BY b)) AS digest FROM (SELECT category, h[1:3] AS b, sha256(string_agg(h, chr(10) ORDER BY h)) AS d
+    FROM (SELECT category, sha256(CAST(case_id AS VARCHAR) || ':' || quality) AS h FROM {cases} c) i GROUP BY 1, 2) g GROUP BY category""")
 def case_digest(spark, sf):
     return corpus.set_digest(adapter(spark, sf, "cases"), ["category"], F.concat(F.col("case_id").cast("string"), F.lit(":"), F.col("quality")))
 
@@ -176,9 +178,9 @@ def inactivity_sessions(spark, sf):
     return flow.sessions(adapter(spark, sf, "updates"), "owner", "t", "event_id", flow.INACTIVITY)
 
 
-@query("album_quiet", _SESSIONS.format(keys="kind", gap=flow.ALBUM_QUIET, where="WHERE kind IN ('click', 'purchase')"))
+@query("album_quiet", _SESSIONS.format(keys="owner, kind", gap=flow.ALBUM_QUIET, where="WHERE kind IN ('click', 'purchase')"))
 def album_quiet(spark, sf):
-    return flow.sessions(adapter(spark, sf, "updates").where("kind IN ('click', 'purchase')"), "kind", "t", "event_id", flow.ALBUM_QUIET)
+    return flow.sessions(adapter(spark, sf, "updates").where("kind IN ('click', 'purchase')"), ["owner", "kind"], "t", "event_id", flow.ALBUM_QUIET)
 
 
 @query("album_reorder", """SELECT p.owner, p.place, p.album, m.message_id FROM (SELECT owner, message_id % 4 AS album, event_id AS place, row_number() OVER (PARTITION BY owner, message_id % 4 ORDER BY event_id) AS n FROM {updates} u) p

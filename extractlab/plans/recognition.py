@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from extractlab.functions import scalar as fn
 from extractlab.operators import merge, verify
+from extractlab.plans.lists import _MERGED_LISTS, _merged_lists
 from extractlab.plans.registry import query
 from extractlab.sources.adapters import adapter, table
 
@@ -21,19 +23,38 @@ def scalar_merge(spark, sf):
     return merge.merge_scalars(adapter(spark, sf, "readings"), ["job"])
 
 
-@query("job_outcome", f"""SELECT o_custkey, CASE WHEN NOT bool_or(status = 'extracted') THEN 'failed' WHEN bool_and(status IN ('extracted', 'missing')) THEN 'complete' ELSE 'partial' END AS outcome,
-    count(*) AS fields FROM {_MERGED} m JOIN orders ON job = o_orderkey GROUP BY o_custkey""")
+_NUMBERS = """(SELECT l_orderkey AS job, CAST(seq AS INT) AS batch, CASE WHEN l_linenumber = 5 AND l_orderkey % 4 = 0 THEN 'invalid' WHEN l_linenumber = 6 THEN 'missing' ELSE 'extracted' END AS status,
+      CASE WHEN l_linenumber <> 6 THEN CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE '+0' END || CAST(l_orderkey % 90 + CASE WHEN l_linenumber = 3 AND l_orderkey % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR)
+        || CASE WHEN l_linenumber % 3 = 0 THEN '.00' WHEN l_linenumber % 3 = 1 THEN '.0' ELSE '' END END AS raw, [l_linenumber % 2 + 1, CAST(seq AS INT)] AS pages
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq FROM lineitem) t)"""
+
+
+@query("number_merge", f"""SELECT job, status, CASE WHEN status = 'extracted' THEN ext WHEN status = 'invalid' THEN inv END AS raw, CASE WHEN status = 'extracted' THEN CAST(CAST(ext AS DECIMAL(20, 2)) AS BIGINT)::VARCHAR END AS normalized, pages, batches
+    FROM (SELECT *, CASE WHEN k > 1 THEN 'ambiguous' WHEN ext IS NOT NULL THEN 'extracted' WHEN inv IS NOT NULL THEN 'invalid' ELSE 'missing' END AS status FROM (
+      SELECT job, count(DISTINCT CAST(raw AS DECIMAL(20, 2))) AS k, arg_min(raw, batch) FILTER (WHERE status = 'extracted') AS ext, arg_min(raw, batch) FILTER (WHERE status = 'invalid') AS inv, count(*) AS batches,
+        array_to_string(list_transform(list_sort(list_distinct(flatten(list(pages)))), lambda x: CAST(x AS VARCHAR)), ',') AS pages FROM {_NUMBERS} n GROUP BY job) g) s""")
+def number_merge(spark, sf):
+    sql = _NUMBERS.replace("VARCHAR", "STRING").replace("[l_linenumber % 2 + 1, CAST(seq AS INT)]", "array(l_linenumber % 2 + 1, CAST(seq AS INT))").replace("FROM lineitem", "FROM {lines}")
+    rows = spark.sql(f"SELECT * FROM {sql} n", lines=table(spark, sf, "lineitem"))
+    merged = merge.merge_scalars(rows, ["job"], normal=fn.normal_number(F.col("raw")))
+    return merged.withColumn("pages", F.array_join(F.array_sort("pages"), ","))
+
+
+@query("job_outcome", f"""SELECT o_custkey, CASE WHEN NOT bool_or(has) THEN 'failed' WHEN bool_and(settled) AND o_custkey % 6 <> 0 THEN 'complete' ELSE 'partial' END AS outcome, CAST(sum(field) AS BIGINT) AS fields, count(*) AS results
+    FROM (SELECT o_custkey, status = 'extracted' AS has, status IN ('extracted', 'missing') AS settled, 1 AS field FROM {_MERGED} m JOIN orders ON job = o_orderkey
+      UNION ALL SELECT o_custkey, accepted > 0 OR (status = 'complete' AND rows = 0), status = 'complete', 0 FROM {_MERGED_LISTS} m JOIN orders ON job = o_orderkey) p GROUP BY o_custkey""")
 def job_outcome(spark, sf):
-    merged = merge.merge_scalars(adapter(spark, sf, "readings"), ["job"])
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return merge.outcome(merged.join(orders, F.col("job") == F.col("o_orderkey")), ["o_custkey"])
+    fields = merge.merge_scalars(adapter(spark, sf, "readings"), ["job"]).join(orders, F.col("job") == F.col("o_orderkey"))
+    found = _merged_lists(spark, sf).join(orders, F.col("job") == F.col("o_orderkey"))
+    return merge.outcome(fields, found, ["o_custkey"], F.col("o_custkey") % 6 != 0)
 
 
-@query("list_status", """SELECT job, status, CASE WHEN status <> 'complete' THEN CASE WHEN a THEN 'ambiguous' WHEN i THEN 'invalid' WHEN u THEN 'unreadable' WHEN m THEN CASE WHEN whole THEN 'missing' ELSE 'unreadable' END END END AS reason
-    FROM (SELECT job, bool_or(status = 'ambiguous') AS a, bool_or(status = 'invalid') AS i, bool_or(status = 'unreadable') AS u, bool_or(status = 'missing') AS m, job % 2 = 0 AS whole,
-       CASE WHEN job % 2 = 0 AND bool_and(status IN ('extracted', 'missing')) THEN 'complete' WHEN bool_or(status = 'extracted') THEN 'partial' ELSE 'unresolved' END AS status FROM {readings} r GROUP BY job) g""")
+@query("list_status", """SELECT job, status, CASE WHEN status = 'unresolved' THEN CASE WHEN a THEN 'ambiguous' WHEN i THEN 'invalid' WHEN u THEN 'unreadable' WHEN m THEN CASE WHEN whole THEN 'missing' ELSE 'unreadable' END ELSE 'ambiguous' END END AS reason
+    FROM (SELECT job, bool_or(status = 'ambiguous') AS a, bool_or(status = 'invalid') OR job % 9 = 4 AS i, bool_or(status = 'unreadable') AS u, bool_or(status = 'missing') AS m, job % 2 = 0 AS whole,
+       CASE WHEN job % 2 = 0 AND job % 3 <> 0 AND bool_and(status IN ('extracted', 'missing')) THEN 'complete' WHEN bool_or(status = 'extracted') THEN 'partial' ELSE 'unresolved' END AS status FROM {readings} r GROUP BY job) g""")
 def list_status(spark, sf):
-    return merge.list_status(adapter(spark, sf, "readings"), ["job"], F.col("job") % 2 == 0)
+    return merge.list_status(adapter(spark, sf, "readings"), ["job"], F.col("job") % 2 == 0, F.col("job") % 3 != 0, F.when(F.col("job") % 9 == 4, "invalid"))
 
 
 @query("replay_dedupe", """SELECT job, source_key, count(*) AS replays, CASE WHEN count(DISTINCT a) = 1 THEN min(a) END AS a, CASE WHEN count(DISTINCT b) = 1 THEN min(b) END AS b,
@@ -84,10 +105,18 @@ def matching_margin(spark, sf):
 
 
 @query("verify_ladder", """SELECT status, verified, count(*) AS n FROM (SELECT status, CASE WHEN status <> 'extracted' THEN status WHEN raw NOT IN ('A', 'N') THEN 'invalid' WHEN mille < 700 THEN 'ambiguous'
-    WHEN alternate <> raw THEN 'ambiguous' ELSE status END AS verified FROM {readings} r) v GROUP BY 1, 2""")
+    WHEN alternate <> raw OR mille % 29 = 0 THEN 'ambiguous' ELSE status END AS verified FROM {readings} r) v GROUP BY 1, 2""")
 def verify_ladder(spark, sf):
     rows = adapter(spark, sf, "readings")
-    checked = verify.ladder(F.col("status"), F.col("raw"), F.col("raw").isin("A", "N"), F.col("mille"), 700, F.col("alternate"))
+    # Numbers of one value in two spellings, as an alternate view may give them.
+    spelled = F.when(F.col("alternate") == "N", F.lit("10.00")).otherwise(F.col("alternate"))
+    own = F.when(F.col("raw") == "N", F.lit("10")).otherwise(F.col("raw"))
+    seen = F.when(F.col("mille") % 29 == 0, "unreadable").otherwise("extracted")
+
+    def normal(x):
+        return F.coalesce(fn.normal_number(x), x)
+
+    checked = verify.ladder(F.col("status"), own, F.col("raw").isin("A", "N"), F.col("mille"), 700, spelled, seen, normal)
     return rows.groupBy("status", checked.alias("verified")).agg(F.count("*").alias("n"))
 
 
@@ -119,11 +148,11 @@ _RISK = f"""(SELECT p.index, p.v2, p.v1, p.margin, coalesce(accepted, 0) AS acce
         (SELECT job, max(CASE WHEN ix = selected THEN mille END) - max(CASE WHEN ix <> selected THEN mille END) AS lead FROM {{matching}} m GROUP BY job) l ON lead > 0 AND lead > p.margin GROUP BY index) y ON y.index = p.index)"""
 
 
-def _risk(spark, sf):
+def _risk(spark, sf, correct="raw = 'N'", right="job % 97 <> 0"):
     values = adapter(spark, sf, "readings").where("status = 'extracted' AND raw IN ('A', 'N')").select(
-        "job", "mille", (F.col("alternate") == F.col("raw")).alias("confirmed"), (F.col("raw") == "N").alias("correct")
+        "job", "mille", (F.col("alternate") == F.col("raw")).alias("confirmed"), F.expr(correct).alias("correct")
     )
-    jobs = verify.leads(adapter(spark, sf, "matching")).select("job", "lead", (F.col("job") % 97 != 0).alias("right"))
+    jobs = verify.leads(adapter(spark, sf, "matching")).select("job", "lead", F.expr(right).alias("right"))
     return verify.risk_coverage(values, jobs, spark)
 
 
@@ -137,10 +166,23 @@ def signal_curves(spark, sf):
     return _risk(spark, sf).where("NOT v2 AND margin = 0").select("index", "v1", "accepted", "wrong")
 
 
-@query("select_point", f"""SELECT index, v2, v1, margin, completeness FROM (SELECT *, round(accepted / (max(accepted) OVER ()), 1) AS completeness FROM {_RISK} r) s
-    WHERE wrong_profiles <= profiles AND index % 5 <> 0 ORDER BY completeness DESC, v2, coalesce(v1, -1) DESC, margin DESC, index LIMIT 1""")
+# Facts with error-free points: values are wrong only under a probability of 0.85, profiles only up to a lead of 0.3.
+_LESS_RISK = _RISK.replace("raw <> 'N'", "raw <> 'N' AND mille < 850").replace("job % 97 = 0", "job % 97 = 0 AND lead <= 300")
+
+
+@query("select_point", f"""SELECT index, v2, v1, margin, accepted, completeness FROM (SELECT *, round(accepted / (SELECT count(*) FROM {{readings}} r WHERE status = 'extracted' AND raw IN ('A', 'N')), 9) AS completeness FROM {_LESS_RISK} r) s
+    WHERE wrong = 0 AND wrong_profiles = 0 ORDER BY completeness DESC, v2, coalesce(v1, -1) DESC, margin DESC, index LIMIT 1""")
 def select_point(spark, sf):
-    points = _risk(spark, sf)
-    most = points.agg(F.max("accepted").alias("most"))
-    scored = points.crossJoin(F.broadcast(most)).withColumn("completeness", F.round(F.col("accepted") / F.col("most"), 1)).withColumn("wrong", F.expr("CASE WHEN index % 5 = 0 THEN 1 ELSE 0 END")).withColumn("wrong_profiles", F.lit(0))
-    return verify.select_point(scored).select("index", "v2", "v1", "margin", "completeness")
+    points = _risk(spark, sf, "raw = 'N' OR mille >= 850", "job % 97 <> 0 OR lead > 300")
+    total = adapter(spark, sf, "readings").where("status = 'extracted' AND raw IN ('A', 'N')").agg(F.count("*").alias("total"))
+    scored = points.crossJoin(F.broadcast(total)).withColumn("completeness", F.round(F.try_divide("accepted", "total"), 9))  # one row
+    return verify.select_point(scored).select("index", "v2", "v1", "margin", "accepted", "completeness")
+
+
+@query("freeze_gate", f"""SELECT index, CASE WHEN wrong > 0 OR wrong_profiles > 0 THEN 'calibration_point_has_errors' WHEN accepted IS NULL OR accepted < 0.1 * (SELECT count(*) FROM {{readings}} r WHERE status = 'extracted' AND raw IN ('A', 'N'))
+    THEN 'calibration_completeness_below_target' ELSE 'selectable' END AS gate FROM {_LESS_RISK} r""")
+def freeze_gate(spark, sf):
+    points = _risk(spark, sf, "raw = 'N' OR mille >= 850", "job % 97 <> 0 OR lead > 300")
+    total = adapter(spark, sf, "readings").where("status = 'extracted' AND raw IN ('A', 'N')").agg(F.count("*").alias("total"))
+    scored = points.crossJoin(F.broadcast(total)).withColumn("completeness", F.try_divide("accepted", "total"))  # one row
+    return scored.select("index", verify.freeze_gate(F.col("wrong"), F.col("wrong_profiles"), F.col("completeness"), 0.1).alias("gate"))

@@ -101,14 +101,17 @@ def safe_path(spark, sf):
     return rows.withColumn("safe", fn.safe_path(F.col("path")))
 
 
-@query("magic_kind", """
-    SELECT kind, count(*) AS n FROM (SELECT CASE WHEN page_id % 4 = 0 THEN 'png' WHEN page_id % 4 = 1 THEN 'jpeg' WHEN page_id % 4 = 2 THEN 'pdf' END AS kind FROM pages) p GROUP BY kind""")
+# The bytes of a file: a signature before the page's whole text, or within it.
+_CONTENT = """CASE WHEN page_id % 5 = 0 THEN unhex('89504E470D0A1A0A') || encode(html) WHEN page_id % 5 = 1 THEN unhex('FFD8FFE0') || encode(html) WHEN page_id % 5 = 2 THEN encode(left(html, page_id % 2000) || '%PDF-1.7')
+    WHEN page_id % 5 = 3 THEN unhex('FFD8') || encode(html) ELSE encode(html) END"""
+
+
+@query("magic_kind", f"""
+    SELECT kind, count(*) AS n FROM (SELECT CASE WHEN left(h, 16) = '89504E470D0A1A0A' THEN 'png' WHEN left(h, 6) = 'FFD8FF' THEN 'jpeg' WHEN regexp_matches(left(h, 2048), '^(..)*255044462D') THEN 'pdf' END AS kind
+      FROM (SELECT hex({_CONTENT}) AS h FROM pages) c) p GROUP BY kind""")
 def magic_kind(spark, sf):
-    key = F.col("page_id") % 4
-    head = F.when(key == 0, F.unhex(F.lit("89504E470D0A1A0A"))).when(key == 1, F.unhex(F.lit("FFD8FFE0"))).when(key == 2, F.encode(F.lit(" junk %PDF-1.7"), "UTF-8"))
-    content = F.concat(F.coalesce(head, F.encode(F.lit("GIF8"), "UTF-8")), F.encode(F.substring("html", 1, 100), "UTF-8"))
-    rows = table(spark, sf, "pages").select(fn.media_kind(content).alias("kind"))
-    return rows.groupBy("kind").agg(F.count("*").alias("n"))
+    sql = _CONTENT.replace("encode(html)", "encode(html, 'UTF-8')").replace("'%PDF-1.7')", "'%PDF-1.7', 'UTF-8')").replace("page_id % 2000", "CAST(page_id % 2000 AS INT)")
+    return table(spark, sf, "pages").select(fn.media_kind(F.expr(sql)).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("iou", """
@@ -158,16 +161,16 @@ def field_violations(spark, sf):
 
 @query("list_violations", """
     SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([
-        CASE WHEN status = 'complete' AND NOT whole THEN 'complete_needs_enumeration' END, CASE WHEN status = 'complete' AND reason IS NOT NULL THEN 'reason_forbidden' END,
-        CASE WHEN status <> 'complete' AND reason IS NULL THEN 'reason_required' END, CASE WHEN status = 'partial' AND rows = 0 THEN 'partial_needs_rows' END,
-        CASE WHEN status = 'unresolved' AND extracted > 0 THEN 'unresolved_has_values' END], lambda x: x IS NOT NULL)) AS rule
+        CASE WHEN status = 'complete' AND (NOT whole OR NOT resolved) THEN 'complete_needs_enumeration_and_cells' END, CASE WHEN status = 'partial' AND NOT accepted THEN 'partial_needs_accepted_cell' END,
+        CASE WHEN status = 'unresolved' AND accepted THEN 'unresolved_has_accepted_cell' END, CASE WHEN status = 'unresolved' AND reason IS NULL THEN 'unresolved_needs_reason' END,
+        CASE WHEN status <> 'unresolved' AND reason IS NOT NULL THEN 'reason_forbidden' END, CASE WHEN status = 'partial' AND whole AND resolved THEN 'partial_is_complete' END], lambda x: x IS NOT NULL)) AS rule
       FROM (SELECT CASE job % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' ELSE 'unresolved' END AS status, job % 2 = 0 AS whole, CASE WHEN job % 5 = 0 THEN 'missing' END AS reason,
-                   count(*) FILTER (WHERE a <> 'A') AS rows, count(*) FILTER (WHERE b = 'O') AS extracted FROM {list_rows} GROUP BY job) l) v GROUP BY 1""")
+                   bool_or(a <> 'A') AS accepted, bool_and(b = 'O') AS resolved FROM {list_rows} GROUP BY job) l) v GROUP BY 1""")
 def list_violations(spark, sf):
-    rows = adapter(spark, sf, "list_rows").groupBy("job").agg(F.count_if(F.col("a") != "A").alias("rows"), F.count_if(F.col("b") == "O").alias("extracted")).selectExpr(
-        "CASE job % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' ELSE 'unresolved' END AS status", "job % 2 = 0 AS whole", "CASE WHEN job % 5 = 0 THEN 'missing' END AS reason", "rows", "extracted"
+    rows = adapter(spark, sf, "list_rows").groupBy("job").agg(F.bool_or(F.col("a") != "A").alias("accepted"), F.bool_and(F.col("b") == "O").alias("resolved")).selectExpr(
+        "CASE job % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' ELSE 'unresolved' END AS status", "job % 2 = 0 AS whole", "CASE WHEN job % 5 = 0 THEN 'missing' END AS reason", "accepted", "resolved"
     )
-    broken = contracts.violations(rows, contracts.list_rules(*(F.col(c) for c in ("status", "whole", "reason", "rows", "extracted"))))
+    broken = contracts.violations(rows, contracts.list_rules(*(F.col(c) for c in ("status", "whole", "reason", "accepted", "resolved"))))
     return broken.groupBy("rule").agg(F.count("*").alias("n"))
 
 
@@ -205,7 +208,8 @@ def log_allowlist(spark, sf):
     return contracts.allowed_log(table(spark, sf, "events"), F.col("event_type"), F.col("props"), ["error", "signup"], "[0-9]").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("accepted_values", "SELECT status, count(CASE WHEN status = 'extracted' THEN raw END) AS accepted, count(*) AS n FROM {readings} r GROUP BY 1")
+@query("accepted_values", """SELECT status, accepted, count(*) AS n FROM (SELECT status, CASE WHEN status = 'extracted' THEN CASE WHEN raw = 'N' AND mille % 2 = 0 THEN 'no' ELSE raw END END AS accepted FROM {readings} r) a GROUP BY 1, 2""")
 def accepted_values(spark, sf):
-    rows = adapter(spark, sf, "readings").withColumn("accepted", contracts.accepted_value(F.col("status"), F.lit(None).cast("string"), F.col("raw")))
-    return rows.groupBy("status").agg(F.count("accepted").alias("accepted"), F.count("*").alias("n"))
+    normal = F.when((F.col("raw") == "N") & (F.col("mille") % 2 == 0), "no")
+    accepted = contracts.accepted_value(F.col("status"), normal, F.col("raw"))
+    return adapter(spark, sf, "readings").groupBy("status", accepted.alias("accepted")).agg(F.count("*").alias("n"))
