@@ -179,10 +179,10 @@ def select_point(spark, sf):
     return verify.select_point(scored).select("index", "v2", "v1", "margin", "accepted", "completeness")
 
 
-@query("freeze_gate", f"""SELECT index, CASE WHEN wrong > 0 OR wrong_profiles > 0 THEN 'calibration_point_has_errors' WHEN accepted IS NULL OR accepted < 0.1 * (SELECT count(*) FROM {{readings}} r WHERE status = 'extracted' AND raw IN ('A', 'N'))
+@query("freeze_gate", f"""SELECT index, CASE WHEN wrong > 0 OR wrong_profiles > 0 THEN 'calibration_point_has_errors' WHEN accepted IS NULL OR accepted < 0.04 * (SELECT count(*) FROM {{readings}} r WHERE status = 'extracted' AND raw IN ('A', 'N'))
     THEN 'calibration_completeness_below_target' ELSE 'selectable' END AS gate FROM {_LESS_RISK} r""")
 def freeze_gate(spark, sf):
     points = _risk(spark, sf, "raw = 'N' OR mille >= 850", "job % 97 <> 0 OR lead > 300")
     total = adapter(spark, sf, "readings").where("status = 'extracted' AND raw IN ('A', 'N')").agg(F.count("*").alias("total"))
     scored = points.crossJoin(F.broadcast(total)).withColumn("completeness", F.try_divide("accepted", "total"))  # one row
-    return scored.select("index", verify.freeze_gate(F.col("wrong"), F.col("wrong_profiles"), F.col("completeness"), 0.1).alias("gate"))
+    return scored.select("index", verify.freeze_gate(F.col("wrong"), F.col("wrong_profiles"), F.col("completeness"), 0.04).alias("gate"))

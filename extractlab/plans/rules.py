@@ -82,12 +82,12 @@ def review_methods(spark, sf):
     return found.withColumn("methods", F.array_join(rules.applicable_methods(F.when(F.col("script") == "en", "permitted_public").otherwise("synthetic")), ","))
 
 
-@query("retirable_owners", """SELECT owner FROM (SELECT owner, max(t) AS last, (SELECT max(t) FROM {updates} v) AS now, bool_or(kind = 'purchase' AND event_id % 5 = 0) AS active FROM {updates} u GROUP BY owner) s
-    WHERE owner % 3 <> 0 AND NOT active AND owner % 7 <> 0 AND now - last >= 3600""")
+@query("retirable_owners", """SELECT owner FROM (SELECT owner, max(t) AS last, (SELECT max(t) FROM {updates} v) AS now, bool_or(kind = 'purchase' AND event_id % 97 = 0) AS active FROM {updates} u GROUP BY owner) s
+    WHERE owner % 3 <> 0 AND NOT active AND owner % 7 <> 0 AND now - last >= 3600 """)
 def retirable_owners(spark, sf):
     events = adapter(spark, sf, "updates")
     now = events.agg(F.max("t").alias("now"))  # one row
-    state = events.groupBy("owner").agg(F.max("t").alias("last"), F.bool_or((F.col("kind") == "purchase") & (F.col("event_id") % 5 == 0)).alias("active")).crossJoin(F.broadcast(now))
+    state = events.groupBy("owner").agg(F.max("t").alias("last"), F.bool_or((F.col("kind") == "purchase") & (F.col("event_id") % 97 == 0)).alias("active")).crossJoin(F.broadcast(now))
     off = F.lit(False)
     return state.where(rules.retirable(F.col("owner") % 3 == 0, off, F.col("active"), F.col("owner") % 7 == 0, F.lit(True), F.col("now"), F.col("last"))).select("owner")
 
@@ -226,9 +226,9 @@ def canonical_rows(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.sha2(rules.canonical_json(row), 256).alias("sha256"))
 
 
-@query("duplicate_ids", "SELECT owner, message_id, count(*) AS n FROM {updates} u GROUP BY 1, 2 HAVING count(*) > 1")
+@query("duplicate_ids", "SELECT owner, message_id % 100 AS message, count(*) AS n FROM {updates} u GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_ids(spark, sf):
-    return adapter(spark, sf, "updates").groupBy("owner", "message_id").agg(F.count("*").alias("n")).where("n > 1")
+    return adapter(spark, sf, "updates").groupBy("owner", (F.col("message_id") % 100).alias("message")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("profile_view", "SELECT owner, CAST(row_number() OVER (PARTITION BY owner ORDER BY created, id) AS INT) AS position, name FROM {profiles} p")
