@@ -81,7 +81,7 @@ def delivered(attempts: DataFrame, key: str, order: str, outcome: str) -> DataFr
 
 def admitted(files: DataFrame, page_times: DataFrame, budget: int, overhead: int) -> DataFrame:
     """Submissions whose pages fit the budget. ``page_times`` has a row for each file kind only."""
-    cost = files.join(F.broadcast(page_times), "kind").groupBy("submission").agg((F.sum(F.col("pages") * F.col("cost")) + overhead).alias("cost"))
+    cost = files.join(page_times, "kind").groupBy("submission").agg((F.sum(F.col("pages") * F.col("cost")) + overhead).alias("cost"))
     return cost.withColumn("admitted", F.col("cost") <= budget)
 
 
@@ -120,9 +120,9 @@ def busy_seconds(events: DataFrame, time: str, window: int) -> DataFrame:
 
 def retained(seen: DataFrame, owner: str, item: str, limit: int, keep: int) -> DataFrame:
     """Owners with more than ``limit`` items keep their ``keep`` largest, others all."""
-    sizes = seen.groupBy(owner).agg(F.count("*").alias("_size"))
-    rank = F.row_number().over(Window.partitionBy(owner).orderBy(F.col(item).desc()))
-    return seen.withColumn("_rank", rank).join(sizes, owner).where((F.col("_size") <= limit) | (F.col("_rank") <= keep)).select(owner, item)
+    own = Window.partitionBy(owner)
+    ranked = seen.withColumn("_rank", F.row_number().over(own.orderBy(F.col(item).desc()))).withColumn("_size", F.count("*").over(own))
+    return ranked.where((F.col("_size") <= limit) | (F.col("_rank") <= keep)).select(owner, item)
 
 
 def replayed(calls: DataFrame, budgets: DataFrame, case: str, order: str, seconds: str, rejects: Column) -> DataFrame:

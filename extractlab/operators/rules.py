@@ -12,6 +12,13 @@ COMPONENTS = (
     ("code_sha256", "code_hash_mismatch"), ("prompt", "prompt_mismatch"), ("runtime_artifacts", "runtime_artifacts_mismatch"),
     ("runtime_profile", "runtime_profile_mismatch"), ("core", "core_settings_mismatch"), ("dependencies", "dependency_versions_mismatch"),
 )
+#: The states of a job, with those that may follow. Any may finish.
+NEXT_STATES = {
+    "collecting": ("admission",), "admission": ("queued",), "queued": ("delivering", "awaiting_choice", "awaiting_instruction", "restarting"),
+    "awaiting_choice": ("queued", "awaiting_instruction", "restarting"), "awaiting_instruction": ("compiling", "queued", "restarting"),
+    "compiling": ("awaiting_confirmation", "awaiting_instruction", "restarting"), "awaiting_confirmation": ("saving", "awaiting_instruction", "restarting"),
+    "saving": ("queued", "awaiting_choice", "awaiting_confirmation", "awaiting_instruction", "restarting"), "delivering": (), "restarting": ("collecting",), "finishing": (),
+}
 IDLE_ACTOR = 3600
 ADMITTED_JOBS, MAX_DRAFTS = 8, 10
 PREVIEW_UNITS = 3900
@@ -169,6 +176,20 @@ def admission(requests: DataFrame, owner: str, start: str, end: str, jobs: int =
     return out.select("id", "active", "own", F.when(F.col("own") > 0, "one_job_at_a_time").when(F.col("active") >= jobs, "busy").otherwise("admitted").alias("decision"))
 
 
+def transitions() -> list[tuple[str, str]]:
+    """All pairs of a job's state and one that may follow it."""
+    return sorted({(a, b) for a, then in NEXT_STATES.items() for b in (*then, *(("finishing",) if a != "finishing" else ()))})
+
+
+def illegal_transitions(log: DataFrame, job: str, order: str, state: str) -> DataFrame:
+    """Steps of a job's log that its states do not allow; the first state must be collecting."""
+    before = F.lag(state).over(Window.partitionBy(job).orderBy(order))
+    steps = log.select(job, order, before.alias("a"), F.col(state).alias("b"))
+    allowed = F.map_from_entries(F.array(*(F.struct(F.lit(a), F.array(*(F.lit(y) for x, y in transitions() if x == a)).cast("array<string>")) for a in NEXT_STATES)))
+    fine = F.when(F.col("a").isNull(), F.col("b") == "collecting").otherwise(F.array_contains(F.element_at(allowed, F.col("a")), F.col("b")))
+    return steps.where(~F.coalesce(fine, F.lit(False)))
+
+
 def draft_problems(drafts: DataFrame, current: DataFrame, key: str) -> DataFrame:
     """By profile whether its drafts refer to its current fields: at most ``MAX_DRAFTS``, every index used once and there."""
     sizes = current.groupBy(key).agg(F.count("*").alias("_size"))

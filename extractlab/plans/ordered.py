@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from extractlab.functions.scalar import utf16_length
-from extractlab.operators import flow, ordered
+from extractlab.operators import flow, ordered, rules
 from extractlab.plans.registry import query
 from extractlab.sources.adapters import adapter, table
 
@@ -88,12 +88,15 @@ def value_independence(spark, sf):
     return docs.where("doc_id % 5 = 0 AND size >= 40").join(docs.where("doc_id % 5 <> 0").select("sha"), "sha", "left_semi").select("doc_id")
 
 
-@query("job_transitions", """SELECT owner, event_id, a, b FROM (SELECT owner, event_id, lag(kind) OVER (PARTITION BY owner ORDER BY event_id) AS a, kind AS b FROM {updates} u) t
-    WHERE a IS NOT NULL AND NOT (a = 'view' OR (a = 'click' AND b IN ('purchase', 'view')) OR b = 'error' OR a = b)""")
+# A job's log: most steps go on by one state of the usual course, some jump.
+_COURSE = ("collecting", "admission", "queued", "awaiting_choice", "awaiting_instruction", "compiling", "awaiting_confirmation", "saving", "delivering", "finishing")
+_LOG = f"""(SELECT owner, event_id, CASE (n + CASE WHEN event_id % 7 = 0 THEN 2 ELSE 0 END) % 10 {" ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_COURSE))} END AS state
+    FROM (SELECT owner, event_id, row_number() OVER (PARTITION BY owner ORDER BY event_id) - 1 AS n FROM {{updates}} u) t)"""
+
+
+@query("job_transitions", f"""SELECT owner, event_id, a, b FROM (SELECT owner, event_id, lag(state) OVER (PARTITION BY owner ORDER BY event_id) AS a, state AS b FROM {_LOG} l) t
+    WHERE CASE WHEN a IS NULL THEN b <> 'collecting' ELSE (a, b) NOT IN ({", ".join(f"('{a}', '{b}')" for a, b in rules.transitions())}) END""")
 def job_transitions(spark, sf):
-    kinds = ("view", "click", "purchase", "signup", "error")
-    pairs = {("view", k) for k in kinds} | {("click", "purchase"), ("click", "view")} | {(k, "error") for k in kinds} | {(k, k) for k in kinds}
-    allowed = spark.createDataFrame(sorted(pairs), "a string, b string")
-    before = F.lag("kind").over(Window.partitionBy("owner").orderBy("event_id"))
-    steps = adapter(spark, sf, "updates").select("owner", "event_id", before.alias("a"), F.col("kind").alias("b")).where("a IS NOT NULL")
-    return steps.join(F.broadcast(allowed), ["a", "b"], "left_anti").select("owner", "event_id", "a", "b")
+    log = spark.sql(f"SELECT * FROM {_LOG.replace('{updates}', '{events}')} l", events=adapter(spark, sf, "updates"))
+    return rules.illegal_transitions(log, "owner", "event_id", "state")
+
