@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from extractlab.plans import lists, operations, ordered, recognition, reports, rules, scalars  # noqa: F401  they register their queries
+from extractlab.plans import lists, operations, ordered, recognition, replays, reports, rules, scalars  # noqa: F401  they register their queries
 from extractlab.plans.registry import ORACLES, QUERIES
 
 

@@ -19,6 +19,8 @@ NEXT_STATES = {
     "compiling": ("awaiting_confirmation", "awaiting_instruction", "restarting"), "awaiting_confirmation": ("saving", "awaiting_instruction", "restarting"),
     "saving": ("queued", "awaiting_choice", "awaiting_confirmation", "awaiting_instruction", "restarting"), "delivering": (), "restarting": ("collecting",), "finishing": (),
 }
+#: Failures that may come from the time spent.
+BUDGET_CODES = ("processing_budget_exhausted", "runtime_timeout", "worker_timeout")
 IDLE_ACTOR = 3600
 ADMITTED_JOBS, MAX_DRAFTS = 8, 10
 PREVIEW_UNITS = 3900
@@ -157,7 +159,7 @@ def probability_map(tokens: DataFrame, keys: list[str], pointer: str, order: str
 
 def undetermined(budget: int | None, skipped: Column, skipped_error: Column, code: Column, elapsed: Column) -> Column:
     """Whether a recorded failure need not happen to a job that skips calls: it spent time or broke the runtime on them."""
-    budgeted = (skipped > 0) & code.isin("processing_budget_exhausted")
+    budgeted = (skipped > 0) & code.isin(*BUDGET_CODES)
     if budget is not None:
         budgeted = budgeted & (elapsed > budget)
     return skipped_error | budgeted

@@ -105,6 +105,8 @@ def select_point(points: DataFrame) -> DataFrame:
     """The point to freeze: no error and nothing unreplayable, most complete, then without alternate view,
     the higher token threshold, the higher margin, the first."""
     free = points.where("wrong = 0 AND wrong_profiles = 0")
+    if "unreplayable" in points.columns:
+        free = free.where("unreplayable = 0")
     return free.orderBy(F.coalesce("completeness", F.lit(0.0)).desc(), F.col("v2"), F.coalesce("v1", F.lit(-1)).desc(), F.col("margin").desc(), "index").limit(1)
 
 

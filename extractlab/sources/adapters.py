@@ -46,6 +46,16 @@ ADAPTERS = {
         SELECT event_id AS call_id, user_id AS case_id,
                CASE WHEN event_type = 'view' THEN 'extraction' WHEN event_type = 'click' THEN 'alternate' WHEN event_type = 'purchase' THEN 'matching' ELSE 'token_count' END AS kind,
                CAST(round(abs(value) * 100) AS BIGINT) AS centis, CAST(1 + event_id % 3 AS INT) AS pages FROM events""",
+    # Traces of jobs: how each began and ended, and its batches, read once or twice (times in hundredths).
+    "traces": """
+        SELECT o_orderkey AS job, o_custkey % 300 AS setup, n + CASE WHEN o_orderkey % 31 = 5 THEN 1 ELSE 0 END AS pages, o_orderkey % 9 = 0 AS manual,
+               CASE WHEN o_orderkey % 37 = 3 THEN NULL WHEN o_orderkey % 29 = 4 THEN 'no_profile' ELSE 'matched' END AS matching,
+               CASE WHEN o_custkey % 19 = 0 THEN 'runtime_timeout' WHEN o_custkey % 23 = 0 THEN 'damaged_input' WHEN o_custkey % 41 = 0 THEN 'runtime_failure' END AS failure,
+               o_custkey % 500 AS phase, 900 + o_orderkey % 4000 AS elapsed
+        FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) c ON l_orderkey = o_orderkey""",
+    "trace_batches": """
+        SELECT job, batch, 1 AS pages, 100 + mille AS first_s, mille % 97 = 0 AS rejects, mille % 53 <> 0 AS attempted, mille % 400 AS second_s,
+               CASE WHEN mille % 61 = 0 THEN 'runtime_failure' WHEN mille % 67 = 0 THEN 'recognition_contract_violation' END AS second_error, mille % 71 = 0 AS second_rejects FROM {readings} r""",
     # Owners' updates in order: seconds since the epoch, kind, message and generation numbers.
     "updates": """
         SELECT event_id, user_id AS owner, {seconds} AS t, event_type AS kind, event_id % 997 AS message_id, CAST(event_id % 4 AS INT) AS generation,
