@@ -136,3 +136,36 @@ def replayed(calls: DataFrame, budgets: DataFrame, case: str, order: str, second
     )
     late_first = F.col("late").isNotNull() & (F.col("mixed").isNull() | (F.col("late") <= F.col("mixed")))
     return each.select(case, "budget", F.when(late_first, "timeout").when(F.col("mixed").isNotNull(), "mixed").otherwise("complete").alias("state"))
+
+
+def previews(events: DataFrame, owner: str, time: str, order: str, action: str, ttl: int = INACTIVITY) -> DataFrame:
+    """(owner, order, outcome) of events that stage, show, confirm or cancel a preview. Staging replaces the owner's
+    former preview. Silence of ``ttl`` or a cancellation ends it, and what then refers to it is ``expired``. The first
+    confirmation is ``saved``, further ones are ``repeated`` and change nothing."""
+    mine = Window.partitionBy(owner).orderBy(time, order)
+    staged = F.col(action) == "stage"
+    rows = events.withColumn("_n", F.sum(F.when(staged, 1).otherwise(0)).over(mine.rowsBetween(Window.unboundedPreceding, 0)))
+    one = Window.partitionBy(owner, "_n").orderBy(time, order)
+    rows = rows.withColumn("_silent", F.coalesce(F.col(time) - F.lag(time).over(one) >= ttl, F.lit(False)))
+    until, before = one.rowsBetween(Window.unboundedPreceding, 0), one.rowsBetween(Window.unboundedPreceding, -1)
+    gone = (F.col("_n") == 0) | F.bool_or("_silent").over(until) | F.coalesce(F.bool_or(F.col(action) == "cancel").over(before), F.lit(False))
+    confirms = F.when((F.col(action) == "confirm") & ~F.col("_gone"), 1).otherwise(0)
+    rows = rows.withColumn("_gone", gone).withColumn("_saves", F.sum(confirms).over(until))
+    outcome = (
+        F.when(staged, "staged").when(F.col("_gone"), "expired").when(F.col(action) == "cancel", "cancelled")
+        .when(F.col(action) == "show", "shown").when(F.col("_saves") == 1, "saved").otherwise("repeated")
+    )
+    return rows.select(owner, order, outcome.alias("outcome"))
+
+
+def late_fragments(fragments: DataFrame, keys: list[str], time: str, order: str, quiet: int, work: int) -> DataFrame:
+    """What each fragment of an album does to its job, and the job's generation. After ``quiet`` without a fragment the job
+    starts, ``work`` later it delivers: a fragment between the two stops the pass and begins a new generation, one
+    after the delivery is refused, and so is all that follows."""
+    by = Window.partitionBy(*keys).orderBy(time, order)
+    until = by.rowsBetween(Window.unboundedPreceding, 0)
+    rows = fragments.withColumn("_gap", F.coalesce(F.col(time) - F.lag(time).over(by), F.lit(0)))
+    rows = rows.withColumn("_closed", F.bool_or(F.col("_gap") >= quiet + work).over(until))
+    again = ~F.col("_closed") & (F.col("_gap") >= quiet)
+    generation = F.sum(F.when(again, 1).otherwise(0)).over(until) + 1
+    return rows.select(*keys, order, F.when(F.col("_closed"), "refused").when(again, "restart").otherwise("received").alias("effect"), generation.alias("album_generation"))

@@ -100,3 +100,30 @@ def job_transitions(spark, sf):
     log = spark.sql(f"SELECT * FROM {_LOG.replace('{updates}', '{events}')} l", events=adapter(spark, sf, "updates"))
     return rules.illegal_transitions(log, "owner", "event_id", "state")
 
+
+
+_ACTIONS = "CASE WHEN event_id % 4 = 0 THEN 'stage' WHEN event_id % 11 = 0 THEN 'cancel' WHEN event_id % 3 = 0 THEN 'confirm' ELSE 'show' END"
+# Six days of silence end a preview here; the SQL walks through an owner's events.
+_TTL = 6 * 86_400
+
+
+@query("preview_outcomes", f"""WITH RECURSIVE e AS (SELECT owner, event_id, t, {_ACTIONS} AS a, row_number() OVER (PARTITION BY owner ORDER BY t, event_id) AS n FROM {{updates}} u),
+    w AS (SELECT owner, event_id, n, t, a = 'stage' AS live, false AS saved, CASE WHEN a = 'stage' THEN 'staged' ELSE 'expired' END AS outcome FROM e WHERE n = 1
+      UNION ALL SELECT e.owner, e.event_id, e.n, e.t, CASE WHEN e.a = 'stage' THEN true WHEN e.a = 'cancel' THEN false ELSE w.live AND e.t - w.t < {_TTL} END,
+        e.a <> 'stage' AND w.live AND e.t - w.t < {_TTL} AND (w.saved OR e.a = 'confirm'),
+        CASE WHEN e.a = 'stage' THEN 'staged' WHEN NOT (w.live AND e.t - w.t < {_TTL}) THEN 'expired' WHEN e.a = 'cancel' THEN 'cancelled' WHEN e.a = 'show' THEN 'shown' WHEN w.saved THEN 'repeated' ELSE 'saved' END
+      FROM w JOIN e ON e.owner = w.owner AND e.n = w.n + 1)
+    SELECT owner, event_id, outcome FROM w""")
+def preview_outcomes(spark, sf):
+    rows = adapter(spark, sf, "updates").withColumn("action", F.expr(_ACTIONS))
+    return flow.previews(rows, "owner", "t", "event_id", "action", _TTL)
+
+
+@query("late_fragments", """WITH RECURSIVE e AS (SELECT owner, generation AS album, event_id, t, row_number() OVER (PARTITION BY owner, generation ORDER BY t, event_id) AS n FROM {updates} u),
+    w AS (SELECT owner, album, event_id, n, t, 'received' AS effect, 1 AS g FROM e WHERE n = 1
+      UNION ALL SELECT e.owner, e.album, e.event_id, e.n, e.t, CASE WHEN w.effect = 'refused' OR e.t - w.t >= 1000000 THEN 'refused' WHEN e.t - w.t >= 200000 THEN 'restart' ELSE 'received' END,
+        w.g + CASE WHEN w.effect <> 'refused' AND e.t - w.t >= 200000 AND e.t - w.t < 1000000 THEN 1 ELSE 0 END FROM w JOIN e ON e.owner = w.owner AND e.album = w.album AND e.n = w.n + 1)
+    SELECT owner, album, event_id, effect, CAST(g AS BIGINT) AS album_generation FROM w""")
+def late_fragments(spark, sf):
+    rows = adapter(spark, sf, "updates").withColumnRenamed("generation", "album")
+    return flow.late_fragments(rows, ["owner", "album"], "t", "event_id", 200_000, 800_000)

@@ -39,3 +39,64 @@ def inactivity_sessions(updates: DataFrame, owner: str, time: str, gap: int, del
     return updates.withWatermark(time, delay).groupBy(owner).applyInPandasWithState(
         step, f"{owner} long, start double, end double, events long", "start double, end double, events long", "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def preview_outcomes(events: DataFrame, owner: str, time: str, order: str, action: str, ttl: int, delay: str = "1 hour") -> DataFrame:
+    """(owner, order, outcome) as :func:`extractlab.operators.flow.previews` gives it, while events arrive. State is the
+    owner's one preview: its last activity and whether it is saved; a timer drops it when the watermark shows it expired."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        told = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            live = list(state.get) if state.exists else None
+            for t, i, what in sorted((t.timestamp(), i, a) for b in batches for t, i, a in zip(b[time], b[order], b[action], strict=True)):
+                if live and t - live[0] >= ttl:
+                    live = None
+                if what == "stage":
+                    live, said = [t, False], "staged"
+                elif live is None:
+                    said = "expired"
+                elif what == "cancel":
+                    live, said = None, "cancelled"
+                elif what == "show":
+                    live, said = [t, live[1]], "shown"
+                else:
+                    live, said = [t, True], "repeated" if live[1] else "saved"
+                told.append((key[0], i, said))
+            if live:
+                state.update(tuple(live))
+                state.setTimeoutTimestamp(max(int((live[0] + ttl) * 1000), state.getCurrentWatermarkMs() + 1))
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame(told, columns=[owner, order, "outcome"])
+
+    return events.withWatermark(time, delay).groupBy(owner).applyInPandasWithState(
+        step, f"{owner} long, {order} long, outcome string", "activity double, saved boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def late_fragments(fragments: DataFrame, owner: str, album: str, time: str, order: str, quiet: int, work: int, remember: int, delay: str = "1 hour") -> DataFrame:
+    """(owner, album, order, effect, album_generation) as :func:`extractlab.operators.flow.late_fragments` gives it. A delivered
+    album is remembered for ``remember`` seconds after its last fragment; what comes later begins a new one."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        told = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            last, generation, closed = state.get if state.exists else (None, 1, False)
+            for t, i in sorted((t.timestamp(), i) for b in batches for t, i in zip(b[time], b[order], strict=True)):
+                gap = 0 if last is None else t - last
+                closed = closed or gap >= quiet + work
+                again = not closed and gap >= quiet
+                last, generation = t, generation + again
+                told.append((*key, i, "refused" if closed else "restart" if again else "received", generation))
+            state.update((last, generation, closed))
+            state.setTimeoutTimestamp(max(int((last + remember) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(told, columns=[owner, album, order, "effect", "album_generation"])
+
+    return fragments.withWatermark(time, delay).groupBy(owner, album).applyInPandasWithState(
+        step, f"{owner} long, {album} long, {order} long, effect string, album_generation long", "last double, generation long, closed boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )

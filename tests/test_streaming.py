@@ -37,3 +37,38 @@ def test_sessions_match_the_batch_form(spark, tmp_path):
     wanted = {(r["owner"], r["start"], r["end"], r["events"]) for r in flow.sessions(flat, "owner", "t", "event_id", 900).collect()}
     found = {(int(r.owner), int(r.start), int(r.end), int(r.events)) for r in got.itertuples()}
     assert {w for w in wanted if w[1] < 1_009_000} <= found <= wanted
+
+
+def events(spark, rows, folder):
+    """Rows (owner, t, event_id, action), a file for each list of them."""
+    schema = "owner long, ts timestamp, event_id long, action string"
+    for i, part in enumerate(rows):
+        frame = pd.DataFrame([(o, dt.datetime.fromtimestamp(t, dt.UTC), e, a) for o, t, e, a in part], columns=["owner", "ts", "event_id", "action"])
+        spark.createDataFrame(frame, schema).coalesce(1).write.parquet(f"{folder}/{i}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+STEPS = [
+    [(1, 1_000_000, 1, "confirm"), (1, 1_000_010, 2, "stage"), (1, 1_000_909, 3, "show"), (2, 1_000_000, 4, "stage"), (2, 1_000_001, 5, "confirm")],
+    [(1, 1_001_000, 6, "confirm"), (1, 1_001_000, 7, "confirm"), (2, 1_000_900, 8, "confirm"), (2, 1_001_800, 9, "confirm"), (2, 1_001_801, 10, "show")],
+    [(1, 1_001_010, 11, "stage"), (1, 1_001_011, 12, "cancel"), (1, 1_001_012, 13, "show"), (2, 1_001_802, 14, "stage"), (2, 1_001_803, 15, "confirm")],
+]
+OUTCOMES = ["expired", "staged", "shown", "staged", "saved", "saved", "repeated", "repeated", "expired", "expired", "staged", "cancelled", "expired", "staged", "saved"]
+
+
+def test_previews(spark, tmp_path):
+    flat = spark.createDataFrame([x for part in STEPS for x in part], "owner long, t long, event_id long, action string")
+    assert [r["outcome"] for r in flow.previews(flat, "owner", "t", "event_id", "action", 900).orderBy("event_id").collect()] == OUTCOMES
+    got = run(flows.preview_outcomes(events(spark, STEPS, tmp_path / "in"), "owner", "ts", "event_id", "action", 900), tmp_path / "c")
+    assert list(got.sort_values("event_id")["outcome"]) == OUTCOMES
+
+
+def test_late_fragments(spark, tmp_path):
+    times = [[(1, 1_000_000, 1), (1, 1_000_001, 2), (2, 1_000_000, 3)], [(1, 1_000_003, 4), (1, 1_000_004, 5), (2, 1_000_012, 6)], [(1, 1_000_015, 7), (1, 1_000_027, 8), (2, 1_000_013, 9)]]
+    rows = [[(o, t, e, "x") for o, t, e in part] for part in times]
+    flat = spark.createDataFrame([(o, 0, t, e) for part in times for o, t, e in part], "owner long, album long, t long, event_id long")
+    wanted = [("received", 1), ("received", 1), ("received", 1), ("restart", 2), ("received", 2), ("refused", 1), ("restart", 3), ("refused", 3), ("refused", 1)]
+    assert [r[3:] for r in flow.late_fragments(flat, ["owner", "album"], "t", "event_id", 2, 10).orderBy("event_id").collect()] == wanted
+    stream = events(spark, rows, tmp_path / "in").selectExpr("owner", "0L AS album", "ts", "event_id")
+    got = run(flows.late_fragments(stream, "owner", "album", "ts", "event_id", 2, 10, 900), tmp_path / "c").sort_values("event_id")
+    assert list(zip(got["effect"], got["album_generation"], strict=True)) == wanted
