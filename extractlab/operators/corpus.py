@@ -48,9 +48,9 @@ def contamination(members: DataFrame) -> DataFrame:
     return found.where("held AND seen").select("kind", "value", "members")
 
 
-def reasons(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """One row: the sorted names of the global rules (aggregates) that hold."""
-    return rows.agg(F.array_join(F.array_sort(F.array_compact(F.array(*(F.when(c, k) for k, c in rules.items())))), ",").alias("reasons"))
+def reasons(rows: DataFrame, rules: dict[str, Column], *keys: str) -> DataFrame:
+    """By key (none: one row) the sorted names of the rules (aggregates) that hold."""
+    return rows.groupBy(*keys).agg(F.array_join(F.array_sort(F.array_compact(F.array(*(F.when(c, k) for k, c in rules.items())))), ",").alias("reasons"))
 
 
 def inventory_difference(wanted: DataFrame, found: DataFrame, name: str) -> DataFrame:
