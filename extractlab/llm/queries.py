@@ -20,6 +20,9 @@ from extractlab.llm.op07_language import op7_language
 from extractlab.llm.op08_neighbours import op8_neighbours
 from extractlab.llm.op09_toxicity import op9_toxicity
 from extractlab.llm.op10_minhash import op10_minhash
+from extractlab.llm.op11_lloyd import op11_lloyd
+from extractlab.llm.op12_alignment import op12_alignment
+from extractlab.llm.op13_fingerprints import op13_fingerprints
 
 _VECTORS = """(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
@@ -46,6 +49,30 @@ _COPIES = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(co
     SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON doc_id = node"""
 
 
+def _lloyd(rounds: int = 10) -> str:
+    """The rounds one after another; sums and whole quotients in 128 bits."""
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))"
+
+    def assigned(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (SELECT n, arg_min(c.cluster, (d, c.cluster)) AS cluster, min(d) AS d, any_value(v) AS v FROM (
+            SELECT x.n, x.v, c.cluster, {distance} AS d FROM x, c{k} c) c GROUP BY n)"""
+
+    def moved(k: int) -> str:
+        return f"""c{k + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN (
+            SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+                SELECT cluster, i, sum(CAST(v[i] AS HUGEINT)) AS s, count(*) AS n FROM a{k}, range(1, 65) r(i) GROUP BY cluster, i) t GROUP BY cluster) m ON c.cluster = m.cluster)"""
+
+    steps = ",\n    ".join(s for k in range(rounds) for s in (assigned(k), moved(k)))
+    return f"""WITH x AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda y: CAST(floor(1024 * CAST(y AS DOUBLE)) AS HUGEINT)) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS cluster, v FROM x ORDER BY sha256('3:' || vec_id) LIMIT 8),
+    {steps},
+    {assigned(rounds)}
+    SELECT x.vec_id, CAST(a.cluster AS INT) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+        CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+    FROM a{rounds} a JOIN x ON x.n = a.n JOIN c{rounds} c ON c.cluster = a.cluster"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -58,8 +85,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_neighbours": op8_neighbours,
         "op9_toxicity": op9_toxicity,
         "op10_minhash": op10_minhash,
+        "op11_lloyd": op11_lloyd,
+        "op12_alignment": op12_alignment,
+        "op13_fingerprints": op13_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_vectors": _NEAR, "op8_neighbours": _NEAREST, "op10_minhash": _COPIES}
+    return {"op2_near_vectors": _NEAR, "op8_neighbours": _NEAREST, "op10_minhash": _COPIES, "op11_lloyd": _lloyd()}
