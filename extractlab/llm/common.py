@@ -85,6 +85,18 @@ def reading(documents: DataFrame, keep: list[str]) -> tuple[DataFrame, str, int]
     return documents.select(*keep, "text"), "text", len(keep)
 
 
+def sheltered(frame: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The frame with all columns but ``own`` under private names, so that a step's own columns can't meet them, and
+    what gives a frame with these columns their names and order back."""
+    names = [c if c in own else f"other{i}" for i, c in enumerate(frame.columns)]
+    quoted = [f"`{n}`" for n in names]
+
+    def back(found: DataFrame) -> DataFrame:
+        return found.select(*(F.col(n).alias(c) for n, c in zip(quoted, frame.columns, strict=True)))
+
+    return frame.toDF(*names), back
+
+
 def fold(df: DataFrame, key: str, modulus: int) -> DataFrame:
     """Column ``fold``: crc32 of the key as text, modulo ``modulus``."""
     return df.withColumn("fold", F.crc32(F.col(key).cast("string").cast("binary")) % modulus)

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from extractlab.llm.common import table, written
+from extractlab.llm.common import sheltered, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds' base patterns, then the looser ones whose matches are candidates.
@@ -232,11 +232,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(documents: DataFrame, block: int = 1000) -> DataFrame:
-    """Every span replaced by its kind in brackets; all columns stay, n_chars follows the text.
+    """Every span replaced by its kind in brackets; all other columns stay as they are, whatever their names, and
+    n_chars follows the text.
 
     Texts are cut into blocks of ``block`` characters first, so a replacement costs a block, not the text.
     Overlapping spans are replaced together, under the kind of the first.
     """
+    documents, back = sheltered(documents, ("doc_id", "text", "n_chars"))
     scanned, found = find_pii(documents)
     order = Window.partitionBy("row_id").orderBy("start", "end", "kind")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -277,4 +279,4 @@ def redact(documents: DataFrame, block: int = 1000) -> DataFrame:
     out = joined.withColumn("blocks", F.when(F.col("marks").isNotNull(), blocks)).withColumn("text", text)
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("marks").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(documents.columns)
+    return back(out)

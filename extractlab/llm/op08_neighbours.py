@@ -1,13 +1,17 @@
-"""Nearest neighbours by shifted space-filling curves, with an exact completion.
+"""Nearest neighbours by shifted space-filling curves, as many and as wide as a measured recall asks for.
 
-1. ``CURVES`` random orthogonal projections to ``DIMS`` dimensions, each shifted at random, are cut into
+1. ``MOST_CURVES`` random orthogonal projections to ``DIMS`` dimensions, each shifted at random, are cut into
    a grid whose scale is fitted on a bounded sample; a vector's key is its place on the Hilbert curve
-   through the grid. Rows are range-partitioned by curve and key; each query meets the ``WINDOW`` rows
-   before and after it in its partition, and its nearest ones over all curves merge. All rows are indexed.
-2. Space-filling windows alone miss neighbours where vectors spread evenly in many dimensions (recall in
-   the README). The distance of the k-th neighbour found so far bounds the true one, so the queries, in
-   blocks, are then held against all rows in blocks: a block whose ball lies beyond the bound is skipped,
-   and of the others only rows within it come back. The result is exact.
+   through the grid. All rows are indexed.
+2. How many curves and rows a window needs is measured: for at most ``PROBES`` queries the true neighbours are found by brute
+   force, and one scan counts how many rows lie before each of them on every curve. Of the settings that
+   bring the probes' recall to ``RECALL`` the cheapest is taken, else the largest.
+3. Rows are dealt out by curve and block of its keys, with a copy of what lies near a block's edges in the neighbouring block;
+   equal keys are told apart by a hash of the id, so that many equal vectors fill several blocks. Each query meets the
+   rows of its window before and after it, and its nearest ones over all curves merge and are ranked again.
+4. An exact check follows: the distance of the k-th neighbour found bounds the true one, so the queries, in blocks, are held against
+   all rows, in blocks along a curve; a block whose ball lies beyond the bound is skipped, and of the others only
+   rows within it come back. What the curves miss (their recall is in the README) is so added.
 
 Distances are Euclidean, in double precision, on the original vectors; ties go to the smaller id.
 
@@ -27,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from extractlab.llm.common import batch_of, table, written
-from extractlab.llm.vectors import matrix, one_length, sample, usable
+from extractlab.llm.common import batch_of, fitted, table, written
+from extractlab.llm.vectors import matrix, one_length, usable
 
 K = 10
-CURVES, DIMS, GRID_BITS = 8, 8, 6
-WINDOW = 64
+MOST_CURVES, DIMS, GRID_BITS = 32, 8, 6
+#: Rows of a window on either side; a task holds two windows. The exact check is the way beyond the largest.
+WINDOWS = (32, 64, 128, 256, 512, 1024, 2048)
+RECALL, PROBES = 0.95, 64
 FIT_ROWS = 4096
 QUERY_BLOCK, ROW_BLOCK = 8192, 4096
 EVERY = 100
@@ -71,9 +77,11 @@ class Curves:
     projections: np.ndarray
     low: np.ndarray
     scale: np.ndarray
+    #: The sample's keys in order, by curve.
+    marks: np.ndarray
 
     @classmethod
-    def fit(cls, vectors: np.ndarray, curves: int = CURVES, dims: int = DIMS, bits: int = GRID_BITS) -> Curves:
+    def fit(cls, vectors: np.ndarray, curves: int = MOST_CURVES, dims: int = DIMS, bits: int = GRID_BITS) -> Curves:
         random = np.random.default_rng(8)
         dim = vectors.shape[1]
         dims = min(dims, dim)
@@ -82,15 +90,28 @@ class Curves:
         low, high = np.quantile(placed, [0.005, 0.995], axis=1)
         width = np.maximum(high - low, 1e-12)
         shift = random.uniform(0, 0.25, low.shape) * width
-        return cls(projections, low - shift, (2**bits - 1) / (1.25 * width))
+        made = cls(projections, low - shift, (2**bits - 1) / (1.25 * width), np.zeros((curves, 0), np.int64))
+        made.marks = np.sort(np.stack(made.keys(vectors)), axis=1)
+        return made
 
-    def keys(self, vectors: np.ndarray, bits: int = GRID_BITS) -> list[np.ndarray]:
+    def keys(self, vectors: np.ndarray, bits: int = GRID_BITS, curves: int = MOST_CURVES) -> list[np.ndarray]:
         out = []
-        for p, low, scale in zip(self.projections, self.low, self.scale, strict=True):
+        for p, low, scale in list(zip(self.projections, self.low, self.scale, strict=True))[:curves]:
             cells = np.clip((vectors @ p - low) * scale, 0, 2**bits - 1)
             out.append(hilbert(cells.astype(np.int64), bits))
         return out
 
+    def places(self, curve: int, key: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Where keys lie among the sample's; equal keys are spread by their ``share`` from 0 to 1."""
+        first, last = (np.searchsorted(self.marks[curve], key, side) for side in ("left", "right"))
+        return first + np.floor(share * (last - first)).astype(np.int64)
+
+
+def shares(ids: np.ndarray) -> np.ndarray:
+    """A number from 0 to 1 of each id, by a multiplicative hash."""
+    mixed = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(11)).astype(np.float64) / 2.0**53
+
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of corresponding rows."""
@@ -104,19 +125,97 @@ def nearest(k: int, ids: np.ndarray, distances: np.ndarray) -> np.ndarray:
     return order[np.sort(first)[:k]]
 
 
-def windows(vectors: DataFrame, curves: Curves, k: int, window: int) -> DataFrame:
+@dataclass(frozen=True)
+class Setting:
+    curves: int
+    window: int
+
+
+def measured(vectors: DataFrame, curves: Curves, k: int) -> Setting:
+    """The cheapest setting with which the probes' windows hold ``RECALL`` of their true neighbours. What reaches the driver is
+    bounded: at most ``PROBES`` ids with k neighbours each, their keys, and the counts between these."""
+    probes = vectors.where("is_query").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES)
+    asked = written(probes.select("vec_id", "embedding", F.lit(float("inf")).alias("radius")), "neighbour-probes")
+    near = completed(vectors, asked, k, PROBES)
+    truth: dict[int, list[int]] = {}
+    for r in ranked(near, k).select("query_id", "vec_id").collect() if near is not None else []:
+        truth.setdefault(r["query_id"], []).append(r["vec_id"])
+    largest = Setting(MOST_CURVES, WINDOWS[-1])
+    if not truth:
+        return Setting(1, WINDOWS[0])
+    known = sorted({*truth, *(i for own in truth.values() for i in own)})
+    shared = vectors.sparkSession.sparkContext.broadcast(curves)  # of fixed size
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = np.array(b.column(0).to_pylist(), np.int64)
+            keys = shared.value.keys(matrix(b.column(1)))
+            yield batch_of({"vec_id": pa.int64(), "keys": pa.binary()}, {"vec_id": ids, "keys": [np.array(x, np.int64).tobytes() for x in zip(*keys, strict=True)]})
+
+    found = vectors.where(F.col("vec_id").isin(known)).select("vec_id", "embedding").mapInArrow(marked, "vec_id bigint, keys binary").groupBy("vec_id").agg(F.min("keys").alias("keys")).collect()
+    ids = np.array([r["vec_id"] for r in found], np.int64)
+    keys, share = np.stack([np.frombuffer(r["keys"], np.int64) for r in found]), shares(ids)
+    order = np.stack([np.lexsort((share, keys[:, c])) for c in range(MOST_CURVES)])
+    bounds = np.take_along_axis(keys.T, order, 1), share[order]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        between = np.zeros((MOST_CURVES, len(ids) + 1), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                own = shares(np.array(b.column(0).to_pylist(), np.int64))
+                for c, key in enumerate(shared.value.keys(matrix(b.column(1)))):
+                    place = np.searchsorted(bounds[0][c], key)
+                    # Among bounds of the same key the share decides.
+                    last = np.searchsorted(bounds[0][c], key, "right")
+                    for i in np.flatnonzero(last > place):
+                        place[i] += np.searchsorted(bounds[1][c][place[i] : last[i]], own[i])
+                    between[c] += np.bincount(place, minlength=len(ids) + 1)
+        some = np.flatnonzero(between)
+        yield batch_of({"pos": pa.int64(), "n": pa.int64()}, {"pos": some, "n": between.ravel()[some]})
+
+    # Added up in Spark, so that the driver gets one number for each bound and curve.
+    numbers = vectors.select("vec_id", "embedding").mapInArrow(counted, "pos bigint, n bigint")
+    sums = {r["pos"]: r["n"] for r in numbers.groupBy("pos").agg(F.sum("n").alias("n")).collect()}
+    before = np.array([sums.get(i, 0) for i in range(MOST_CURVES * (len(ids) + 1))], np.int64).reshape(MOST_CURVES, -1).cumsum(axis=1)[:, :-1]
+    rank = np.empty_like(before)
+    np.put_along_axis(rank, order, before, 1)
+    at = {int(i): n for n, i in enumerate(ids)}
+    gaps = np.array([np.abs(rank[:, at[q]] - rank[:, at[i]]) for q, own in truth.items() for i in own if q in at and i in at])
+    settings = sorted((Setting(c, w) for c in (4, 8, 16, MOST_CURVES) for w in WINDOWS), key=lambda s: (s.curves * (s.window + WINDOWS[0]), s.curves))
+    nearest_gap = np.minimum.accumulate(gaps, axis=1)
+    return next((s for s in settings if (nearest_gap[:, s.curves - 1] <= s.window).mean() >= RECALL), largest)
+
+
+def windows(vectors: DataFrame, curves: Curves, k: int, setting: Setting, rows: int) -> DataFrame:
     """(query_id, vec_id, score): the nearest ones of each query's windows, by curve."""
     shared = vectors.sparkSession.sparkContext.broadcast(curves)  # of fixed size
+    window = setting.window
+    # A block has about eight windows of rows, and its margins somewhat over one, in places of the sample.
+    marks = curves.marks.shape[1]
+    per_row = marks / max(1, rows)
+    margin = int(np.ceil(window * per_row + 4 * np.sqrt(window * per_row) + 4))
+    block = max(2 * margin, int(8 * window * per_row), 1)
+    blocks = marks // block + 1
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"curve": pa.int32(), "key": pa.int64(), "vec_id": pa.int64(), "is_query": pa.bool_(), "vector": pa.binary()}
+        types = {"place": pa.int64(), "key": pa.int64(), "share": pa.float64(), "vec_id": pa.int64(), "is_query": pa.bool_(), "vector": pa.binary()}
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
                 v = matrix(b.column(2))
-                ids, ask, raw = b.column(0).to_pylist(), b.column(1).to_pylist(), [x.tobytes() for x in v]
-                for c, key in enumerate(shared.value.keys(v)):
-                    yield batch_of(types, {"curve": [c] * len(ids), "key": key, "vec_id": ids, "is_query": ask, "vector": raw})
+                ids, ask = np.array(b.column(0).to_pylist(), np.int64), np.array(b.column(1).to_pylist(), bool)
+                raw, own = np.array([x.tobytes() for x in v] + [None], object)[:-1], shares(ids)
+                for c, key in enumerate(shared.value.keys(v, curves=setting.curves)):
+                    place = shared.value.places(c, key, own)
+                    home = place // block
+                    near = [(home, slice(None), ask)]
+                    for step, some in ((-1, (place % block < margin) & (home > 0)), (1, (place % block >= block - margin) & (home < blocks - 1))):
+                        near.append((home + step, some, np.zeros(len(ids), bool)))
+                    for to, some, asks in near:
+                        n = len(ids[some])
+                        if n:
+                            yield batch_of(types, {"place": c * blocks + to[some], "key": key[some], "share": own[some], "vec_id": ids[some], "is_query": asks[some], "vector": raw[some].tolist()})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows in; holds two windows and a batch."""
@@ -142,7 +241,7 @@ def windows(vectors: DataFrame, curves: Curves, k: int, window: int) -> DataFram
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
-                held += zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True)
+                held += zip(*(b.column(i).to_pylist() for i in (0, 3, 4, 5)), strict=True)
                 if len(held) - window > begun:
                     yield settle(len(held) - window)
                     drop = max(0, len(held) - 2 * window)
@@ -151,10 +250,10 @@ def windows(vectors: DataFrame, curves: Curves, k: int, window: int) -> DataFram
         if held:
             yield settle(len(held))
 
-    rows = vectors.select("vec_id", "is_query", "embedding").mapInArrow(
-        keyed, "curve int, key bigint, vec_id bigint, is_query boolean, vector binary"
+    rows_ = vectors.select("vec_id", "is_query", "embedding").mapInArrow(
+        keyed, "place bigint, key bigint, share double, vec_id bigint, is_query boolean, vector binary"
     )
-    return rows.repartitionByRange("curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id").mapInArrow(scan, FOUND_SQL)
+    return rows_.repartition("place").sortWithinPartitions("place", "key", "share", "vec_id").mapInArrow(scan, FOUND_SQL)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -163,7 +262,20 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def completed(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def along(vectors: DataFrame, curves: Curves) -> DataFrame:
+    """Rows (vec_id, embedding) in the order of the first curve, so that those of a block lie near one another."""
+    shared = vectors.sparkSession.sparkContext.broadcast(curves)  # of fixed size
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = shared.value.keys(matrix(b.column(1)), curves=1)[0] if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), b.column(0), b.column(1)], names=["key", "vec_id", "embedding"])
+
+    rows = vectors.select("vec_id", "embedding").mapInArrow(keyed, "key bigint, vec_id bigint, embedding array<double>")
+    return written(rows.repartitionByRange("key", F.xxhash64("vec_id")).sortWithinPartitions("key").drop("key"), "neighbour-blocks")
+
+
+def completed(vectors: DataFrame, queries: DataFrame, k: int, most: int | None = None) -> DataFrame:
     """(query_id, vec_id, score) of all rows within each query's ``radius``, at most k from a block of rows.
 
     Rows and queries meet as packed blocks. Query blocks are taken one after another; each is one row of
@@ -182,7 +294,7 @@ def completed(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return run
 
     rows = vectors.select("vec_id", "embedding", F.lit(0.0).alias("radius")).mapInArrow(packed(ROW_BLOCK), sql)
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-(most or queries.count()) // QUERY_BLOCK)))))
     asked = written(asked, "neighbour-queries")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +333,8 @@ def completed(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return found
 
 
-def neighbours(embeddings: DataFrame, is_query: Column, k: int = K, window: int = WINDOW, complete: bool = True) -> DataFrame:
-    """query_id, rank, vec_id and score; with ``complete`` off, what the windows alone find."""
+def neighbours(embeddings: DataFrame, is_query: Column, k: int = K, complete: bool = True, setting: Setting | None = None) -> DataFrame:
+    """query_id, rank, vec_id and score; with ``complete`` off, what the windows alone find. ``setting`` replaces the measured one."""
     part = written(
         embeddings.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
         .select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("is_query")),
@@ -231,15 +343,16 @@ def neighbours(embeddings: DataFrame, is_query: Column, k: int = K, window: int
     found = None
     for dim in one_length(part):
         own = part.where(F.size("embedding") == dim)
-        fitted = np.array([r[0] for r in sample(own, FIT_ROWS, "embedding")], dtype=float)
-        near = windows(own, Curves.fit(fitted), k, window)
+        drawn = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding")
+        curves = fitted(drawn, lambda batches: Curves.fit(np.concatenate([matrix(b.column(0)) for b in batches if b.num_rows])))
+        near = windows(own, curves, k, setting or measured(own, curves, k), own.count())
         if complete:
             near = written(ranked(near, k), "neighbours-found")
             bounds = near.where(F.col("rank") == k).select("query_id", F.col("score").alias("radius"))
             asked = own.where("is_query").join(bounds, F.col("vec_id") == F.col("query_id"), "left").select(
                 "vec_id", "embedding", F.coalesce("radius", F.lit(float("inf"))).alias("radius")
             )
-            more = completed(own, asked, k)
+            more = completed(along(own, curves), asked, k)
             near = near.select(*FOUND) if more is None else near.select(*FOUND).unionByName(more)
         found = near.select(*FOUND) if found is None else found.unionByName(near.select(*FOUND))
     if found is None:

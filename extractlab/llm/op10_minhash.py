@@ -156,22 +156,27 @@ def surviving(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> tuple
     return alive, matches
 
 
-def describe(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set and signature (null for empty sets)."""
+def describe(documents: DataFrame, hashed_texts: bool = False) -> DataFrame:
+    """doc_id, n_shingles, digest of the set and signature (null for empty sets); if wanted, the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "digest": pa.binary(), "signature": pa.binary()}
+        if hashed_texts:
+            types["text_hash"] = pa.int64()
         for b in bounded(batches, "text", 200, 1 << 20):
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             full = [s for s in sets if len(s)]
             signed = iter(signatures(full) if full else [])
-            yield batch_of(types, {
+            yield batch_of(types, {"text_hash": b.column(2).to_pylist() if hashed_texts else []} | {
                 "doc_id": b.column(0).to_pylist(), "n_shingles": [len(s) for s in sets],
                 "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                 "signature": [next(signed).astype("<u4").tobytes() if len(s) else None for s in sets],
             })
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, signature binary")
+    schema = "doc_id bigint, n_shingles bigint, digest binary, signature binary"
+    if hashed_texts:
+        return documents.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, f"{schema}, text_hash bigint")
+    return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def bands_of(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
@@ -344,9 +349,10 @@ def across(members: DataFrame, classes: DataFrame, documents: DataFrame, thresho
     return close.join(texts, "digest").groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary")
 
 
-def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, digest and component_id of every row."""
-    described = written(describe(documents), "minhash")
+def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, apart: bool = False) -> DataFrame:
+    """doc_id, n_shingles, digest and component_id of every row. Rows that share an id are one node; ``apart`` keeps
+    their different texts apart, numbers the groups anyhow and adds the hash of the text."""
+    described = written(describe(documents, apart), "minhash")
     full = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(
         full.groupBy("digest").agg(
@@ -362,9 +368,10 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFra
         bands.join(buckets, "bucket").where("digest <> lead").select(F.col("lead").alias("a"), F.col("digest").alias("b")).distinct()
     )
     survivors = written(screened(stars, classes, threshold), "minhash-survivors")
-    nodes = classes.select("digest", "doc_id")
+    named = classes.select("digest", "doc_id")
+    nodes = written(classes.select("digest", F.monotonically_increasing_id().alias("doc_id")), "minhash-nodes") if apart else named
     wanted = survivors.select(F.col("a").alias("digest")).unionByName(survivors.select(F.col("b").alias("digest"))).distinct()
-    texts = written(packed_texts(documents, wanted.join(nodes, "digest")), "minhash-texts")
+    texts = written(packed_texts(documents, wanted.join(named, "digest")), "minhash-texts")
     # The most similar partner of each class first: in a group of copies this settles nearly all.
     best = survivors.groupBy("b").agg(F.max(F.struct("matches", "a")).alias("most")).select("most.a", "b")
 
@@ -375,7 +382,8 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFra
     # Ids whose rows have different texts tie the classes of these texts together.
     several = full.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
     tied = full.join(several, "doc_id").select(F.col("doc_id").alias("v"), "digest").join(nodes, "digest").select(F.col("doc_id").alias("u"), "v")
-    links = written(edges(verified(best, texts, threshold)).unionByName(tied), "minhash-links")
+    first = edges(verified(best, texts, threshold))
+    links = written(first if apart else first.unionByName(tied), "minhash-links")
 
     def rooted(components: DataFrame) -> DataFrame:
         """(digest, root): the component of each class, its own node if it has none."""
@@ -395,6 +403,8 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFra
     if not last.isEmpty():
         roots = written(rooted(connected_components(links.unionByName(last))), "minhash-roots")
     by_class = roots.select("digest", F.col("root").alias("component"))
+    if apart:
+        return described.join(by_class, "digest", "left").select("doc_id", "n_shingles", "digest", "text_hash", F.col("component").alias("component_id"))
     return described.join(by_class, "digest", "left").select(
         "doc_id", "n_shingles", "digest", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     )
