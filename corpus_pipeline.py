@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Every stage reads what its predecessor wrote. Models are trained within their stage, on the stage's own
-input. All stages but the last return the columns of their input.
+input. All stages but the last return the columns of their input; columns that a stage does not know pass through
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from extractlab.llm import op03_pii, op04_packing, op05_quality, op07_language, op10_minhash
-from extractlab.llm.common import table, written
+from extractlab.llm.common import sheltered, table, written
 
 #: A document goes if its language is undetermined or less certain than this; as a winner of all its pairwise
 #: votes has at least 0.25, that is one whose votes run in a circle.
@@ -20,44 +21,49 @@ NEAR = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the threshold."""
-    model = op05_quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = op05_quality.score(docs, model, docs.columns, "_quality")
-    return scored.where(F.col("_quality") >= op05_quality.THRESHOLD).drop("_quality")
+    """Documents whose quality score reaches the threshold, a score at the threshold included. Null and empty texts
+    are scored like any other; very long texts whole; repeated rows all get one decision."""
+    known, back = sheltered(docs, ("doc_id", "text", "n_chars"))
+    model = op05_quality.train(known, table(spark, sf_dir, "labels"))
+    return back(op05_quality.score(known, model, known.columns, "other_score").where(F.col("other_score") >= op05_quality.THRESHOLD))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was recognised."""
-    model = op07_language.train(docs)
-    found = op07_language.predict(docs, model, docs.columns, ("_language", "_certainty"))
-    good = (F.col("_language") != op07_language.UNDETERMINED) & (F.col("_certainty") >= LEAST_CERTAINTY)
-    return found.where(good).drop("_language", "_certainty")
+    """Documents in a language that was recognised. Texts that are null or have no letter go; very long texts are
+    read whole; of equally likely languages the first one in order counts."""
+    known, back = sheltered(docs, ("doc_id", "text", "lang"))
+    names = ("other_language", "other_certainty")
+    found = op07_language.predict(known, op07_language.train(known), known.columns, names)
+    good = (F.col(names[0]) != op07_language.UNDETERMINED) & (F.col(names[1]) >= LEAST_CERTAINTY)
+    return back(found.where(good))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id, and of several rows with
-    this id the one with the smallest hash. Null ids and texts without words stay."""
-    found = written(op10_minhash.near_duplicates(docs, NEAR).drop("digest"), "pipeline-found")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = found.where("n_shingles > 0 AND doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull()
-    marked = kept.withColumn("_worded", worded).join(repeated.select("_id"), F.col("doc_id") == F.col("_id"), "left")
-    several = marked.where("_worded AND _id IS NOT NULL").select(docs.columns)
-    row = F.struct(*(F.col(c) for c in docs.columns))
-    first = several.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(row, F.xxhash64("text")).alias("_row")).select("_row.*")
-    return marked.where("NOT _worded OR _id IS NULL").select(docs.columns).unionByName(first)
+    """One row of each group of near copies: that with the smallest id, of several texts with this id the one with the
+    smallest hash, of equal rows any. Only near copies go: different texts that share an id are judged each by
+    itself. Rows with null ids and texts without words stay; very long texts are compared whole."""
+    known, back = sheltered(docs, ("doc_id", "text"))
+    found = written(op10_minhash.near_duplicates(known, NEAR, apart=True).where("n_shingles > 0 AND doc_id IS NOT NULL"), "pipeline-found")
+    row = F.struct("doc_id", "text_hash")
+    first = found.groupBy("component_id").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # The texts that go whole, and those that stay once of several equal rows.
+    told = found.join(first, "component_id").groupBy("doc_id", "text_hash").agg(F.bool_or(row == F.col("first")).alias("stays"))
+    told = written(told.select(F.col("doc_id").alias("told_id"), F.col("text_hash").alias("told_hash"), "stays"), "pipeline-told")
+    same = (F.col("doc_id") == F.col("told_id")) & (F.xxhash64("text") == F.col("told_hash"))
+    marked = known.join(told, same, "left")
+    once = marked.where("stays").groupBy("told_id", "told_hash").agg(F.first(F.struct(*known.columns)).alias("kept")).select("kept.*")
+    return back(marked.where("told_id IS NULL").select(known.columns).unionByName(once))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind; null and empty texts stay, very long ones are read whole,
+    repeated rows all change alike, and of spans that overlap the first names the kind."""
     return op03_pii.redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document."""
+    """The place of every piece of every document: null and empty texts are one end token, very long ones are cut,
+    repeated rows each get their own place."""
     return op04_packing.pack(written(op04_packing.pieces(docs), "pieces"))
 
 
