@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from extractlab.plans import lists, operations, ordered, planning, recognition, replays, replies, reports, rules, scalars, truth  # noqa: F401  they register their queries
+from extractlab.plans import admission, alignments, assembled, lists, operations, ordered, planning, recognition, replays, replies, reports, rules, scalars, truth, typed  # noqa: F401  they register their queries
 from extractlab.plans.registry import ORACLES, QUERIES
 
 

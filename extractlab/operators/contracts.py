@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 #: Error codes by the state that they put a case in.
 TIMEOUTS = ("processing_budget_exhausted", "runtime_timeout")
 REFUSALS = ("unsupported_format", "damaged_input", "encrypted_pdf", "pixel_limit")
+#: Limits of captured photos, and the codes of what is wrong with one.
 FILE_LIMIT = 20 * 1024 * 1024
+CHAT_SIDES = {"standard": 1280, "hd": 2560}
+CAMERA_LEAST_SIDE = 2561
+PIXEL_LIMIT = 89_478_485
+CAPTURE_CODES = {
+    "format": "not_jpeg", "pixels": "pixel_limit", "gps": "location_metadata_present", "standard": "telegram_standard_size_mismatch",
+    "hd": "telegram_hd_size_mismatch", "camera": "camera_original_too_small", "file": "exceeds_bot_api_file_limit",
+}
 
 
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -43,12 +51,18 @@ def coverage_gaps(wanted: DataFrame, given: DataFrame, keys: list[str]) -> DataF
     return sides.where("_w IS NULL OR _g IS NULL").select(*keys, F.when(F.col("_g").isNull(), "missing").otherwise("unexpected").alias("gap"))
 
 
-def capture_reasons(kind: Column, gps: Column, hd: Column, side: Column, size: Column) -> Column:
-    """Why a captured photo can't be used, in order."""
-    return F.array_compact(F.array(
-        F.when(kind != "jpeg", "not_jpeg"), F.when(gps, "location_tag"), F.when(side > F.when(hd, 2560).otherwise(1280), "too_large"),
-        F.when(hd & (side <= 1280), "not_hd"), F.when(size > FILE_LIMIT, "file_limit"),
+def capture_reasons(format_: Column, pixels: Column, gps: Column, source: Column, sent: Column, side: Column, size: Column) -> Column:
+    """Why a captured photo can't be used. Another format or too many pixels is the only reason that is given; a chat
+    photo is held against the longest side of the quality that it was sent in, a camera original against a least
+    side and the largest file."""
+    hd = sent == "hd"
+    chat = (side > F.when(hd, CHAT_SIDES["hd"]).otherwise(CHAT_SIDES["standard"])) | (hd & (side <= CHAT_SIDES["standard"]))
+    codes = CAPTURE_CODES
+    more = F.array_compact(F.array(
+        F.when(gps, codes["gps"]), F.when((source == "telegram") & chat, F.when(hd, codes["hd"]).otherwise(codes["standard"])),
+        F.when((source == "camera") & (side < CAMERA_LEAST_SIDE), codes["camera"]), F.when((source == "camera") & (size > FILE_LIMIT), codes["file"]),
     ))
+    return F.when(format_ != "JPEG", F.array(F.lit(codes["format"]))).when(pixels > PIXEL_LIMIT, F.array(F.lit(codes["pixels"]))).otherwise(more)
 
 
 def failure_state(code: Column) -> Column:

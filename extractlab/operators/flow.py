@@ -72,11 +72,31 @@ def running_quota(chunks: DataFrame, key: str, order: str, size: str, limit: int
     return over.groupBy(key).agg(F.min(order).alias(order), F.min("total").alias("total"))
 
 
-def delivered(attempts: DataFrame, key: str, order: str, outcome: str) -> DataFrame:
-    """The first outcome that settles a delivery; all parts confirmed is complete."""
-    settled = F.when(F.col(outcome) != "confirmed", F.col(outcome))
-    first = F.min_by(settled, F.when(settled.isNotNull(), F.col(order)))
-    return attempts.groupBy(key).agg(F.coalesce(first, F.lit("complete")).alias("outcome"), F.count("*").alias("attempts"))
+def settled(t: Column, part_attempt: Column, outcome: Column, retry_after: Column, ended: Column, deadline: Column, cancelled: Column, attempts: int) -> Column:
+    """What one attempt to send a part settles for the whole delivery, null if nothing: a part that is confirmed, or refused
+    with a pause after which there are an attempt and time left, lets it go on. ``cancelled``: when, or null."""
+    out_of_time = (part_attempt >= attempts) | (ended + retry_after >= deadline)
+    return (
+        F.when(cancelled <= t, "cancelled").when(t >= deadline, "failed").when(outcome == "confirmed", F.lit(None))
+        .when(outcome == "skipped", "cancelled").when(outcome == "forbidden", "blocked").when(outcome == "api_error", "failed")
+        .when(outcome == "retry_after", F.when(out_of_time, "failed")).otherwise("uncertain")
+    )
+
+
+def delivered(log: DataFrame, key: str, parts: str, window: int, attempts: int) -> DataFrame:
+    """How each delivery ends. ``log``: part and attempt (from 1), t and ended, outcome, retry_after, cancelled and the number of
+    parts. The window runs from the first attempt. The first attempt that settles it decides and later ones don't
+    count; with every part confirmed it is complete, else not finished. Partial sums only but for the deadline."""
+    deadline = F.min("t").over(Window.partitionBy(key)) + window
+    rows = log.withColumn("_deadline", deadline)
+    c = F.col
+    rows = rows.withColumn("_settled", settled(c("t"), c("attempt"), c("outcome"), c("retry_after"), c("ended"), c("_deadline"), c("cancelled"), attempts))
+    place = F.struct("part", "attempt")
+    first = F.min_by("_settled", F.when(c("_settled").isNotNull(), place))
+    stop = F.min(F.when(c("_settled").isNotNull(), place))
+    confirmed = F.count_distinct(F.when((c("outcome") == "confirmed") & c("_settled").isNull(), c("part")))
+    found = rows.groupBy(key).agg(first.alias("_first"), stop.alias("_stop"), confirmed.alias("_confirmed"), F.max(parts).alias("_parts"))
+    return found.select(key, F.coalesce("_first", F.when(c("_confirmed") >= c("_parts"), "complete").otherwise("unfinished")).alias("outcome"), c("_stop.part").alias("part"))
 
 
 def admitted(files: DataFrame, page_times: DataFrame, budget: int, overhead: int) -> DataFrame:
@@ -85,29 +105,6 @@ def admitted(files: DataFrame, page_times: DataFrame, budget: int, overhead: int
     return cost.withColumn("admitted", F.col("cost") <= budget)
 
 
-def lockouts(attempts: DataFrame) -> DataFrame:
-    """Sign-in attempts (owner, t, event_id, correct) with what each comes to. An attempt while locked is not
-    recorded, so the window's content depends on earlier decisions: an ordered fold over each owner's own
-    attempts, of which at most ``LOCK_FAILURES`` are held."""
-
-    def fold(group: Iterator[tuple]) -> Iterator[tuple]:
-        failures: deque[int] = deque()
-        for owner, t, event, correct in group:
-            while failures and failures[0] <= t - LOCK_WINDOW:
-                failures.popleft()
-            if len(failures) >= LOCK_FAILURES:
-                yield owner, event, "locked", failures[0] + LOCK_WINDOW - t
-            elif correct:
-                failures.clear()
-                yield owner, event, "accepted", None
-            else:
-                failures.append(t)
-                yield owner, event, "locked" if len(failures) >= LOCK_FAILURES else "refused", None
-
-    part = attempts.select("owner", "t", "event_id", "correct")
-    return in_order(part, "owner", ["t", "event_id"], fold, "owner bigint, event_id bigint, result string, retry_after bigint")
-
-
 def busy_seconds(events: DataFrame, time: str, window: int) -> DataFrame:
     """For each second with events, how many fall in the ``window`` seconds that end with it. Seconds are dealt
     out in blocks of that length, each with a copy of the block before, so no task sees the whole line."""

@@ -1,7 +1,7 @@
 """Operators that need a fold in order: each reads one group (a job, an owner, a list) after another.
 
 Groups are not materialised: rows are dealt out by key, sorted within each partition and read as a stream,
-so many small groups cost no more than their rows and a large one needs no memory.
+so many small groups cost no more than their rows and a large one needs no memory but its fold's.
 """
 
 from __future__ import annotations
@@ -72,49 +72,3 @@ def throttled(events: DataFrame, key: str, time: str, order: str, pause: int) ->
 
     part = events.select(key, time, order)
     return in_order(part, key, [time, order], fold, part.schema)
-
-
-def alignment(n: int, m: int, weight: Callable[[int, int], tuple[int, int] | None]) -> list[tuple[int, int]]:
-    """The order-preserving pairs of n actual and m expected rows with the most (correct cells, agreeing
-    missing cells, pairs), lexicographically. Of equal ways a pair goes before skipping the actual row,
-    and that before skipping the expected one."""
-    best = [[(0, 0, 0)] * (m + 1) for _ in range(n + 1)]
-    paired = [[False] * m for _ in range(n)]
-    for i in reversed(range(n)):
-        for j in reversed(range(m)):
-            skip = max(best[i + 1][j], best[i][j + 1])
-            w = weight(i, j)
-            if w is not None:
-                after = best[i + 1][j + 1]
-                total = (after[0] + w[0], after[1] + w[1], after[2] + 1)
-                paired[i][j] = total >= skip
-                skip = max(skip, total)
-            best[i][j] = skip
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if paired[i][j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] == best[i][j]:
-            i += 1
-        else:
-            j += 1
-    return out
-
-
-def align_rows(weights: DataFrame, key: str) -> DataFrame:
-    """Matched (key, actual, expected) of rows (key, actual, expected, correct, missing, accepted), one for
-    each pair of an actual and an expected row of a list. A pair is admissible through a correct cell, or
-    through agreeing missing cells if the actual row has no accepted one."""
-    fit = (F.col("correct") > 0) | ((F.col("missing") > 0) & (F.col("accepted") == 0))
-    part = weights.where(fit).select(key, "actual", "expected", "correct", "missing")
-
-    def match(group: Iterator[tuple]) -> Iterator[tuple]:
-        w, name = {}, None
-        for name, a, e, c, m in group:
-            w[a, e] = (c, m)
-        rows, cols = sorted({a for a, _ in w}), sorted({e for _, e in w})
-        for i, j in alignment(len(rows), len(cols), lambda i, j: w.get((rows[i], cols[j]))):
-            yield name, rows[i], cols[j]
-
-    return in_order(part, key, ["actual", "expected"], match, f"{key} {dict(part.dtypes)[key]}, actual int, expected int")

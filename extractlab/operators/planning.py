@@ -52,7 +52,7 @@ def eligibility(mode: str, split: Column, scripts: Iterable[str], categories: It
         return found | {"tuning_case_count_below_twenty": F.count("*") < 20}
     return found | {
         "benchmark_composition_incomplete": (n(readable) != 40) | (n(difficult) != 20) | (n(c("quality") == "negative") != 10), "benchmark_not_sealed_and_frozen": n(~c("sealed")) > 0,
-        "benchmark_image_delivery_paths_incomplete": ~covers(c("delivery_path"), ("photo", "image_file"), 1, readable), "benchmark_photo_delivery_unverified": n(photo & (c("simulated") | ~c("verified"))) > 0,
+        "benchmark_image_delivery_paths_incomplete": ~covers(c("delivery_path"), ("photo", "image_file"), 1, readable), "benchmark_telegram_photo_delivery_unverified": n(photo & (c("simulated") | ~c("verified"))) > 0,
         "benchmark_difficult_cases_require_physical_photographs": n(difficult & ~c("captured")) > 0, "benchmark_physical_photo_coverage_incomplete": n(difficult & photo & c("captured") & ~c("simulated")) < 10,
     }
 
@@ -75,10 +75,10 @@ def composition(scripts: Iterable[str], categories: Iterable[str], conditions: I
         "readable_script_coverage": ~covers(c("script"), scripts, 6, readable), "readable_category_coverage": ~covers(c("category"), categories, 4, readable),
         "readable_delivery_split": (n(readable & (path == "image_file")) != 24) | (n(readable & (path == "pdf")) != 8) | (n(readable & (path == "photo")) != 8),
         "readable_multipage_list_across_boundary": n(readable & (path == "pdf") & c("crosses")) < 3, "readable_record_split_across_boundary": n(readable & (path == "pdf") & c("splits")) == 0,
-        "readable_chat_quality_split": (n(readable & (c("sent_quality") == "standard")) != 4) | (n(readable & (c("sent_quality") == "hd")) != 4),
+        "readable_telegram_quality_split": (n(readable & (c("sent_quality") == "standard")) != 4) | (n(readable & (c("sent_quality") == "hd")) != 4),
         "readable_two_sided_cards": n(readable & (path == "image_file") & (c("inputs") == 2) & (c("scenario") == "two_sided_card")) < 2,
         "readable_layout_variety": (fresh < 2) | (different(c("layout"), layouts, readable) < 4),
-        "difficult_condition_coverage": ~covers(c("condition"), conditions, 3, difficult), "difficult_chat_photo_count": n(difficult & (c("source") == "chat")) < 10,
+        "difficult_condition_coverage": ~covers(c("condition"), conditions, 3, difficult), "difficult_telegram_photo_count": n(difficult & (c("source") == "chat")) < 10,
         "difficult_script_coverage": ~(covers(c("script"), scripts, 1, difficult) & only(c("script"), scripts, difficult)), "difficult_category_coverage": different(c("category"), categories, difficult) < 6,
         "printable_pages": (F.count_distinct(pages) != n(difficult)) | (n(difficult) > 0) & ((F.min(pages) != 1) | (F.max(pages) != n(difficult))),
         "negative_scenarios": ~agreed, "profile_library": ~F.coalesce(F.min("owner") == F.max("owner"), F.lit(False)) | (n(c("owner").isNull()) > 0) | (n(c("profiles") != 3) > 0),

@@ -4,7 +4,9 @@ Two tables go in. ``cases`` (case_id, the dimensions, quality, execution_state,
 actual_matching, expected_profile, selected_profile, automatic, consistent: whether the selection is what the matching
 response names, expected_outcome and actual_outcome, recognised) and ``values`` (case_id, kind: scalar or
 list_cell, identity, pos, status, value, pages, truth_status, truth_value, allowed: other values that count,
-truth_pages, present, requested: whether the result covers what was asked for).
+truth_pages, present). ``shapes`` (case_id, given, wanted, row) has the ids that came back and those that were asked for: a row for
+the fields and one for the lists of a case, and one with ``row`` true for each row of a list. ``structures``, if there are
+lists, is what :func:`extractlab.operators.structure.structure` says of them.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ CASE_COUNTERS = (
 )
 VALUE_COUNTERS = (
     "readable_present_values", "known_readable_values", "accepted_values", "correct_accepted_values", "incorrect_accepted_values",
-    "known_readable_values_recovered", "readable_present_values_recovered", "false_missing_values", "schema_errors", *(f"{k}_{c}" for k in KINDS for c in _OF_KIND),
+    "known_readable_values_recovered", "readable_present_values_recovered", "false_missing_values", *(f"{k}_{c}" for k in KINDS for c in _OF_KIND),
 )
+SHAPE_COUNTERS = ("schema_errors", "list_structure_errors", "confirmed_empty_lists")
 
 
 def matches() -> Column:
@@ -36,15 +39,30 @@ def matches() -> Column:
     return F.coalesce((F.col("status") == "extracted") & (F.col("truth_status") == "extracted") & same & pages, F.lit(False))
 
 
-def counted(cases: DataFrame, values: DataFrame) -> DataFrame:
+def shape_errors(shapes: DataFrame) -> DataFrame:
+    """(case_id, schema_errors): one for each set of ids that isn't what was asked for; a set of fields or lists may name none twice."""
+    same = F.array_sort(F.array_distinct("given")) == F.array_sort("wanted")
+    twice = ~F.col("row") & (F.size(F.array_distinct("given")) < F.size("given"))
+    return shapes.groupBy("case_id").agg(F.count_if(~same | twice).alias("schema_errors"))
+
+
+def context_columns() -> dict[str, Column]:
+    """Of a case: whether it delivered a recognition (known), and under the right profile (context)."""
+    c = F.col
+    delivered = c("execution_state") == "completed"
+    told = ~c("automatic") | (c("actual_matching") == "matched")
+    context = delivered & told & c("consistent") & (c("expected_matching") == "matched") & c("selected_profile").eqNullSafe(c("expected_profile"))
+    return {"known": delivered & c("recognised"), "context": context}
+
+
+def counted(cases: DataFrame, values: DataFrame, shapes: DataFrame, structures: DataFrame | None = None) -> DataFrame:
     """All counters of each case. Only completed executions deliver results, but every case and every true value
     stays in the denominators; a value is credited once; without the right profile no value is right."""
-    delivered = F.col("execution_state") == "completed"
+    cases = cases.withColumns(context_columns())
+    delivered, context = F.col("execution_state") == "completed", F.col("context")
     automatic = delivered & F.col("automatic") & (F.col("actual_matching") == "matched")
-    told = ~F.col("automatic") | (F.col("actual_matching") == "matched")
-    context = delivered & told & F.col("consistent") & (F.col("expected_matching") == "matched") & F.col("selected_profile").eqNullSafe(F.col("expected_profile"))
     seen = F.when(F.col("execution_state") == "input_refused", "input_refused").when(delivered, F.col("actual_matching"))
-    known = delivered & F.col("recognised")
+    known = F.col("known")
     flags = {
         "cases": F.lit(True), "readable_cases": F.col("quality") == "readable", "unambiguous_profiles": F.col("expected_matching") == "matched",
         "automatic_profile_selections": automatic, "correct_automatic_profile_selections": automatic & context, "incorrect_automatic_profile_selections": automatic & ~context,
@@ -65,16 +83,24 @@ def counted(cases: DataFrame, values: DataFrame) -> DataFrame:
     sums = {
         "readable_present_values": visible, "known_readable_values": true, "accepted_values": taken, "correct_accepted_values": right, "incorrect_accepted_values": taken & ~right,
         "known_readable_values_recovered": right, "readable_present_values_recovered": right & (F.col("_readable") == 1),
-        "false_missing_values": F.col("_known") & F.col("_context") & (F.col("status") == "missing") & F.col("present"), "schema_errors": F.col("_known") & ~F.col("requested"),
+        "false_missing_values": F.col("_known") & F.col("_context") & (F.col("status") == "missing") & F.col("present"),
         **{f"{k}_{c}": (F.col("kind") == k) & x for k in KINDS for c, x in of.items()},
     }
     by_case = facts.groupBy("case_id").agg(*(F.count_if(c).alias(k) for k, c in sums.items()))
-    return base.drop("_context", "_known").join(by_case, "case_id", "left").na.fill(0, list(VALUE_COUNTERS))
+    whole = base.join(by_case, "case_id", "left").join(shape_errors(shapes), "case_id", "left")
+    if structures is None:
+        whole = whole.withColumns({"list_structure_errors": F.lit(0).cast("long"), "confirmed_empty_lists": F.lit(0).cast("long"), "_blank": F.lit(0).cast("long")})
+    else:
+        whole = whole.join(structures.withColumnRenamed("false_missing_values", "_blank"), "case_id", "left")
+    whole = whole.na.fill(0, [*VALUE_COUNTERS, *SHAPE_COUNTERS, "_blank"])
+    of_known = {k: F.when(F.col("_known"), F.col(k)).otherwise(0) for k in SHAPE_COUNTERS}
+    blank = F.when(F.col("_known") & F.col("_context"), F.col("_blank")).otherwise(0)
+    return whole.withColumns(of_known | {"false_missing_values": F.col("false_missing_values") + blank}).drop("_context", "_known", "_blank")
 
 
 def report(counts: DataFrame) -> DataFrame:
     """(dimension, label, all counters, rates, bounds): sums over all cases and each label, in one pass."""
-    names = [*CASE_COUNTERS, *VALUE_COUNTERS]
+    names = [*CASE_COUNTERS, *VALUE_COUNTERS, *SHAPE_COUNTERS]
     sets = [[], *([F.col(d)] for d in DIMENSIONS)]
     out = counts.groupingSets(sets, *(F.col(d) for d in DIMENSIONS)).agg(*(F.sum(c).alias(c) for c in names), *(F.grouping(d).alias(f"_{d}") for d in DIMENSIONS))
     dimension = F.coalesce(*(F.when(F.col(f"_{d}") == 0, d) for d in DIMENSIONS), F.lit("total"))
@@ -87,6 +113,7 @@ def report(counts: DataFrame) -> DataFrame:
         x for k in KINDS for x in (
             rate(f"{k}_incorrect_accepted_values", f"{k}_accepted_values").alias(f"{k}_error_rate"), rate(f"{k}_known_values_recovered", f"{k}_known_values").alias(f"{k}_recall"),
             rate(f"{k}_readable_present_values_recovered", f"{k}_readable_present_values").alias(f"{k}_readable_completeness"),
+            F.round(zero_error_bound(F.col(f"{k}_accepted_values"), F.col(f"{k}_incorrect_accepted_values")), 9).alias(f"{k}_bound"),
         )
     ]
     return out.select(

@@ -1,4 +1,4 @@
-"""Smaller rules of the contracts: declarations, references, coverage, environments, previews, admission."""
+"""Smaller rules of the contracts: declarations, references, coverage, environments, previews."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ NEXT_STATES = {
 #: Failures that may come from the time spent.
 BUDGET_CODES = ("processing_budget_exhausted", "runtime_timeout", "worker_timeout")
 IDLE_ACTOR = 3600
-ADMITTED_JOBS, MAX_DRAFTS = 8, 10
+MAX_DRAFTS = 10
 PREVIEW_UNITS = 3900
 
 
@@ -165,17 +165,12 @@ def undetermined(budget: int | None, skipped: Column, skipped_error: Column, cod
     return skipped_error | budgeted
 
 
-def admission(requests: DataFrame, owner: str, start: str, end: str, jobs: int = ADMITTED_JOBS, hour: int = 3600) -> DataFrame:
-    """Requests with how many others run when they start, in all and of their owner, and the decision. Runs last
-    under ``hour`` seconds, so each meets those of its block of time and of the one before, which are dealt out by block."""
-    rows = requests.select("id", owner, start, end, F.floor(F.col(start) / hour).alias("_b"))
-    others = rows.select(
-        F.col("id").alias("_id"), F.col(owner).alias("_owner"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(F.array("_b", F.col("_b") + 1)).alias("_b")
-    )
-    meets = (F.col("_s") < F.col(start)) & (F.col("_e") > F.col(start)) & (F.col("_id") != F.col("id"))
-    counts = rows.join(others, "_b").where(meets).groupBy("id").agg(F.count("*").alias("active"), F.count_if(F.col("_owner") == F.col(owner)).alias("own"))
-    out = rows.join(counts, "id", "left").na.fill(0, ["active", "own"])
-    return out.select("id", "active", "own", F.when(F.col("own") > 0, "one_job_at_a_time").when(F.col("active") >= jobs, "busy").otherwise("admitted").alias("decision"))
+def list_spread(rows: DataFrame, keys: list[str], list_: str, pages: str) -> DataFrame:
+    """By key whether any of its lists lies on more than one page, and whether any one row does. Partial sums: a list's
+    pages are more than one if their smallest and largest differ."""
+    low, high = F.array_min(pages), F.array_max(pages)
+    lists = rows.groupBy(*keys, list_).agg((F.min(low) < F.max(high)).alias("_several"), F.bool_or(F.size(pages) > 1).alias("_split"))
+    return lists.groupBy(*keys).agg(F.bool_or(F.coalesce("_several", F.lit(False))).alias("crosses_pages"), F.bool_or("_split").alias("record_split"))
 
 
 def transitions() -> list[tuple[str, str]]:

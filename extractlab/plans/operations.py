@@ -144,9 +144,12 @@ def budget_timeout(spark, sf):
     return timing.over_budget(adapter(spark, sf, "calls"), 100_000)
 
 
-@query("timing_summary", "SELECT case_id, max(CASE WHEN n = 1 THEN centis END) AS first, round(quantile_cont(CASE WHEN n > 1 THEN centis END, 0.5), 6) AS later_p50, count(CASE WHEN n > 1 THEN 1 END) AS later FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY call_id) AS n FROM {calls} c) s GROUP BY 1")
+@query("timing_summary", """SELECT category, count(*) AS count, round(quantile_cont(wall, 0.5), 6) AS p50, round(quantile_cont(wall, 0.95), 6) AS p95, max(CASE WHEN n = 1 THEN wall END) AS first_case,
+    round(quantile_cont(CASE WHEN n > 1 THEN wall END, 0.5), 6) AS later_p50, count(CASE WHEN n > 1 THEN 1 END) AS later_count
+    FROM (SELECT category, wall, row_number() OVER (PARTITION BY category ORDER BY case_id) AS n FROM (SELECT category, case_id, case_id * 7919 % 9973 AS wall FROM {cases} c) r) s GROUP BY 1""")
 def timing_summary(spark, sf):
-    return timing.first_and_later(adapter(spark, sf, "calls"))
+    runs = adapter(spark, sf, "cases").selectExpr("category", "case_id", "case_id * 7919 % 9973 AS wall")
+    return timing.first_and_later(runs, ["category"], "case_id", "wall")
 
 
 @query("exclude_wait", "SELECT case_id, CAST(sum(greatest(0, centis - 100 * (call_id % 50))) AS BIGINT) AS charged FROM {calls} c GROUP BY 1")
@@ -210,28 +213,14 @@ def quota_running(spark, sf):
     return flow.running_quota(adapter(spark, sf, "calls"), "case_id", "call_id", "centis", 50_000)
 
 
-_ATTEMPTS = "SELECT owner * 1000 + message_id % 40 AS delivery, event_id, CASE kind WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'blocked' ELSE 'uncertain' END WHEN 'signup' THEN 'failed' ELSE 'confirmed' END AS outcome FROM {updates} u"
-
-
-@query("delivery_outcome", f"SELECT delivery, coalesce(arg_min(outcome, event_id) FILTER (WHERE outcome <> 'confirmed'), 'complete') AS outcome, count(*) AS attempts FROM ({_ATTEMPTS}) a GROUP BY 1")
-def delivery_outcome(spark, sf):
-    return flow.delivered(spark.sql(_ATTEMPTS, updates=adapter(spark, sf, "updates")), "delivery", "event_id", "outcome")
-
-
 @query("admission_cost", """SELECT submission, CAST(sum(pages * CASE kind WHEN 'extraction' THEN 11 WHEN 'alternate' THEN 10 ELSE 9 END) + 30 AS BIGINT) AS cost, sum(pages * CASE kind WHEN 'extraction' THEN 11 WHEN 'alternate' THEN 10 ELSE 9 END) + 30 <= 60 AS admitted
-    FROM (SELECT call_id % 5000 AS submission, kind, CAST(pages AS BIGINT) AS pages FROM {calls} c WHERE kind <> 'token_count') f GROUP BY 1""")
+    FROM (SELECT call_id // 7 AS submission, kind, CAST(pages AS BIGINT) AS pages FROM {calls} c WHERE kind <> 'token_count') f GROUP BY 1""")
 def admission_cost(spark, sf):
-    files = adapter(spark, sf, "calls").where("kind <> 'token_count'").selectExpr("call_id % 5000 AS submission", "kind", "pages")
+    files = adapter(spark, sf, "calls").where("kind <> 'token_count'").selectExpr("call_id div 7 AS submission", "kind", "pages")
     times = spark.createDataFrame([("extraction", 11), ("alternate", 10), ("matching", 9)], "kind string, cost int")
     return flow.admitted(files, times, 60, 30)
 
 
-@query("lockout")
-def lockout(spark, sf):
-    rows = adapter(spark, sf, "updates").where("kind IN ('error', 'signup')").withColumn("t", F.col("t") % 20_000)
-    return flow.lockouts(rows.select("owner", "t", "event_id", (F.col("kind") == "signup").alias("correct")))
-
-
 @query("profile_list", "SELECT id, name, version FROM {profiles} p WHERE owner = 7")
 def profile_list(spark, sf):
     return store.owned(adapter(spark, sf, "profiles"), 7).select("id", "name", "version")

@@ -35,17 +35,6 @@ def throttled_reminders(spark, sf):
     return ordered.throttled(adapter(spark, sf, "updates").where("kind = 'view'"), "owner", "t", "event_id", 86_400)
 
 
-@query("align_rows")
-def align_rows(spark, sf):
-    rows = adapter(spark, sf, "list_rows")
-    expected = rows.where("pos % 5 <> 4").selectExpr("job", "pos AS expected", "a AS ea", "b AS eb")
-    actual = rows.where("pos % 7 <> 3").selectExpr("job", "pos AS actual", "CASE WHEN (job + pos) % 6 = 0 THEN NULL ELSE a END AS a", "b")
-    pairs = expected.join(actual, "job").selectExpr(
-        "job", "actual", "expected", "CAST(coalesce(a = ea, false) AS INT) + CAST(b = eb AS INT) AS correct", "CAST(a IS NULL AND ea = 'R' AS INT) AS missing", "1 + CAST(a IS NOT NULL AS INT) AS accepted"
-    )
-    return ordered.align_rows(pairs, "job")
-
-
 @query("global_surge", "SELECT t, n, CAST(sum(n) OVER (ORDER BY t RANGE BETWEEN 899 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent FROM (SELECT t, count(*) AS n FROM {updates} u WHERE kind = 'error' GROUP BY t) c")
 def global_surge(spark, sf):
     return flow.busy_seconds(adapter(spark, sf, "updates").where("kind = 'error'"), "t", flow.LOCK_WINDOW)

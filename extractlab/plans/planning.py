@@ -35,7 +35,7 @@ _BOTH = {
 _BENCHMARK = _BOTH | {
     "wrong_split": "NOT bool_and(split = 'benchmark')", "benchmark_composition_incomplete": f"[count(*) FILTER (WHERE {_R}), count(*) FILTER (WHERE {_D}), count(*) FILTER (WHERE {_N})] <> [40, 20, 10]",
     "benchmark_not_sealed_and_frozen": "NOT bool_and(sealed)", "benchmark_image_delivery_paths_incomplete": f"NOT list_has_all({_set('delivery_path', _R)}, ['photo', 'image_file'])",
-    "benchmark_photo_delivery_unverified": "bool_or(delivery_path = 'photo' AND NOT (verified AND NOT simulated))", "benchmark_difficult_cases_require_physical_photographs": f"bool_or({_D} AND NOT captured)",
+    "benchmark_telegram_photo_delivery_unverified": "bool_or(delivery_path = 'photo' AND NOT (verified AND NOT simulated))", "benchmark_difficult_cases_require_physical_photographs": f"bool_or({_D} AND NOT captured)",
     "benchmark_physical_photo_coverage_incomplete": f"sum(CASE WHEN {_D} AND delivery_path = 'photo' AND captured AND NOT simulated THEN 1 ELSE 0 END) < 10",
 }
 _COMPOSITION = {
@@ -43,10 +43,10 @@ _COMPOSITION = {
     "readable_script_coverage": _least("script", _SCRIPTS, 6, _R), "readable_category_coverage": _least("category", _CATEGORIES, 4, _R),
     "readable_delivery_split": f"[count(*) FILTER (WHERE {_R} AND delivery_path = 'image_file'), count(*) FILTER (WHERE {_R} AND delivery_path = 'pdf'), count(*) FILTER (WHERE {_R} AND delivery_path = 'photo')] <> [24, 8, 8]",
     "readable_multipage_list_across_boundary": f"count(*) FILTER (WHERE {_R} AND delivery_path = 'pdf' AND crosses) < 3", "readable_record_split_across_boundary": f"count(*) FILTER (WHERE {_R} AND delivery_path = 'pdf' AND splits) = 0",
-    "readable_chat_quality_split": f"[count(*) FILTER (WHERE {_R} AND sent_quality = 'standard'), count(*) FILTER (WHERE {_R} AND sent_quality = 'hd')] <> [4, 4]",
+    "readable_telegram_quality_split": f"[count(*) FILTER (WHERE {_R} AND sent_quality = 'standard'), count(*) FILTER (WHERE {_R} AND sent_quality = 'hd')] <> [4, 4]",
     "readable_two_sided_cards": f"count(*) FILTER (WHERE {_R} AND delivery_path = 'image_file' AND inputs = 2 AND scenario = 'two_sided_card') < 2",
     "readable_layout_variety": f"len(list_filter({_NEW}, lambda x: list_contains({_set('layout', _R)}, x) OR list_contains({_set('table_style', _R)}, x))) < 2 OR len({_set('layout', _R)}) < 4",
-    "difficult_condition_coverage": _least("condition", _CONDITIONS, 3, _D), "difficult_chat_photo_count": f"count(*) FILTER (WHERE {_D} AND source = 'chat') < 10",
+    "difficult_condition_coverage": _least("condition", _CONDITIONS, 3, _D), "difficult_telegram_photo_count": f"count(*) FILTER (WHERE {_D} AND source = 'chat') < 10",
     "difficult_script_coverage": f"{_set('script', _D)} <> {_SCRIPTS}", "difficult_category_coverage": f"len(list_filter({_set('category', _D)}, lambda x: x IN ('c0', 'c1', 'c2', 'c3', 'c4', 'c5'))) < 6",
     "printable_pages": f"coalesce(list_sort(list(CAST(printed AS BIGINT)) FILTER (WHERE {_D})), []) <> range(1, count(*) FILTER (WHERE {_D}) + 1)",
     "negative_scenarios": f"coalesce(list_sort(list(scenario) FILTER (WHERE {_N})), []) <> {_SCENARIOS}", "profile_library": "count(DISTINCT owner) <> 1 OR bool_or(profiles <> 3)",

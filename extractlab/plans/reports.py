@@ -19,7 +19,10 @@ _VALUES = """(SELECT d.doc_id AS case_id, CASE WHEN v = 0 THEN 'scalar' ELSE 'li
       CASE WHEN (d.doc_id + v) % 11 = 0 THEN 'ambiguous' WHEN (d.doc_id + v) % 5 = 0 THEN 'missing' ELSE 'extracted' END AS status,
       CAST(CASE WHEN (d.doc_id + v) % 19 = 0 THEN (d.n_chars + 1) % 10 WHEN (d.doc_id + v) % 7 = 1 THEN d.n_chars % 10 + 100 ELSE d.n_chars % 10 END AS INT) AS value, ARRAY_OF(1 + v % 2) AS pages,
       CASE WHEN (d.doc_id + v) % 7 = 0 THEN 'missing' ELSE 'extracted' END AS truth_status, CAST(d.n_chars % 10 AS INT) AS truth_value, ARRAY_OF(CAST(d.n_chars % 10 + CASE WHEN d.doc_id % 2 = 0 THEN 100 ELSE 200 END AS INT)) AS allowed,
-      CASE WHEN d.doc_id % 29 = 0 THEN ARRAY_OF(1) ELSE ARRAY_OF(1, 2) END AS truth_pages, (d.doc_id + v) % 7 <> 0 AS present, (d.doc_id + v) % 53 <> 0 AS requested
+      CASE WHEN d.doc_id % 29 = 0 THEN ARRAY_OF(1) ELSE ARRAY_OF(1, 2) END AS truth_pages, (d.doc_id + v) % 7 <> 0 AS present
+    FROM documents d JOIN labels l ON d.doc_id = l.doc_id CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1 UNION ALL SELECT 2) k)"""
+# What was asked for and what came back: the fields, the lists, and one row of a list.
+_SHAPES = """(SELECT d.doc_id AS case_id, ARRAY_OF('a', 'b') AS wanted, CASE WHEN (d.doc_id + v) % 53 = 0 THEN ARRAY_OF('a') WHEN (d.doc_id + v) % 59 = 0 THEN ARRAY_OF('b', 'a', 'a') ELSE ARRAY_OF('b', 'a') END AS given, v = 2 AS row
     FROM documents d JOIN labels l ON d.doc_id = l.doc_id CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1 UNION ALL SELECT 2) k)"""
 
 
@@ -37,7 +40,7 @@ _OF = {
 }
 _SUMS = {
     "readable_present_values": "present AND readable", "known_readable_values": "truth_status = 'extracted'", "accepted_values": "taken", "correct_accepted_values": "ok", "incorrect_accepted_values": "taken AND NOT ok",
-    "known_readable_values_recovered": "ok", "readable_present_values_recovered": "ok AND readable", "false_missing_values": "known AND ctx AND status = 'missing' AND present", "schema_errors": "known AND NOT requested",
+    "known_readable_values_recovered": "ok", "readable_present_values_recovered": "ok AND readable", "false_missing_values": "known AND ctx AND status = 'missing' AND present",
     **{f"{k}_{c}": f"kind = '{k}' AND ({x})" for k in report.KINDS for c, x in _OF.items()},
 }
 _COUNTED = f"""(WITH c AS (SELECT *, execution_state = 'completed' AND automatic AND actual_matching = 'matched' AS auto, execution_state = 'completed' AND recognised AS known,
@@ -45,8 +48,10 @@ _COUNTED = f"""(WITH c AS (SELECT *, execution_state = 'completed' AND automatic
     m AS (SELECT v.*, ctx, known, quality = 'readable' AS readable, known AND ctx AND status = 'extracted' AND truth_status = 'extracted' AND (value = truth_value OR list_contains(allowed, value)) AND len(list_filter(pages, lambda p: NOT list_contains(truth_pages, p))) = 0 AS hit
         FROM {_dialect(_VALUES, False)} v JOIN c USING (case_id)),
     f AS (SELECT *, known AND status = 'extracted' AS taken, hit AND row_number() OVER (PARTITION BY case_id, kind, identity ORDER BY CAST(NOT hit AS INT), pos) = 1 AS ok FROM m),
-    s AS (SELECT case_id, {", ".join(f"count(*) FILTER (WHERE {x}) AS {k}" for k, x in _SUMS.items())} FROM f GROUP BY case_id)
-    SELECT c.case_id, script, language, category, quality, delivery_path, {", ".join(f"CAST({x} AS BIGINT) AS {k}" for k, x in _FLAGS.items())}, {", ".join(f"coalesce({k}, 0) AS {k}" for k in _SUMS)} FROM c LEFT JOIN s ON c.case_id = s.case_id)"""
+    s AS (SELECT case_id, {", ".join(f"count(*) FILTER (WHERE {x}) AS {k}" for k, x in _SUMS.items())} FROM f GROUP BY case_id),
+    h AS (SELECT case_id, count(*) FILTER (WHERE len(given) <> 2 AND NOT (row AND len(given) = 3)) AS e FROM {_dialect(_SHAPES, False)} y GROUP BY case_id)
+    SELECT c.case_id, script, language, category, quality, delivery_path, {", ".join(f"CAST({x} AS BIGINT) AS {k}" for k, x in _FLAGS.items())}, {", ".join(f"coalesce({k}, 0) AS {k}" for k in _SUMS)},
+        CASE WHEN known THEN coalesce(e, 0) ELSE 0 END AS schema_errors, 0 AS list_structure_errors, 0 AS confirmed_empty_lists FROM c LEFT JOIN s ON c.case_id = s.case_id LEFT JOIN h ON c.case_id = h.case_id)"""
 
 
 def _rate(a: str, b: str, name: str) -> str:
@@ -61,9 +66,9 @@ _RATES = ", ".join([
         _rate(f"{k}_incorrect_accepted_values", f"{k}_accepted_values", f"{k}_error_rate"), _rate(f"{k}_known_values_recovered", f"{k}_known_values", f"{k}_recall"),
         _rate(f"{k}_readable_present_values_recovered", f"{k}_readable_present_values", f"{k}_readable_completeness"))),
     *(f"CASE WHEN sum({b}) = 0 AND sum({a}) > 0 THEN round(1 - pow(0.05, 1.0 / sum({a})), 9) END AS {n}" for a, b, n in (
-        ("accepted_values", "incorrect_accepted_values", "accepted_values_bound"), ("automatic_profile_selections", "incorrect_automatic_profile_selections", "automatic_profiles_bound"))),
+        *((f"{k}_accepted_values", f"{k}_incorrect_accepted_values", f"{k}_bound") for k in report.KINDS), ("accepted_values", "incorrect_accepted_values", "accepted_values_bound"), ("automatic_profile_selections", "incorrect_automatic_profile_selections", "automatic_profiles_bound"))),
 ])
-_ALL = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in (*report.CASE_COUNTERS, *report.VALUE_COUNTERS))
+_ALL = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in (*report.CASE_COUNTERS, *report.VALUE_COUNTERS, *report.SHAPE_COUNTERS))
 
 
 def _counted(spark, sf):
@@ -73,7 +78,7 @@ def _counted(spark, sf):
         sql = _dialect(sql, True).replace("FROM documents d", "FROM {documents} d").replace("JOIN labels l", "JOIN {labels} l")
         return spark.sql(f"SELECT * FROM {sql} x", **tables)
 
-    return report.counted(read(_CASES), read(_VALUES))
+    return report.counted(read(_CASES), read(_VALUES), read(_SHAPES))
 
 
 @query("full_counts", f"SELECT * FROM {_COUNTED} c")

@@ -147,10 +147,16 @@ def image_sizes(spark, sf):
     return table(spark, sf, "part").select("p_partkey", rules.image_size(F.col("p_partkey") % 9, w, h, 89_478_485).alias("s")).select("p_partkey", "s.*")
 
 
-@query("list_spread", "SELECT job, count(DISTINCT source_key) > 1 AS crosses_pages, bool_or(continues_next AND continues_previous) AS record_split FROM {list_rows} r GROUP BY job")
+# Lists of a job by their number; a row that continues lies on two pages.
+_PAGED = "SELECT job, source_key AS list, CASE WHEN continues_next THEN array(pos, pos + 1) WHEN continues_previous THEN array(pos, pos) ELSE array(source_key + job % 3) END AS pages FROM {list_rows} r WHERE job % 7 < 5 OR pos < 3"
+
+
+@query("list_spread", "WITH p AS (SELECT job, list, pages FROM (" + _PAGED.replace("array(", "list_value(") + """) q), u AS (SELECT job, list, unnest(pages) AS page FROM p)
+    SELECT l.job, bool_or(l.pages > 1) AS crosses_pages, bool_or(r.split) AS record_split FROM (SELECT job, list, count(DISTINCT page) AS pages FROM u GROUP BY ALL) l
+    JOIN (SELECT job, bool_or(len(pages) > 1) AS split FROM p GROUP BY job) r ON l.job = r.job GROUP BY l.job""")
 def list_spread(spark, sf):
-    rows = adapter(spark, sf, "list_rows")
-    return rows.groupBy("job").agg((F.min("source_key") < F.max("source_key")).alias("crosses_pages"), F.bool_or(F.col("continues_next") & F.col("continues_previous")).alias("record_split"))
+    rows = spark.sql(_PAGED, list_rows=adapter(spark, sf, "list_rows"))
+    return rules.list_spread(rows, ["job"], "list", "pages")
 
 
 @query("collected_files", "SELECT owner, count(*) AS files, CAST(sum(1 + message_id % 3) AS BIGINT) AS pages, 'Collected ' || CAST(count(*) AS VARCHAR) || ' files, ' || CAST(CAST(sum(1 + message_id % 3) AS BIGINT) AS VARCHAR) || ' pages' AS message FROM {updates} u WHERE kind = 'view' GROUP BY owner")
@@ -172,12 +178,17 @@ def library_checks(spark, sf):
     return found.withColumn("result", F.when(F.col("owners") > 1, "several_owners").when(F.col("profiles") != 3, "not_three_profiles").otherwise("ok"))
 
 
-@query("preview_parts", """SELECT doc_id, CAST(ceil(length(text) / 3900.0) AS INT) AS parts, sha256(CASE WHEN length(text) <= 3900 THEN text
-    ELSE array_to_string(list_transform(range(0, CAST(ceil(length(text) / 3900.0) AS BIGINT)), lambda i: 'Preview part ' || CAST(i + 1 AS VARCHAR) || '/' || CAST(CAST(ceil(length(text) / 3900.0) AS BIGINT) AS VARCHAR) || chr(10) || substr(text, i * 3900 + 1, 3900)), '') END) AS sha256
-    FROM documents WHERE NOT regexp_matches(text, '[\\x{10000}-\\x{10FFFF}]')""")
+# Whole texts, by UTF-16 units: a part ends before the character with which it would exceed the limit.
+@query("preview_parts", """WITH RECURSIVE c AS MATERIALIZED (SELECT doc_id, text, array_slice(text, 1, 3900) AS head, length(text) AS n FROM documents),
+    u AS (SELECT doc_id, text, n, CAST(0 AS BIGINT) AS place, CAST([] AS VARCHAR[]) AS parts FROM c
+        UNION ALL SELECT doc_id, text, n, place + length(part), list_append(parts, part) FROM (
+            SELECT *, CASE WHEN units <= 3900 THEN piece ELSE substr(piece, 1, list_max(list_filter(range(3900 - (units - length(piece)), 3901), lambda k: k + length(regexp_replace(substr(piece, 1, k), '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) <= 3900))) END AS part
+            FROM (SELECT *, length(piece) + length(regexp_replace(piece, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS units FROM (SELECT *, substr(text, place + 1, 3900) AS piece FROM u WHERE place < n) x) y) z),
+    d AS (SELECT doc_id, parts FROM u WHERE place >= n)
+    SELECT doc_id, CAST(len(parts) AS INT) AS parts, sha256(CASE WHEN len(parts) <= 1 THEN array_to_string(parts, '')
+        ELSE array_to_string(list_transform(parts, lambda p, i: 'Preview part ' || CAST(i AS VARCHAR) || '/' || CAST(len(parts) AS VARCHAR) || chr(10) || p), '') END) AS sha256 FROM d""")
 def preview_parts(spark, sf):
-    # Texts with surrogate pairs are held against literal cases in the tests.
-    rows = table(spark, sf, "documents").where(~F.col("text").rlike(r"[\x{10000}-\x{10FFFF}]")).select("doc_id", rules.preview_parts(F.col("text")).alias("parts"))
+    rows = table(spark, sf, "documents").select("doc_id", rules.preview_parts(F.coalesce("text", F.lit(""))).alias("parts"))
     return rows.select("doc_id", F.size("parts").alias("parts"), F.sha2(F.array_join("parts", ""), 256).alias("sha256"))
 
 
@@ -203,14 +214,6 @@ def undetermined_traces(spark, sf):
     return adapter(spark, sf, "calls").select("call_id", rules.undetermined(2000, F.when(F.col("centis") % 3 == 0, 1).otherwise(0), F.col("centis") % 40 == 0, code, F.col("centis")).alias("undetermined"))
 
 
-@query("admission", """WITH r AS (SELECT event_id AS id, owner, t, t + 60 + event_id % 3000 AS e FROM {updates} u WHERE kind = 'purchase'), c AS (SELECT a.id, count(b.id) AS active, count(b.id) FILTER (WHERE b.owner = a.owner) AS own
-      FROM r a LEFT JOIN r b ON b.t < a.t AND b.e > a.t AND b.id <> a.id GROUP BY a.id)
-    SELECT id, active, own, CASE WHEN own > 0 THEN 'one_job_at_a_time' WHEN active >= 8 THEN 'busy' ELSE 'admitted' END AS decision FROM c""")
-def admission(spark, sf):
-    rows = adapter(spark, sf, "updates").where("kind = 'purchase'").selectExpr("event_id AS id", "owner", "t", "t + 60 + event_id % 3000 AS e")
-    return rules.admission(rows, "owner", "t", "e")
-
-
 @query("draft_problems", """SELECT owner, drafts, CASE WHEN drafts > 10 THEN 'too_many' WHEN given > different THEN 'index_repeated' WHEN most > coalesce(size, 0) OR least < 1 THEN 'index_out_of_range' END AS problem FROM
     (SELECT l_orderkey AS owner, count(*) AS drafts, count(x) AS given, count(DISTINCT x) AS different, max(x) AS most, min(x) AS least FROM (SELECT l_orderkey, CASE WHEN l_linenumber % 3 <> 0 THEN l_linenumber % (2 + l_orderkey % 4) + l_orderkey % 2 END AS x FROM lineitem) d GROUP BY 1) g
     LEFT JOIN (SELECT l_orderkey AS o, count(*) AS size FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1) s ON owner = o""")

@@ -183,15 +183,19 @@ def coverage_gaps(spark, sf):
     return contracts.coverage_gaps(rows.where("l_partkey % 5 <> 0").select("job", "id"), rows.where("l_suppkey % 5 <> 0").select("job", "id"), ["job", "id"])
 
 
-@query("capture_reasons", """
-    SELECT page_id, array_to_string(list_filter([CASE WHEN kind <> 'jpeg' THEN 'not_jpeg' END, CASE WHEN gps THEN 'location_tag' END, CASE WHEN side > CASE WHEN hd THEN 2560 ELSE 1280 END THEN 'too_large' END,
-             CASE WHEN hd AND side <= 1280 THEN 'not_hd' END, CASE WHEN bytes > 20971520 THEN 'file_limit' END], lambda x: x IS NOT NULL), ',') AS reasons
-    FROM (SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'png' ELSE 'jpeg' END AS kind, page_id % 11 = 0 AS gps, page_id % 2 = 0 AS hd, page_id * 37 % 3000 AS side, page_id * 104729 % 30000000 AS bytes FROM pages) p""")
+_CAPTURES = """SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'PNG' ELSE 'JPEG' END AS format, page_id * 7919 % 100000000 AS pixels, page_id % 11 = 0 AS gps,
+    CASE WHEN page_id % 5 < 3 THEN 'telegram' ELSE 'camera' END AS source, CASE WHEN page_id % 5 < 3 THEN CASE WHEN page_id % 2 = 0 THEN 'hd' ELSE 'standard' END END AS sent,
+    page_id * 37 % 3000 AS side, page_id * 104729 % 30000000 AS bytes FROM {pages}"""
+
+
+@query("capture_reasons", "SELECT page_id, array_to_string(CASE WHEN format <> 'JPEG' THEN ['not_jpeg'] WHEN pixels > 89478485 THEN ['pixel_limit'] ELSE list_filter([CASE WHEN gps THEN 'location_metadata_present' END, "
+    "CASE WHEN sent = 'standard' AND side > 1280 THEN 'telegram_standard_size_mismatch' WHEN sent = 'hd' AND side NOT BETWEEN 1281 AND 2560 THEN 'telegram_hd_size_mismatch' END, "
+    "CASE WHEN source = 'camera' AND side < 2561 THEN 'camera_original_too_small' END, CASE WHEN source = 'camera' AND bytes > 20971520 THEN 'exceeds_bot_api_file_limit' END], lambda x: x IS NOT NULL) END, ',') AS reasons "
+    "FROM (" + _CAPTURES.replace("{pages}", "pages") + ") p")
 def capture_reasons(spark, sf):
-    rows = table(spark, sf, "pages").selectExpr(
-        "page_id", "CASE WHEN page_id % 6 = 0 THEN 'png' ELSE 'jpeg' END AS kind", "page_id % 11 = 0 AS gps", "page_id % 2 = 0 AS hd", "page_id * 37 % 3000 AS side", "page_id * 104729 % 30000000 AS bytes"
-    )
-    return rows.select("page_id", F.array_join(contracts.capture_reasons(*(F.col(c) for c in ("kind", "gps", "hd", "side", "bytes"))), ",").alias("reasons"))
+    rows = spark.sql(_CAPTURES, pages=table(spark, sf, "pages"))
+    columns = (F.col(c) for c in ("format", "pixels", "gps", "source", "sent", "side", "bytes"))
+    return rows.select("page_id", F.array_join(contracts.capture_reasons(*columns), ",").alias("reasons"))
 
 
 @query("failure_state", """

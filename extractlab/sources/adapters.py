@@ -94,3 +94,11 @@ def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def over(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """A SQL text over some tables, whose names stand in braces; all other braces are its own."""
+    text = sql.replace("{", "{{").replace("}", "}}")
+    for name in names:
+        text = text.replace("{{" + name + "}}", "{" + name + "}")
+    return spark.sql(text, **{name: table(spark, sf_dir, name) for name in names})

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from extractlab.operators import flow, merge, ordered, store, verify
+from extractlab.operators import admission, alignment, flow, merge, ordered, store, verify
 
 
 @pytest.mark.parametrize(("readings", "status", "raw"), [
@@ -39,33 +39,53 @@ CASES = [("AB", (2, 0)), ("BA", (1, 1)), ("AA", (1, 1)), ("ABC", (2, 1)), ("A",
 
 @pytest.mark.parametrize(("actual", "counts"), CASES)
 def test_alignment(actual, counts):
-    pairs = ordered.alignment(len(actual), 2, lambda i, j: (1, 0) if actual[i] == "AB"[j] else None)
+    pairs = alignment.best_chain([(i, j, 1, 0) for i, a in enumerate(actual) for j in range(2) if a == "AB"[j]])
     assert (len(pairs), len(actual) - len(pairs)) == counts
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.integers(0, 5), st.integers(0, 5), st.data())
-def test_alignment_is_best(n, m, data):
-    weights = {(i, j): data.draw(st.sampled_from([None, (0, 1), (1, 0), (2, 1)])) for i, j in product(range(n), range(m))}
-    got = ordered.alignment(n, m, lambda i, j: weights[i, j])
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 6), st.integers(0, 6), st.data())
+def test_alignment_is_the_preferred_best_one(n, m, data):
+    """Of all ways from each place: a pair first, then skipping the actual row, then the expected one, whichever is largest."""
+    weights = {(i, j): data.draw(st.sampled_from([None, (0, 1), (1, 0), (1, 1), (2, 0)])) for i, j in product(range(n), range(m))}
+    known = {}
 
-    def best(i, j):
+    def way(i, j):
         if i == n or j == m:
-            return (0, 0, 0)
-        w = weights[i, j]
-        options = [best(i + 1, j), best(i, j + 1)]
-        if w:
-            options.append(tuple(x + y for x, y in zip(best(i + 1, j + 1), (*w, 1), strict=True)))
-        return max(options)
-
-    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(got, got[1:], strict=False))
-    assert tuple(sum(x) for x in zip(*[(*weights[p], 1) for p in got], strict=True)) == best(0, 0) or not got and best(0, 0) == (0, 0, 0)
-
-
-def test_aligned_rows_need_a_correct_cell(spark):
-    rows = [("k", 0, 0, 0, 1, 1), ("k", 1, 1, 0, 1, 0), ("k", 2, 1, 1, 0, 1)]
-    df = spark.createDataFrame(rows, "job string, actual int, expected int, correct int, missing int, accepted int")
-    assert [tuple(r) for r in ordered.align_rows(df, "job").collect()] == [("k", 2, 1)]
+            return (0, 0, 0), ()
+        if (i, j) not in known:
+            ways = [way(i + 1, j), way(i, j + 1)]
+            if weights[i, j]:
+                total, rest = way(i + 1, j + 1)
+                ways.insert(0, (tuple(x + y for x, y in zip(total, (*weights[i, j], 1), strict=True)), ((i, j), *rest)))
+            known[i, j] = max(ways, key=lambda w: w[0])
+        return known[i, j]
+
+    got = alignment.best_chain([(i, j, *w) for (i, j), w in weights.items() if w])
+    assert tuple(got) == way(0, 0)[1]
+
+
+def test_long_lists_align_without_a_table():
+    """Two lists of 20,000 rows with 60,000 pairs in common."""
+    pairs = [(i, j, 1, 0) for i in range(20_000) for j in (i - 7, i, i + 3) if 0 <= j < 20_000]
+    got = alignment.best_chain(pairs)
+    assert len(got) == 20_000 and got[0] == (0, 0) and got[-1] == (19_999, 19_999)
+
+
+def test_row_weights_need_shared_cells_and_pages(spark):
+    cells = "case_id int, list_id string, pos int, field_id string, status string, value string, pages array<int>, row_pages array<int>"
+    actual = spark.createDataFrame([
+        (1, "x", 0, "a", "extracted", "A", [1], [1]), (1, "x", 0, "b", "missing", None, [], [1]), (1, "x", 1, "a", "missing", None, [], [1]), (1, "x", 1, "b", "missing", None, [], [1]),
+        (1, "x", 2, "a", "extracted", "Z", [1], [1]), (1, "x", 2, "b", "missing", None, [], [1]), (1, "x", 3, "a", "extracted", "A", [2], [2]),
+    ], cells)
+    true = "case_id int, list_id string, ix int, field_id string, truth_status string, truth_values array<string>, truth_pages array<int>, truth_row_pages array<int>, present boolean"
+    expected = spark.createDataFrame([(1, "x", 0, "a", "extracted", ["A", "B", "A"], [1], [1], True), (1, "x", 0, "b", "missing", None, [1], [1], False), (1, "x", 1, "a", "extracted", ["C"], [1, 2], [1, 2], True)], true)
+    got = {tuple(r) for r in alignment.row_weights(actual, expected).collect()}
+    assert got == {(1, "x", 0, 0, 1, 1), (1, "x", 1, 0, 0, 1)}
+    pairs = alignment.align_rows(alignment.row_weights(actual, expected), ["case_id", "list_id"])
+    assert [tuple(r) for r in pairs.collect()] == [(1, "x", 0, 0)]
+    values = {(r["pos"], r["identity"], r["status"], r["truth_status"]) for r in alignment.cell_values(actual, expected, pairs).collect()}
+    assert len(values) == 8 and sum(v[0] == -1 for v in values) == 1
 
 
 def test_packing(spark):
@@ -77,8 +97,8 @@ def test_packing(spark):
 def test_lockout(spark):
     times = [(1, t, t, False) for t in (0, 1, 2, 3, 4)] + [(1, 10, 10, True), (1, 900, 900, True), (2, 5, 5, True)]
     df = spark.createDataFrame(times, "owner long, t long, event_id long, correct boolean")
-    got = {(r["owner"], r["event_id"]): (r["result"], r["retry_after"]) for r in flow.lockouts(df).collect()}
-    assert got[1, 3] == ("refused", None) and got[1, 4] == ("locked", None) and got[1, 10] == ("locked", 890)
+    got = {(r["owner"], r["event_id"]): (r["result"], r["retry_after"]) for r in admission.lockouts(df).collect()}
+    assert got[1, 3] == ("refused", None) and got[1, 4] == ("locked", 896) and got[1, 10] == ("locked", 890)
     assert got[1, 900] == ("accepted", None) and got[2, 5] == ("accepted", None)
 
 
