@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from extractlab.operators.admission import ADMITTED_JOBS, Places
+
 
 def deduplicated(updates: DataFrame, time: str, keys: list[str], delay: str = "1 hour") -> DataFrame:
     """Each key once; keys are forgotten when the watermark has passed them."""
@@ -77,6 +79,30 @@ def preview_outcomes(events: DataFrame, owner: str, time: str, order: str, actio
     )
 
 
+def admissions(requests: DataFrame, service: str, owner: str, start: str, end: str, jobs: int = ADMITTED_JOBS, delay: str = "1 hour") -> DataFrame:
+    """(service, id, active, own, decision) as :func:`extractlab.operators.admission.admission` gives it, while requests arrive. State are the
+    jobs that run in a service, at most ``jobs``; a timer drops it when the watermark shows that all of them are over."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        told = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            places = Places(list(zip(*state.get, strict=True)) if state.exists else [], jobs)
+            rows = sorted((t.timestamp(), i, o, e.timestamp()) for b in batches for t, i, o, e in zip(b[start], b["id"], b[owner], b[end], strict=True))
+            told = [(key[0], i, *places.decide(o, t, e)) for t, i, o, e in rows]
+            if places.running:
+                state.update(([e for e, _ in places.running], [int(o) for _, o in places.running]))
+                state.setTimeoutTimestamp(max(int(max(e for e, _ in places.running) * 1000), state.getCurrentWatermarkMs() + 1))
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame(told, columns=[service, "id", "active", "own", "decision"])
+
+    return requests.withWatermark(start, delay).groupBy(service).applyInPandasWithState(
+        step, f"{service} long, id long, active int, own int, decision string", "ends array<double>, owners array<long>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def late_fragments(fragments: DataFrame, owner: str, album: str, time: str, order: str, quiet: int, work: int, remember: int, delay: str = "1 hour") -> DataFrame:
     """(owner, album, order, effect, album_generation) as :func:`extractlab.operators.flow.late_fragments` gives it. A delivered
     album is remembered for ``remember`` seconds after its last fragment; what comes later begins a new one."""

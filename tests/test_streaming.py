@@ -4,7 +4,7 @@ import datetime as dt
 
 import pandas as pd
 
-from extractlab.operators import flow
+from extractlab.operators import admission, flow
 from extractlab.streaming import flows
 
 
@@ -72,3 +72,23 @@ def test_late_fragments(spark, tmp_path):
     stream = events(spark, rows, tmp_path / "in").selectExpr("owner", "0L AS album", "ts", "event_id")
     got = run(flows.late_fragments(stream, "owner", "album", "ts", "event_id", 2, 10, 900), tmp_path / "c").sort_values("event_id")
     assert list(zip(got["effect"], got["album_generation"], strict=True)) == wanted
+
+
+def test_admissions(spark, tmp_path):
+    """(service, id, owner, start, end): a refused request takes no place, in the batch and while requests arrive."""
+    base = 1_000_000
+    parts = [
+        [(1, 1, 7, 0, 100), (1, 2, 7, 50, 150), (2, 3, 7, 0, 9000)], [(1, 4, 7, 120, 200), (1, 5, 8, 130, 400), (1, 6, 9, 140, 150), (2, 7, 7, 8000, 8100)],
+        [(1, 8, 9, 150, 500), (1, 9, 6, 199, 210), (2, 10, 7, 9000, 9100)],
+    ]
+    flat = [x for part in parts for x in part]
+    batch = spark.createDataFrame(flat, "service long, id long, owner long, t long, e long")
+    wanted = {r["id"]: (r["active"], r["own"], r["decision"]) for r in admission.admission(batch, "service", "owner", "t", "e", jobs=2).collect()}
+    assert {d for _, _, d in wanted.values()} == {"admitted", "busy", "active_document"}
+    schema = "service long, id long, owner long, t timestamp, e timestamp"
+    for i, part in enumerate(parts):
+        rows = [(s, k, o, *(dt.datetime.fromtimestamp(base + x, dt.UTC) for x in (t, e))) for s, k, o, t, e in part]
+        spark.createDataFrame(pd.DataFrame(rows, columns=["service", "id", "owner", "t", "e"]), schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = run(flows.admissions(stream, "service", "owner", "t", "e", jobs=2, delay="10 days"), tmp_path / "c")
+    assert {r.id: (r.active, r.own, r.decision) for r in got.itertuples()} == wanted
