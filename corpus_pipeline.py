@@ -44,15 +44,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     itself. Rows with null ids and texts without words stay; very long texts are compared whole."""
     known, back = sheltered(docs, ("doc_id", "text"))
     found = written(op10_minhash.near_duplicates(known, NEAR, apart=True).where("n_shingles > 0 AND doc_id IS NOT NULL"), "pipeline-found")
+    # Texts by group: the first one of each stays. Those that go whole, and those that stay once of several equal rows.
+    texts = found.groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
     row = F.struct("doc_id", "text_hash")
-    first = found.groupBy("component_id").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1")
-    # The texts that go whole, and those that stay once of several equal rows.
-    told = found.join(first, "component_id").groupBy("doc_id", "text_hash").agg(F.bool_or(row == F.col("first")).alias("stays"))
+    first = texts.groupBy("component_id").agg(F.min(row).alias("first"), F.sum("rows").alias("n")).where("n > 1")
+    told = texts.join(first, "component_id").withColumn("stays", row == F.col("first")).where("NOT stays OR rows > 1")
     told = written(told.select(F.col("doc_id").alias("told_id"), F.col("text_hash").alias("told_hash"), "stays"), "pipeline-told")
     same = (F.col("doc_id") == F.col("told_id")) & (F.xxhash64("text") == F.col("told_hash"))
-    marked = known.join(told, same, "left")
-    once = marked.where("stays").groupBy("told_id", "told_hash").agg(F.first(F.struct(*known.columns)).alias("kept")).select("kept.*")
-    return back(marked.where("told_id IS NULL").select(known.columns).unionByName(once))
+    kept = known.join(told, same, "left_anti")
+    # Seldom any: only their rows are grouped.
+    equal = known.join(told.where("stays"), same).groupBy("told_id", "told_hash").agg(F.first(F.struct(*known.columns)).alias("kept"))
+    return back(kept.unionByName(equal.select("kept.*")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
