@@ -85,7 +85,7 @@ def media_kind(content: Column) -> Column:
     head = F.hex(F.substring(content, 1, 8))
     return (
         F.when(head == "89504E470D0A1A0A", "png").when(head.startswith("FFD8FF"), "jpeg")
-        .when(F.expr("false") | F.decode(F.substring(content, 1, 1024), "ISO-8859-1").contains("%PDF-"), "pdf")
+        .when(F.decode(F.substring(content, 1, 1024), "ISO-8859-1").contains("%PDF-"), "pdf")
     )
 
 
