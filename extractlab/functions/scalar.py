@@ -18,11 +18,9 @@ DATE_FORMATS = {
 
 def normal_number(raw: Column) -> Column:
     """An exact decimal string in normal form, null if it is none. Never cast: precision is unbounded."""
-    sign = F.when(raw.startswith("-"), "-").otherwise("")
-    whole = F.regexp_replace(F.regexp_extract(raw, r"^[+-]?([0-9]+)", 1), "^0+(?=[0-9])", "")
-    part = F.regexp_replace(F.regexp_extract(raw, r"\.([0-9]+)$", 1), "0+$", "")
-    size = F.when(part == "", whole).otherwise(F.concat(whole, F.lit("."), part))
-    return F.when(raw.rlike(r"\A[+-]?[0-9]+(\.[0-9]+)?\z"), F.when(size == "0", "0").otherwise(F.concat(sign, size)))
+    whole = F.regexp_replace(raw, r"^(?:\+|(-))?0*(?=[0-9])", "$1")
+    size = F.regexp_replace(whole, r"\.0*$|(\.[0-9]*[1-9])0+$", "$1")
+    return F.when(raw.rlike(r"\A[+-]?[0-9]+(\.[0-9]+)?\z"), F.regexp_replace(size, "^-0$", "0"))
 
 
 def date_readings(raw: Column, formats: list[str]) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from extractlab.functions import scalar as fn
 from extractlab.functions.shapes import Each, Object, OneOf, Text, Union, Whole, entries, is_, items, kind, text
-from extractlab.functions.strict import strict_json
+from extractlab.functions.strict import strict_problem
 from extractlab.operators import contracts, rules
 
 #: Statuses of values and lists, reasons, and what pages can say of their document.
@@ -83,8 +83,9 @@ def _told(cells: Column) -> Column:
 def _normal(c: Column) -> Column:
     """A value's normal form by its declared type; null if it has none."""
     said = c["kind"] == "STRING"
-    read = date_readings(c["raw"], c["d"]["formats"])
-    date = F.when(F.size(read) == 1, F.get(read, F.lit(0))).when(F.size(read) == 0, c["raw"])
+    # The readings are bound by a lambda, so that they are worked out once.
+    one = F.transform(F.array(date_readings(c["raw"], c["d"]["formats"])), lambda read: F.when(F.size(read) == 1, F.get(read, F.lit(0))).when(F.size(read) == 0, c["raw"]))
+    date = F.get(one, F.lit(0))
     declared = c["d"]["kind"]
     return (
         F.when(declared == "boolean", F.when(c["kind"] == "BOOLEAN", c["raw"])).when(~is_(said), F.lit(None))
@@ -211,7 +212,7 @@ def parsed_batches(replies: DataFrame, shapes: DataFrame, key: str) -> DataFrame
 
     Refused replies give no results. A null text is ``no_text``; replies whose profile isn't there are left out."""
     j = F.col
-    rows = replies.join(shapes, "profile").withColumns({"_strict": strict_json(j("text"))["problem"], "_root": entries(F.try_parse_json("text"))})
+    rows = replies.join(shapes, "profile").withColumns({"_strict": strict_problem(j("text")), "_root": entries(F.try_parse_json("text"))})
     part = lambda name: entries(F.try_element_at(j("_root"), F.lit(name)))
     rows = rows.withColumns({"_fields": part("fields"), "_lists": part("lists"), "_pages": part("membership")})
     rows = rows.withColumns({
@@ -250,7 +251,7 @@ def parsed_matching(replies: DataFrame, key: str) -> DataFrame:
     given = index.isNotNull() & ~is_(F.is_variant_null(index))
     typed = Object({"status": OneOf(MATCHING), "profile_index": Whole(-(1 << 62), null=True), "type_description": Text(null=True)}, ("profile_index", "type_description"))
     problem = (
-        F.when(strict_json(F.col("text"))["problem"].isNotNull(), strict_json(F.col("text"))["problem"])
+        F.when(strict_problem(F.col("text")).isNotNull(), strict_problem(F.col("text")))
         .when(~is_(F.size(F.array_except(F.map_keys(m), F.array(*(F.lit(n) for n in typed.names)))) == 0) | ~is_(F.array_contains(F.map_keys(m), "status")), "wire_object_keys")
         .when(~typed.fits(v), "wire_value_type").when((status == "matched") & ~is_(number >= 1), "profile_index_required").when((status != "matched") & given, "profile_index_forbidden")
         .when((status == "no_profile") & ~Text(1, visible=True).fits(described), "type_description_required")
@@ -290,7 +291,7 @@ def draft_replies(replies: DataFrame, key: str) -> DataFrame:
     """key, status, and of accepted replies the drafts (name, source_index, scalars, lists) or questions; refused ones have the status ``refused``."""
     v = F.try_parse_json("text")
     m = entries(v)
-    fine = strict_json(F.col("text"))["problem"].isNull() & DRAFT_REPLY.fits(v)
+    fine = strict_problem(F.col("text")).isNull() & DRAFT_REPLY.fits(v)
 
     def draft(x: Column) -> Column:
         own = entries(x)

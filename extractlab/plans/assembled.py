@@ -79,7 +79,7 @@ _ORACLE = f"""WITH t AS MATERIALIZED (SELECT *, CASE WHEN reply % 107 = 0 THEN '
 
 
 def _parsed(spark, sf):
-    rows = over(spark, sf, _REPLIES, "orders").withColumn("pages", F.array("page", F.col("page") + 1))
+    rows = over(spark, sf, _REPLIES, "orders", keys=("o_orderkey",)).withColumn("pages", F.array("page", F.col("page") + 1))
     declared = [(*d, i) for i, d in enumerate(_DECLARED)]
     shapes = replies.profile_shapes(spark.createDataFrame(declared, "profile int, list_id string, field_id string, kind string, formats array<string>, place int"))
     return replies.parsed_batches(rows, shapes, "reply")
@@ -92,23 +92,24 @@ def parsed_replies(spark, sf):
 
 @query("parsed_cells", f"""{_ORACLE} SELECT reply, list_id, CAST(i AS INT) AS row, field_id, status, held AS raw, normalized, array_to_string(pages, ',') AS pages FROM results JOIN told USING (reply) WHERE problem IS NULL""")
 def parsed_cells(spark, sf):
-    found = _parsed(spark, sf)
-    own = found.select("reply", F.lit(None).cast("string").alias("list_id"), F.lit(None).cast("int").alias("row"), F.explode("fields").alias("c"))
-    rows = found.select("reply", F.explode("lists").alias("l")).select("reply", F.col("l.field_id").alias("list_id"), F.posexplode("l.rows").alias("row", "r"))
-    cells = own.unionByName(rows.select("reply", "list_id", "row", F.explode("r.cells").alias("c")))
+    # Values and cells go through one array, and filters stand behind explode_outer: each reply is read once.
+    at = lambda x, i, c: F.struct(x.cast("string").alias("list_id"), i.cast("int").alias("row"), c.alias("c"))
+    own = F.transform("fields", lambda c: at(F.lit(None), F.lit(None), c))
+    rows = F.flatten(F.transform("lists", lambda x: F.flatten(F.transform(x["rows"], lambda r, i: F.transform(r["cells"], lambda c: at(x["field_id"], i, c))))))
+    cells = _parsed(spark, sf).select("reply", F.explode_outer(F.concat(own, rows)).alias("x")).where("x IS NOT NULL").select("reply", "x.list_id", "x.row", "x.c")
     return cells.select("reply", "list_id", "row", "c.field_id", "c.status", "c.raw", "c.normalized", F.array_join("c.pages", ",").alias("pages"))
 
 
 @query("parsed_lists", f"""{_ORACLE} SELECT reply, list_id AS field_id, CASE WHEN coalesce(changed, false) THEN status ELSE was END AS status, CASE WHEN coalesce(changed, false) THEN new_reason ELSE reason END AS reason, whole AS enumeration_complete,
     array_to_string(list_transform(range(n), lambda k: 'batch:' || page || ':row:' || k), ',') AS rows FROM found JOIN told USING (reply) WHERE problem IS NULL""")
 def parsed_lists(spark, sf):
-    lists = _parsed(spark, sf).select("reply", F.explode("lists").alias("l"))
+    lists = _parsed(spark, sf).select("reply", F.explode_outer("lists").alias("l")).where("l IS NOT NULL")
     return lists.select("reply", "l.field_id", "l.status", "l.reason", "l.enumeration_complete", F.array_join(F.col("l.rows")["source_key"], ",").alias("rows"))
 
 
 @query("parsed_membership", f"""{_ORACLE}, p AS (SELECT reply, j, unnest([page, page + 1]) AS page FROM ok) SELECT p.reply, p.page, j->>('$.membership.' || p.page) AS status FROM p JOIN told USING (reply) WHERE problem IS NULL""")
 def parsed_membership(spark, sf):
-    return _parsed(spark, sf).select("reply", F.explode("membership").alias("m")).select("reply", "m.page", "m.status")
+    return _parsed(spark, sf).select("reply", F.explode_outer("membership").alias("m")).where("m IS NOT NULL").select("reply", "m.page", "m.status")
 
 
 _MATCHINGS = """SELECT k AS reply, concat('{"status":', CASE WHEN k % 43 = 0 THEN '1' ELSE concat('"', status, '"') END,
@@ -124,7 +125,7 @@ _MATCHINGS = """SELECT k AS reply, concat('{"status":', CASE WHEN k % 43 = 0 THE
         WHEN status <> 'matched' AND index IS NOT NULL THEN 'profile_index_forbidden' WHEN status = 'no_profile' AND said = '' THEN 'type_description_required' WHEN status = 'matched' AND index > 4 THEN 'profile_index_outside_snapshots' END AS problem FROM p)
     SELECT reply, problem, CASE WHEN problem IS NULL THEN status END AS status, CASE WHEN problem IS NULL THEN reply * 10 + index END AS profile FROM c""")
 def parsed_matching(spark, sf):
-    rows = over(spark, sf, _MATCHINGS, "orders")
+    rows = over(spark, sf, _MATCHINGS, "orders", keys=("o_orderkey",))
     return replies.parsed_matching(rows.withColumn("snapshots", F.array(*(F.col("reply") * 10 + i for i in range(1, 5)))), "reply")
 
 
@@ -141,5 +142,5 @@ _DRAFTS = f"""SELECT k AS reply, CASE WHEN k % 9 = 0 THEN concat('{{"status":"qu
     FROM (SELECT p_partkey AS k, p_brand AS b, CASE WHEN p_partkey % 9 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'refused' ELSE 'questions' END
         WHEN p_partkey % 17 = 0 AND p_partkey % 14 <> 0 OR p_partkey % 19 = 0 AND p_partkey % 14 <> 0 OR p_partkey % 14 = 0 OR p_partkey % 5 = 1 OR p_partkey % 23 = 0 OR (p_partkey % 20 = 5) OR (p_partkey % 12 = 6) THEN 'refused' ELSE 'drafts' END AS status FROM part) p""")
 def draft_replies(spark, sf):
-    found = replies.draft_replies(over(spark, sf, _DRAFTS, "part"), "reply").withColumn("d", F.try_element_at("drafts", F.lit(1)))
+    found = replies.draft_replies(over(spark, sf, _DRAFTS, "part", keys=("p_partkey",)), "reply").withColumn("d", F.try_element_at("drafts", F.lit(1)))
     return found.select("reply", "status", "d.name", "d.source_index", "d.scalars", "d.lists", F.nullif(F.array_join("questions", "|"), F.lit("")).alias("questions"))

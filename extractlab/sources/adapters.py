@@ -70,6 +70,8 @@ ADAPTERS = {
     "splits": """
         SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'benchmark' WHEN doc_id % 3 = 0 THEN 'tuning' ELSE 'development' END AS split, text FROM documents""",
 }
+#: How many texts that are parsed a task gets.
+TEXTS = 50_000
 #: The one dialect difference that an adapter needs.
 SECONDS = {"spark": "unix_micros(CAST(ts AS TIMESTAMP)) div 1000000", "duckdb": "epoch_us(ts) // 1000000"}
 
@@ -96,9 +98,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def over(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
-    """A SQL text over some tables, whose names stand in braces; all other braces are its own."""
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """A table dealt out over tasks of about so many rows each, by its keys: a small file is a single task, whatever each row costs, and
+    a fixed number of partitions grows with its table. The number of rows comes from the files' footers."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // rows)), *keys)
+
+
+def over(spark: SparkSession, sf_dir: str, sql: str, *names: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A SQL text over some tables, whose names stand in braces; all other braces are its own. With the tables' keys they are spread
+    over tasks, for texts that cost much more to read than to make."""
     text = sql.replace("{", "{{").replace("}", "}}")
     for name in names:
         text = text.replace("{{" + name + "}}", "{" + name + "}")
-    return spark.sql(text, **{name: table(spark, sf_dir, name) for name in names})
+    tables = {name: table(spark, sf_dir, name) for name in names}
+    return spark.sql(text, **(tables | {name: spread(tables[name], TEXTS, key) for name, key in zip(names, keys)}))

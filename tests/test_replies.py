@@ -5,6 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from extractlab import catalog
+from extractlab.functions import strict
 from extractlab.functions.shapes import Each, Object, OneOf, Text, Union, Whole
 from extractlab.operators import replies
 
@@ -114,3 +116,19 @@ def test_drafts_or_questions(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "reply int, text string")
     got = replies.draft_replies(df, "reply").orderBy("reply").collect()
     assert [r["status"] for r in got] == ["drafts", "questions"] + ["refused"] * 5 and got[0]["drafts"][0]["scalars"] == 1 and got[1]["questions"] == ["Which?"]
+
+
+def test_every_reply_is_read_once_and_by_many_tasks(spark):
+    sf = "/root/testdata/sf0.001"
+    for name in ("parsed_replies", "parsed_cells", "parsed_lists", "parsed_membership", "draft_replies"):
+        df = catalog.queries()[name](spark, sf)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and plan.count("RepartitionByExpression") == 1, name
+
+
+@pytest.mark.parametrize("text", [
+    "", " ", "1", '"a"', "{}", "[]", "[1,]", '{"a":1,"a":2}', '{"a":[{"b":1,"b":1}]}', '{"a":1} x', "{} {}", '{"a":', "NaN", "[Infinity]", "-", "01", "1.", '"\\ud800"', '"\t"', "﻿1", " 1", "１",
+    "[" * 32 + "1" + "]" * 32, "[" * 33 + "1" + "]" * 33, "[" * 33 + "]" * 33, "[" * 34 + "]" * 34, "[" * 5000, "[" + "[]," * 40 + "1]", "9" * 5000, "1e999", '{"a":"[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[["}',
+])
+def test_problem_of_a_text_is_that_of_its_spans(text):
+    assert strict.problem(text) == strict.spans(text)[0]
