@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from extractlab.functions import scalar as fn
 from extractlab.operators import lists
 from extractlab.plans.registry import query
-from extractlab.sources.adapters import adapter, table
+from extractlab.sources.adapters import LINES, adapter, shares, table
 
 
 # A list row for each line, in batches of three; the batch after every fifth line of an order has no rows.
@@ -44,7 +44,8 @@ _MERGED_LISTS = f"""(WITH r AS (SELECT *, row IS NOT NULL AS is_row FROM {_BATCH
 
 def _merged_lists(spark, sf):
     sql = _BATCHES.replace("//", "div").replace("VARCHAR", "STRING").replace("{list_rows}", "{rows}")
-    return lists.merge_lists(spark.sql(f"SELECT * FROM {sql} b", rows=adapter(spark, sf, "list_rows")), ["a", "b"])
+    rows = spark.sql(f"SELECT * FROM {sql} b", rows=adapter(spark, sf, "list_rows"))
+    return lists.merge_lists(rows, ["a", "b"], shares(table(spark, sf, "lineitem"), LINES))
 
 
 @query("merge_lists", f"SELECT * FROM {_MERGED_LISTS} m")

@@ -1,6 +1,9 @@
 """Lists merged in document order, on literal cases: a status has a reason only if the list is unresolved."""
 
+from extractlab import catalog
 from extractlab.operators import lists, merge
+from extractlab.plans import lists as plans
+from extractlab.sources import adapters
 from pyspark.sql import functions as F
 
 X = ("extracted", "x")
@@ -54,3 +57,13 @@ def test_numbers_agree_in_normal_form(spark):
     rows = spark.createDataFrame([(1, 1, "extracted", "10", [2, 1]), (1, 2, "invalid", "10.00", [3, 2]), (2, 1, "extracted", "x", [1]), (2, 2, "extracted", "10", [1])], "job int, batch int, status string, raw string, pages array<int>")
     got = {r["job"]: (r["status"], r["raw"], r["normalized"], r["pages"]) for r in merge.merge_scalars(rows, ["job"], normal=normal_number(F.col("raw"))).collect()}
     assert got == {1: ("extracted", "10", "10", [2, 1, 3]), 2: ("ambiguous", None, None, [1])}
+
+
+def test_shares_grow_with_the_lines(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    for module in (adapters, plans):
+        monkeypatch.setattr(module, "LINES", 500)
+    wanted = adapters.shares(adapters.table(spark, sf, "lineitem"), 500)
+    assert wanted > 8
+    for name in ("merge_lists", "credited_once", "continuation_stitch"):
+        assert catalog.queries()[name](spark, sf).rdd.getNumPartitions() == wanted, name
