@@ -33,6 +33,11 @@ def text(value: Column) -> Column:
     return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What an expression makes of a value that is worked out once, however often the expression names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
@@ -135,7 +140,10 @@ class Object:
     null: bool = False
 
     def fits(self, value: Column) -> Column:
-        own = entries(value)
+        fine = bound(entries(value), self._names_fit)
+        return (fine | is_(F.is_variant_null(value))) if self.null else fine
+
+    def _names_fit(self, own: Column) -> Column:
         keys = F.map_keys(own)
         known = F.array(*(F.lit(n) for n in self.names))
         needed = [n for n in self.names if n not in self.optional]
@@ -146,7 +154,7 @@ class Object:
             fine = fine & ((has & fits) if name in needed else (~has | fits))
         if self.also is not None:
             fine = fine & is_(self.also(own))
-        return (fine | is_(F.is_variant_null(value))) if self.null else fine
+        return fine
 
 
 @dataclass(frozen=True)

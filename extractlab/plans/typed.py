@@ -19,7 +19,7 @@ _NESTED = f"""SELECT k, concat('{{ "z" : [', c, ', {{"b":"é', s, '\\u0041", "a"
         CASE WHEN k % 11 <> 0 AND k % 13 <> 0 AND k % 17 <> 0 THEN sha256('{{"a":{{"x":' || {_FLAG} || ',"y":null}},"z":[' || c || ',{{"a":' || (c * 3) || '.5,"b":"é' || s || 'A"}}]}}') END AS sha256
     FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s FROM orders) o""")
 def canonical_values(spark, sf):
-    rows = over(spark, sf, _NESTED, "orders").select("k", canonical_json(F.col("text")).alias("c"))
+    rows = over(spark, sf, _NESTED, "orders", keys=("o_orderkey",)).select("k", canonical_json(F.col("text")).alias("c"))
     return rows.select("k", "c.problem", F.sha2("c.text", 256).alias("sha256"))
 
 
@@ -32,7 +32,7 @@ _BAD = "k % 31 = 0 OR k % 37 = 0 OR k % 41 = 0 OR k % 43 = 0 OR k % 47 = 0 OR k
 
 
 def _decisions(spark, sf):
-    return typed.typed(over(spark, sf, _FILES, "orders"), "text", typed.DECISIONS)
+    return typed.typed(over(spark, sf, _FILES, "orders", keys=("o_orderkey",)), "text", typed.DECISIONS)
 
 
 @query("decision_files", f"SELECT k, CASE WHEN {_BAD} THEN 'other_shape' END AS problem FROM (SELECT o_orderkey AS k FROM orders) o")
@@ -44,4 +44,4 @@ def decision_files(spark, sf):
     CASE WHEN k % 4 <> 0 AND k % 3 = 0 THEN 'r1' END AS row_key, CASE WHEN k % 4 <> 0 AND k % 3 = 0 THEN 'c' END AS column_id, CASE WHEN k % 4 <> 0 THEN CASE WHEN k % 2 = 0 THEN 'legible' ELSE 'not_legible' END END AS visibility
     FROM (SELECT o_orderkey AS k FROM orders) o JOIN (SELECT 0 AS n UNION ALL SELECT 1) c ON n = 0 OR k % 7 = 0 WHERE NOT ({_BAD})""")
 def decided_values(spark, sf):
-    return typed.decided_values(_decisions(spark, sf).where("problem IS NULL"))
+    return typed.decided_values(_decisions(spark, sf))

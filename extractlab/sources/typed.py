@@ -91,13 +91,13 @@ class SinkError(ValueError):
 def typed(contents: DataFrame, column: str, shape: Object, canonical: bool = False) -> DataFrame:
     """The rows with ``value`` (a VARIANT, null unless it fits) and ``problem``: why the text in ``column`` is none of this shape. A
     canonical one must be spelled in canonical bytes too: a copy that was edited or written anew is refused."""
-    read = contents.withColumn("_c", canonical_json(F.col(column)))
-    value = F.try_parse_json(F.col("_c.text"))
+    read = contents.withColumn("_c", canonical_json(F.col(column))).withColumn("_v", F.try_parse_json(F.col("_c.text")))
+    value = F.col("_v")
     problem = F.when(F.col("_c.problem").isNotNull(), F.col("_c.problem")).when(~shape.fits(value), "other_shape")
     if canonical:
         problem = F.coalesce(problem, F.when(F.col(column) != F.col("_c.text"), "not_canonical"))
     out = read.withColumn("problem", problem)
-    return out.withColumn("value", F.when(F.col("problem").isNull(), value)).drop("_c")
+    return out.withColumn("value", F.when(F.col("problem").isNull(), value)).drop("_c", "_v")
 
 
 def read_typed(spark: SparkSession, path: str, shape: Object, code: str, canonical: bool = False) -> DataFrame:
@@ -119,10 +119,10 @@ def read_frozen(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decided_values(decisions: DataFrame) -> DataFrame:
-    """(case_id, decision, method, field_id, row_key, column_id, visibility) of decisions (value), a row for each value; a case without
-    values has one row of nulls."""
+    """(case_id, decision, method, field_id, row_key, column_id, visibility) of decisions (value, null if it doesn't fit: no rows), a row for
+    each value; a case without values has one row of nulls. The filter stands behind explode_outer, so that no value is read twice."""
     at = lambda m, name: text(F.try_element_at(m, F.lit(name)))
-    cases = decisions.select(F.explode(items(F.try_element_at(entries(F.col("value")), F.lit("cases")))).alias("c")).select(entries(F.col("c")).alias("m"))
+    cases = decisions.select(F.explode_outer(items(F.try_element_at(entries(F.col("value")), F.lit("cases")))).alias("c")).where("c IS NOT NULL").select(entries(F.col("c")).alias("m"))
     c = F.col("m")
     rows = cases.select(
         at(c, "case_id").alias("case_id"), at(c, "decision").alias("decision"), at(c, "method").alias("method"), F.explode_outer(items(F.try_element_at(c, F.lit("values")))).alias("v")

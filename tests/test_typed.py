@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from extractlab import catalog
 from extractlab.functions.canonical import canonical_json, canonical_sha256
 from extractlab.sources import typed
 
@@ -123,3 +124,10 @@ def test_ledger_stream(spark, tmp_path):
     stream = spark.readStream.schema("event string, run_id string").json(str(source))
     stream.writeStream.foreachBatch(typed.appended(path)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert typed.ledger(spark, path).count() == 2
+
+
+def test_decisions_are_read_by_many_tasks_and_once(spark):
+    sf = "/root/testdata/sf0.001"
+    assert catalog.queries()["decision_files"](spark, sf).rdd.getNumPartitions() == 8
+    plan = catalog.queries()["decided_values"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("parseJson") == 1
