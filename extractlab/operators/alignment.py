@@ -103,19 +103,22 @@ def contained(pages: Column, within: Column) -> Column:
 def row_weights(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """(case_id, list_id, actual, expected, correct, missing): pairs of rows that can be one. The actual row's pages lie within the
     expected row's; a row with accepted cells needs an exactly correct one, a row without needs an agreeing missing one."""
-    a, e = actual.alias("a"), expected.alias("e")
-    taken = a.where("status = 'extracted'").select(*LIST, "field_id", F.col("value").alias("_value"), "pos", "pages", "row_pages")
-    true = e.where("truth_status = 'extracted'").select(*LIST, "field_id", F.explode(F.array_distinct("truth_values")).alias("_value"), "ix", "truth_pages", "truth_row_pages")
+    # A row's few columns go along with it, so that pairs are counted in one shuffle and no cell is joined again.
+    own = actual.groupBy(*LIST, "pos").agg(
+        F.first("row_pages").alias("row_pages"), F.collect_list(F.when(F.col("status") == "extracted", F.struct("field_id", "value", "pages"))).alias("_taken"), F.collect_list(F.when(F.col("status") == "missing", F.col("field_id"))).alias("_absent"))
+    real = expected.groupBy(*LIST, "ix").agg(
+        F.first("truth_row_pages").alias("truth_row_pages"), F.collect_list(F.when(F.col("truth_status") == "extracted", F.struct("field_id", F.array_distinct("truth_values").alias("values"), "truth_pages"))).alias("_true"),
+        F.collect_list(F.when(F.col("truth_status") == "missing", F.col("field_id"))).alias("_gone"))
+    taken = own.select(*LIST, "pos", "row_pages", "_absent", F.explode("_taken").alias("t")).select(*LIST, "pos", "row_pages", "_absent", "t.field_id", F.col("t.value").alias("_value"), "t.pages")
+    true = real.select(*LIST, "ix", "truth_row_pages", "_gone", F.explode("_true").alias("t")).select(*LIST, "ix", "truth_row_pages", "_gone", "t.field_id", F.explode("t.values").alias("_value"), "t.truth_pages")
     same = taken.join(true, [*LIST, "field_id", "_value"]).where((F.size("pages") > 0) & contained(F.col("pages"), F.col("truth_pages")) & contained(F.col("row_pages"), F.col("truth_row_pages")))
-    correct = same.groupBy(*LIST, "pos", "ix").agg(F.count("*").alias("correct"))
-    accepted = a.groupBy(*LIST, "pos").agg(F.count_if(F.col("status") == "extracted").alias("_accepted"))
-    absent = a.where("status = 'missing'").select(*LIST, "field_id", "pos", "row_pages")
-    gone = e.where("truth_status = 'missing'").select(*LIST, "field_id", "ix", "truth_row_pages")
     # Missing cells count for pairs with a correct cell, and by themselves for rows without an accepted one.
-    blank = absent.join(accepted.where("_accepted = 0").drop("_accepted"), [*LIST, "pos"], "left_semi").join(gone, [*LIST, "field_id"]).where(contained(F.col("row_pages"), F.col("truth_row_pages")))
+    beside = F.aggregate("_absent", F.lit(0), lambda n, f: n + F.size(F.filter("_gone", lambda g: g == f)))
+    both = same.select(*LIST, "pos", "ix", beside.cast("long").alias("missing")).groupBy(*LIST, "pos", "ix").agg(F.count("*").alias("correct"), F.max("missing").alias("missing"))
+    absent = own.where(F.size("_taken") == 0).select(*LIST, "pos", "row_pages", F.explode("_absent").alias("field_id"))
+    gone = real.select(*LIST, "ix", "truth_row_pages", F.explode("_gone").alias("field_id"))
+    blank = absent.join(gone, [*LIST, "field_id"]).where(contained(F.col("row_pages"), F.col("truth_row_pages")))
     alone = blank.groupBy(*LIST, "pos", "ix").agg(F.count("*").alias("missing")).withColumn("correct", F.lit(0).cast("long"))
-    beside = correct.select(*LIST, "pos", "ix").join(absent.drop("row_pages"), [*LIST, "pos"]).join(gone.drop("truth_row_pages"), [*LIST, "field_id", "ix"]).groupBy(*LIST, "pos", "ix").agg(F.count("*").alias("missing"))
-    both = correct.join(beside, [*LIST, "pos", "ix"], "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
     return both.unionByName(alone).select(*LIST, F.col("pos").alias("actual"), F.col("ix").alias("expected"), "correct", "missing")
 
 

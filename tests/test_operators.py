@@ -145,3 +145,14 @@ def test_store(spark):
     assert store.deleted(profiles, asks).count() == 0
     drafts = spark.createDataFrame([(1, 1, 7, "a"), (2, 1, 7, "b"), (3, 2, 7, "c"), (1, 3, 7, "z"), (9, 3, 7, "n")], "id long, batch int, owner long, name string")
     assert {r["batch"]: r["result"] for r in store.saved(profiles, drafts).collect()} == {1: "unchanged", 2: "inserted", 3: "conflict"}
+
+
+def test_rows_are_weighed_with_two_joins(spark):
+    """One for exactly correct cells, one for rows without an accepted cell; missing cells beside a correct one need none, and count as often as they are given."""
+    a = spark.createDataFrame([(1, "l", 0, "x", "extracted", "v", [1], [1]), (1, "l", 0, "y", "missing", None, [], [1]), (1, "l", 0, "y", "missing", None, [], [1]), (1, "l", 1, "y", "missing", None, [], [1])],
+        "case_id int, list_id string, pos int, field_id string, status string, value string, pages array<int>, row_pages array<int>")
+    e = spark.createDataFrame([(1, "l", 0, "x", "extracted", ["v", "v"], [1], [1], True), (1, "l", 0, "y", "missing", None, [], [1], False)],
+        "case_id int, list_id string, ix int, field_id string, truth_status string, truth_values array<string>, truth_pages array<int>, truth_row_pages array<int>, present boolean")
+    found = alignment.row_weights(a, e)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "l", 0, 0, 1, 2), (1, "l", 1, 0, 0, 1)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
