@@ -3,7 +3,10 @@
 Only pairs of rows that share something are made: an equi-join on a list's field and value finds the exactly matching
 accepted cells of each pair, another one the agreeing missing cells of rows without an accepted one. Of a list's
 pairs the best chain is then taken: with suffix maxima in a binary indexed tree it costs k log k for k pairs, never the
-product of both lengths, and a task holds the pairs of one list.
+product of both lengths, and a task holds the pairs of one list. Lists of a few rows are weighed many at a time, in a small table.
+
+Joins want their tables dealt out by all their keys, so each of several shuffles every cell. :func:`weighed` and :func:`matched_rows` are unions and
+groupings instead, with the case among their keys: tables dealt out by case beforehand, over equally many tasks, aren't shuffled again.
 
 Actual cells: case_id, list_id, pos (from 0), field_id, status, value, pages, row_pages. Expected cells: case_id, list_id, ix (from 0),
 field_id, truth_status, truth_values (all that count), truth_pages, truth_row_pages, present.
@@ -15,12 +18,18 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from extractlab.operators.ordered import in_order
+from extractlab.operators import structure
 
 LIST = ("case_id", "list_id")
+#: Lists of at most so many rows on both sides are weighed in a table; their weights are below LIGHT, so that their sums are one number.
+SHORT, LIGHT = 12, 1 << 15
 Weight = tuple[int, int, int]
 
 
@@ -79,21 +88,76 @@ def best_chain(pairs: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def short_chains(of: np.ndarray, actual: np.ndarray, expected: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(list, actual, expected) of the best chains of many short lists at once, whose numbers are ``of``: the best sums from each place on, and a
+    walk through them that takes a pair, else skips the actual row, else the expected one."""
+    lists, n, m = int(of.max()) + 1, int(actual.max()) + 1, int(expected.max()) + 1
+    own = np.zeros((n, m, lists), np.int64)
+    own[actual, expected, of] = weight
+    best = np.zeros((n + 1, m + 1, lists), np.int64)
+    for i in reversed(range(n)):
+        for j in reversed(range(m)):
+            best[i, j] = np.maximum(np.maximum(best[i + 1, j], best[i, j + 1]), np.where(own[i, j] > 0, own[i, j] + best[i + 1, j + 1], 0))
+    at, i, j = np.arange(lists), np.zeros(lists, int), np.zeros(lists, int)
+    out = []
+    while len(at):
+        here = best[i, j, at]
+        pair = (own[i, j, at] > 0) & (own[i, j, at] + best[i + 1, j + 1, at] == here)
+        up = here == best[i + 1, j, at]
+        out.append((at[pair], i[pair], j[pair]))
+        i, j = i + (pair | up), j + (pair | ~up)
+        inside = (i < n) & (j < m)
+        at, i, j = at[inside], i[inside], j[inside]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _matched(rows: pa.Table, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The matched rows of whole lists, whose pairs follow each other, each list's first one with a _place of 1."""
+    place, actual, expected, correct, missing = (rows[c].to_numpy() for c in ("_place", "actual", "expected", "correct", "missing"))
+    starts = np.flatnonzero(place == 1)
+    if not len(starts):
+        return
+    of = np.cumsum(place == 1) - 1
+    short = np.maximum.reduceat(np.maximum(actual, expected), starts) < SHORT
+    short &= np.maximum.reduceat(np.maximum(correct, missing), starts) < LIGHT
+    found = [(np.empty(0, int),) * 3]
+    if short.any():
+        few = short[of]
+        number = np.cumsum(short) - 1
+        k, a, e = short_chains(number[of[few]], actual[few], expected[few], (correct[few].astype(np.int64) << 40) + (missing[few].astype(np.int64) << 20) + 1)
+        found.append((np.flatnonzero(short)[k], a, e))
+    for k in np.flatnonzero(~short):
+        own = slice(starts[k], starts[k + 1] if k + 1 < len(starts) else None)
+        chain = best_chain(list(zip(*(c[own].tolist() for c in (actual, expected, correct, missing)), strict=True)))
+        found.append((np.full(len(chain), k), *np.array(chain, int).reshape(-1, 2).T))
+    k, a, e = (np.concatenate(x) for x in zip(*found, strict=True))
+    own = rows.select(out.names[:-2]).take(pa.array(starts[k]))
+    yield from pa.table([*own.columns, pa.array(a, pa.int32()), pa.array(e, pa.int32())], schema=out).to_batches()
+
+
 def align_rows(weights: DataFrame, keys: list[str]) -> DataFrame:
     """Matched (keys, actual, expected) of the pairs (keys, actual, expected, correct, missing) of every list."""
     kinds = dict(weights.dtypes)
-
-    def match(group: Iterator[tuple]) -> Iterator[tuple]:
-        held, own = [], None
-        for row in group:
-            own = row[1 : 1 + len(keys)]
-            held.append(row[1 + len(keys) :])
-        for a, e in best_chain(held):
-            yield (*own, a, e)
-
-    name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_list")
-    part = weights.select(name, *keys, F.col("actual").cast("int"), F.col("expected").cast("int"), F.col("correct").cast("int"), F.col("missing").cast("int"))
-    return in_order(part, "_list", ["actual", "expected"], match, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "actual int", "expected int"]))
+    schema = StructType.fromDDL(", ".join([*(f"{k} {kinds[k]}" for k in keys), "actual int", "expected int"]))
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last list may go on in the next batch
+        for b in batches:
+            starts = np.flatnonzero(b["_place"].to_numpy() == 1)
+            if len(starts):
+                last = int(starts[-1])
+                yield from _matched(pa.Table.from_batches([*held, b.slice(0, last)]), out)
+                held = [b.slice(last)]
+            elif b.num_rows:
+                held.append(b)
+        if held:
+            yield from _matched(pa.Table.from_batches(held), out)
+
+    # The window brings a list's pairs together, with a shuffle only where they aren't yet; its number tells lists apart.
+    part = weights.select(*keys, *(F.col(c).cast("int") for c in ("actual", "expected", "correct", "missing")))
+    part = part.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("actual", "expected"))).sortWithinPartitions(*keys, "actual", "expected")
+    return part.mapInArrow(run, schema)
 
 
 def contained(pages: Column, within: Column) -> Column:
@@ -122,6 +186,56 @@ def row_weights(actual: DataFrame, expected: DataFrame) -> DataFrame:
     return both.unionByName(alone).select(*LIST, F.col("pos").alias("actual"), F.col("ix").alias("expected"), "correct", "missing")
 
 
+def actual_rows(actual: DataFrame) -> DataFrame:
+    """(case_id, list_id, pos, row_pages, cells) of cells: one row for each row of a list."""
+    return actual.groupBy(*LIST, "pos").agg(F.first("row_pages").alias("row_pages"), F.collect_list(F.struct("field_id", "status", "value", "pages")).alias("cells"))
+
+
+def expected_rows(expected: DataFrame) -> DataFrame:
+    """(case_id, list_id, ix, truth_row_pages, truth) of true cells."""
+    cell = F.struct("field_id", "truth_status", "truth_values", "truth_pages", "present")
+    return expected.groupBy(*LIST, "ix").agg(F.first("truth_row_pages").alias("truth_row_pages"), F.collect_list(cell).alias("truth"))
+
+
+def weighed(rows: DataFrame, truth: DataFrame) -> DataFrame:
+    """What :func:`row_weights` says, of whole rows and without a join: what can agree meets in groups by case, field and value, so that
+    rows that are dealt out by case stay where they are."""
+    told = lambda status: F.filter("cells", lambda c: (c["status"] == status) & c["field_id"].isNotNull())
+    mark = lambda field, value, pages: F.struct(field.alias("field_id"), value.alias("value"), pages.alias("pages"))
+    nowhere = F.lit(None).cast("array<int>")
+    # A row with accepted cells is known by their values, one without by its missing cells, whose value is null.
+    own = rows.select(*LIST, "pos", "row_pages", told("extracted").alias("_taken"), F.transform(told("missing"), lambda c: c["field_id"]).alias("_absent"))
+    marks = F.when(F.size("_taken") > 0, F.transform(F.filter("_taken", lambda c: c["value"].isNotNull() & (F.size(c["pages"]) > 0)), lambda c: mark(c["field_id"], c["value"], c["pages"])))
+    own = own.select(*LIST, F.struct("pos", "row_pages", "_absent").alias("a"), F.explode(marks.otherwise(F.transform("_absent", lambda f: mark(f, F.lit(None).cast("string"), nowhere)))).alias("k"))
+    true = lambda status: F.filter("truth", lambda t: (t["truth_status"] == status) & t["field_id"].isNotNull())
+    values = F.flatten(F.transform(true("extracted"), lambda t: F.transform(F.array_compact(F.array_distinct(t["truth_values"])), lambda v: mark(t["field_id"], v, t["truth_pages"]))))
+    gone = F.transform(true("missing"), lambda t: t["field_id"])
+    real = truth.select(*LIST, F.struct("ix", "truth_row_pages", gone.alias("_gone")).alias("e"), F.explode(F.concat(values, F.transform(gone, lambda f: mark(f, F.lit(None).cast("string"), nowhere)))).alias("k"))
+    key = [*LIST, F.col("k.field_id").alias("field_id"), F.col("k.value").alias("value")]
+    both = own.select(*key, F.struct("a.*", "k.pages").alias("a")).unionByName(real.select(*key, F.struct("e.*", "k.pages").alias("e")), allowMissingColumns=True)
+    met = both.groupBy(*LIST, "field_id", "value").agg(F.collect_list("a").alias("a"), F.collect_list("e").alias("e")).where((F.size("a") > 0) & (F.size("e") > 0))
+    pairs = met.select(*LIST, F.col("value").isNotNull().cast("long").alias("correct"), F.explode("a").alias("a"), "e").select(*LIST, "correct", "a", F.explode("e").alias("e"))
+    pairs = pairs.where(contained(F.col("a.row_pages"), F.col("e.truth_row_pages")) & ((F.col("correct") == 0) | contained(F.col("a.pages"), F.col("e.pages"))))
+    beside = F.aggregate("a._absent", F.lit(0), lambda n, f: n + F.size(F.filter("e._gone", lambda g: g == f)))
+    return pairs.select(*LIST, F.col("a.pos").alias("actual"), F.col("e.ix").alias("expected"), "correct", beside.cast("long").alias("missing")).groupBy(
+        *LIST, "actual", "expected").agg(F.sum("correct").alias("correct"), F.max("missing").alias("missing"))
+
+
+def matched_rows(actual: DataFrame, expected: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(case_id, list_id, own: pos, pages, cells, accepted, matched; truth_pages, truth): every actual row with the expected one that it is matched with
+    or, a blank one, that has its place in the gap (see :func:`extractlab.operators.structure.placed`); and every expected row of no actual one, whose ``own`` is null.
+
+    Rows meet as groups of one union, not in joins, so that tables that are dealt out by case stay where they are."""
+    cell = F.struct("field_id", "status", "value", "pages")
+    met = actual.unionByName(pairs.select(*LIST, F.col("actual").alias("pos"), F.col("expected").alias("matched")), allowMissingColumns=True)
+    rows = met.groupBy(*LIST, "pos").agg(F.first("row_pages", True).alias("pages"), F.collect_list(F.when(F.col("matched").isNull(), cell)).alias("cells"), F.max("matched").alias("matched"))
+    rows = structure.placed(rows.withColumn("accepted", F.exists("cells", lambda c: c["status"].eqNullSafe("extracted"))))
+    own = rows.select(*LIST, F.coalesce("ix", -1 - F.col("pos")).alias("_at"), F.struct("pos", "pages", "cells", "accepted", "matched").alias("own"))
+    true = F.struct("field_id", "truth_status", "truth_values", "truth_pages", "present").alias("true")
+    whole = own.unionByName(expected.select(*LIST, F.col("ix").alias("_at"), "truth_row_pages", true), allowMissingColumns=True)
+    return whole.groupBy(*LIST, "_at").agg(F.first("own", True).alias("own"), F.first("truth_row_pages", True).alias("truth_pages"), F.collect_list("true").alias("truth"))
+
+
 def cell_values(actual: DataFrame, expected: DataFrame, pairs: DataFrame) -> DataFrame:
     """Cells with their truth, by the matched rows, as values of a report: kind, identity, pos, status, value, pages, truth_status, truth_value,
     allowed, truth_pages, present. Cells of unmatched rows have no truth; true cells that no row matched have no status."""

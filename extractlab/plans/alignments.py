@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from extractlab.operators import alignment, report, structure
 from extractlab.plans.registry import query
 from extractlab.plans.reports import _ALL, _FLAGS, _RATES, _SUMS, _dialect
-from extractlab.sources.adapters import table
+from extractlab.sources.adapters import LINES, shares, table
 
 _FIELDS = "(SELECT 'flag' AS field_id UNION ALL SELECT 'status' UNION ALL SELECT 'qty')"
 _LINES = "SELECT l_orderkey AS o, l_linenumber AS l, l_returnflag AS flag, l_linestatus AS status, CAST(CAST(l_quantity AS INT) AS STRING) AS qty, l_orderkey + l_linenumber AS k, l_partkey * 100000 + l_suppkey AS u FROM lineitem"
@@ -57,43 +57,51 @@ _PAIRED = f"""expected AS MATERIALIZED (SELECT * FROM {_dialect(_EXPECTED, False
 
 
 def _read(spark, sf):
-    tables = {t: table(spark, sf, t) for t in ("orders", "lineitem")}
+    """What reads a text over lines and orders, and how many tasks these are dealt out over by order: nothing that has the case among its keys is shuffled after that."""
+    lines = table(spark, sf, "lineitem")
+    tasks = shares(lines, LINES)
+    tables = {"orders": table(spark, sf, "orders").repartition(tasks, "o_orderkey"), "lineitem": lines.repartition(tasks, "l_orderkey")}
 
     def read(sql: str):
         sql = _dialect(sql, True)
         for t in tables:
             sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
-        return spark.sql(f"SELECT * FROM {sql} x", **tables)
+        # The case gets a name without a table's: unions keep how their parts are dealt out only by such.
+        return spark.sql(f"SELECT * FROM {sql} x", **tables).withColumnRenamed("case_id", "_case").withColumnRenamed("_case", "case_id")
 
-    return read
+    return read, tasks
 
 
-def _pairs(read):
-    actual, expected = read(_ACTUAL), read(_EXPECTED)
-    return actual, expected, alignment.align_rows(alignment.row_weights(actual, expected), list(alignment.LIST))
+def _weights(actual, expected):
+    return alignment.weighed(alignment.actual_rows(actual), alignment.expected_rows(expected))
 
 
 @query("align_rows", f"WITH RECURSIVE {_PAIRED} SELECT case_id, 'items' AS list_id, CAST(pos AS INT) AS actual, CAST(ix AS INT) AS expected FROM pairs")
 def align_rows(spark, sf):
-    return _pairs(_read(spark, sf))[2]
+    read, _ = _read(spark, sf)
+    return alignment.align_rows(_weights(read(_ACTUAL), read(_EXPECTED)), list(alignment.LIST))
 
 
 def _counts(spark, sf):
-    read = _read(spark, sf)
-    cases = read(_CASES)
-    actual, expected, pairs = _pairs(read)
+    read, tasks = _read(spark, sf)
+    return _counted(*(read(t) for t in (_CASES, _SCALARS, _OF_CASE, _LISTS, _ACTUAL, _EXPECTED)), tasks, ("flag", "qty", "status"))
+
+
+def _counted(cases, scalars, shapes, lists, actual, expected, tasks, fields):
+    """All counters of each case, of tables that are dealt out by case over so many tasks; a row of a list has these fields."""
     under = cases.withColumns(report.context_columns()).select("case_id", "known", "context")
     # Without the right profile nothing is aligned.
-    pairs = pairs.join(under.where("context").select("case_id"), "case_id", "left_semi")
-    of_rows = actual.groupBy("case_id", "list_id", "pos").agg(
-        F.bool_or(F.col("status") == "extracted").alias("accepted"), F.first("row_pages").alias("pages"), F.collect_list(F.when(F.col("status") == "missing", F.col("field_id"))).alias("absent"), F.collect_list("field_id").alias("given"))
-    rows = of_rows.join(pairs.select("case_id", "list_id", F.col("actual").alias("pos"), F.col("expected").alias("matched")), ["case_id", "list_id", "pos"], "left")
-    truth = expected.groupBy("case_id", "list_id", "ix").agg(F.first("truth_row_pages").alias("pages"), F.collect_list(F.when(F.col("present"), F.col("field_id"))).alias("present"))
-    sizes = truth.groupBy("case_id", "list_id").agg(F.count("*").alias("expected_rows"))
-    lists = read(_LISTS).join(sizes, ["case_id", "list_id"], "left").withColumn("expected_rows", F.when(F.col("wanted"), F.coalesce("expected_rows", F.lit(0)))).join(under, "case_id")
-    values = read(_SCALARS).unionByName(alignment.cell_values(actual, expected, pairs))
-    shapes = read(_OF_CASE).unionByName(of_rows.select("case_id", F.array(*(F.lit(c) for c in ("flag", "qty", "status"))).alias("wanted"), "given", F.lit(True).alias("row")))
-    return report.counted(cases, values, shapes, structure.structure(lists, rows, truth))
+    weights = _weights(actual, expected).join(under.where("context").select("case_id"), "case_id")
+    pairs = alignment.align_rows(weights, list(alignment.LIST)).repartition(tasks, "case_id")
+    counts = report.cell_counts(F.array(*(F.lit(c) for c in fields)))
+    by_list = alignment.matched_rows(actual, expected, pairs).select(*alignment.LIST, *(c.alias(k) for k, c in counts.items())).groupBy(*alignment.LIST).agg(*(F.sum(k).alias(k) for k in counts))
+    # Lists with the numbers of their rows; of a list that was not given, the cells count all the same.
+    told = lists.withColumn("_told", F.lit(True)).unionByName(by_list, allowMissingColumns=True)
+    whole = told.groupBy(*alignment.LIST).agg(*(F.max(c).alias(c) for c in ("_told", "status", "wanted", "expected_status", *counts)))
+    whole = whole.withColumn("expected_rows", F.when(F.col("wanted"), F.coalesce("_expected", F.lit(0)))).join(under, "case_id")
+    judged = {k: F.when(F.col("_told"), c).otherwise(0) for k, c in structure.judgement().items()}
+    of_cases = whole.groupBy("case_id").agg(*(F.sum(c).alias(k) for k, c in judged.items()), *(F.sum(c).alias(c) for c in report.CELL_SUMS))
+    return report.counted(cases, scalars, shapes, of_cases)
 
 
 _OWN = {k: x for k, x in _SUMS.items() if k not in ("readable_present_values", "known_readable_values") and "known_values" not in k.replace("known_values_recovered", "") and not k.endswith("readable_present_values")}
