@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from extractlab.functions import scalar as fn
-from extractlab.functions.shapes import Each, Object, OneOf, Text, Union, Whole, entries, is_, items, kind, text
+from extractlab.functions.shapes import Each, Object, OneOf, Text, Union, Whole, bound, entries, is_, items, kind, text
 from extractlab.functions.strict import strict_problem
 from extractlab.operators import contracts, rules
 
@@ -48,44 +48,81 @@ def least(values: Column) -> Column:
     return F.array_min(F.array_compact(values))
 
 
-def date_readings(raw: Column, formats: Column) -> Column:
-    """The different ISO dates that a text can mean in formats that come as data; their literal parts hold no letters."""
+def date_forms(formats: Column) -> Column:
+    """Formats of dates that come as data, ISO among them, ready to be read by: the pattern of a whole text (``whole``) and, of formats with a day, a month and a
+    year each, a date's groups in it (``plain``); else Spark's own spelling (``spelled``). Their literal parts hold no letters."""
 
-    def read(form: Column) -> Column:
+    def ready(form: Column) -> Column:
         quoted = F.regexp_replace(form, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
-        pattern = F.replace(F.replace(F.replace(quoted, F.lit("%Y"), F.lit("[0-9]{4}")), F.lit("%d"), F.lit("[0-9]{1,2}")), F.lit("%m"), F.lit("[0-9]{1,2}"))
-        spelled = F.replace(F.replace(F.replace(form, F.lit("%Y"), F.lit("yyyy")), F.lit("%d"), F.lit("d")), F.lit("%m"), F.lit("M"))
-        whole = F.concat(F.lit(r"\A"), pattern, F.lit(r"\z"))
-        return F.when(F.regexp_like(raw, whole), F.date_format(F.try_to_timestamp(raw, spelled), "yyyy-MM-dd"))
+        plain = F.sort_array(F.regexp_extract_all(form, F.lit("%[Ymd]"), F.lit(0))) == F.array(F.lit("%Y"), F.lit("%d"), F.lit("%m"))
+
+        def put(text: Column, *parts: str) -> Column:
+            for name, part in zip(("%Y", "%d", "%m"), parts, strict=True):
+                text = F.replace(text, F.lit(name), F.lit(part))
+            return text
+
+        named, bare = put(quoted, "(?<y>[0-9]{4})", "(?<d>0?[1-9]|[12][0-9]|3[01])", "(?<m>0?[1-9]|1[0-2])"), put(quoted, "[0-9]{4}", "[0-9]{1,2}", "[0-9]{1,2}")
+        return F.struct(F.concat(F.lit(r"\A"), F.when(plain, named).otherwise(bare), F.lit(r"\z")).alias("whole"), put(form, "yyyy", "d", "M").alias("spelled"), plain.alias("plain"))
+
+    return F.transform(F.array_distinct(F.concat(F.array(F.lit("%Y-%m-%d")), formats)), ready)
 
-    ways = F.array_distinct(F.concat(F.array(F.lit("%Y-%m-%d")), formats))
-    return F.array_distinct(F.array_compact(F.transform(ways, read)))
+
+def date_readings(raw: Column, forms: Column) -> Column:
+    """The different ISO dates that a text can mean in :func:`date_forms`."""
+
+    def read(form: Column) -> Column:
+        # A cast costs less than a formatter, whose exceptions for texts that are no date are dear; so are a cast's, which only days beyond a month's end get.
+        date = F.regexp_replace(raw, form["whole"], F.lit("${y}-${m}-${d}")).try_cast("date").cast("string")
+        fits = F.regexp_like(raw, form["whole"])
+        return F.when(fits, F.when(form["plain"], date).otherwise(F.date_format(F.try_to_timestamp(raw, form["spelled"]), "yyyy-MM-dd")))
+
+    return F.array_distinct(F.array_compact(F.transform(forms, read)))
 
 
 def _pages(values: Column) -> Column:
     """An array of whole numbers as such; null if any is none."""
-    fine = F.forall(values, lambda x: kind(x) == "BIGINT")
-    return F.when(values.isNotNull() & is_(fine), F.transform(values, lambda x: F.try_variant_get(x, "$", "bigint")))
+    whole = F.transform(values, lambda x: F.when(kind(x) == "BIGINT", F.try_variant_get(x, "$", "bigint")))
+    return bound(whole, lambda own: F.when(~F.exists(own, lambda x: x.isNull()), own))
+
+
+def _twice(pages: Column) -> Column:
+    return (F.size(pages) > 1) & ~rules.unique(pages)
+
+
+def _beyond(pages: Column, within: Column) -> Column:
+    """Whether a page is not among others."""
+    return F.exists(pages, lambda p: ~F.array_contains(within, p))
+
+
+#: Of cells whose parts all have their types, what they are by the type of ``v``.
+TYPED = {f"OBJECT<p: ARRAY<{pages}>, s: STRING, v: {value}>": value for pages in ("BIGINT", "VOID") for value in ("STRING", "BOOLEAN", "VOID")}
 
 
 def _told(cells: Column) -> Column:
-    """Cells (declaration ``d``, map ``m``) with their parts by type."""
-    return F.transform(
-        cells,
-        lambda c: F.struct(
-            c["d"].alias("d"), (F.array_sort(F.map_keys(c["m"])) == F.array(F.lit("p"), F.lit("s"), F.lit("v"))).alias("keys"), text(F.try_element_at(c["m"], F.lit("s"))).alias("status"),
-            kind(F.try_element_at(c["m"], F.lit("v"))).alias("kind"), F.try_variant_get(F.try_element_at(c["m"], F.lit("v")), "$", "string").alias("raw"),
-            items(F.try_element_at(c["m"], F.lit("p"))).alias("listed"), _pages(items(F.try_element_at(c["m"], F.lit("p")))).alias("pages"),
-        ),
-    )
+    """Cells (declaration ``d``, value ``c``, its type ``of``) with their parts by type. A cell of the right types is read at once, another part by part."""
+
+    def all_numbers(pages: Column) -> Column:
+        return F.when(~F.exists(pages, lambda p: p.isNull()), pages)
+
+    def typed(z: Column) -> Column:
+        read = F.try_variant_get(z["c"], "$", "struct<s: string, v: string, p: array<bigint>>")
+        value = F.when(z["of"].endswith("v: STRING>"), "STRING").when(z["of"].endswith("v: BOOLEAN>"), "BOOLEAN").otherwise("VOID")
+        return bound(read, lambda c: F.struct(z["d"].alias("d"), F.lit(True).alias("keys"), c["s"].alias("status"), value.alias("kind"), c["v"].alias("raw"), F.lit(True).alias("listed"), all_numbers(c["p"]).alias("pages")))
+
+    def part_by_part(z: Column) -> Column:
+        at = lambda m, name: F.try_element_at(m, F.lit(name))
+        return bound(entries(z["c"]), lambda m: F.struct(
+            z["d"].alias("d"), ((F.size(m) == 3) & at(m, "s").isNotNull() & at(m, "v").isNotNull() & at(m, "p").isNotNull()).alias("keys"), text(at(m, "s")).alias("status"),
+            kind(at(m, "v")).alias("kind"), F.try_variant_get(at(m, "v"), "$", "string").alias("raw"), items(at(m, "p")).isNotNull().alias("listed"), _pages(items(at(m, "p"))).alias("pages"),
+        ))
+
+    return F.transform(cells, lambda z: F.when(z["of"].isin(*TYPED), typed(z)).otherwise(part_by_part(z)))
 
 
 def _normal(c: Column) -> Column:
     """A value's normal form by its declared type; null if it has none."""
     said = c["kind"] == "STRING"
-    # The readings are bound by a lambda, so that they are worked out once.
-    one = F.transform(F.array(date_readings(c["raw"], c["d"]["formats"])), lambda read: F.when(F.size(read) == 1, F.get(read, F.lit(0))).when(F.size(read) == 0, c["raw"]))
-    date = F.get(one, F.lit(0))
+    date = bound(date_readings(c["raw"], c["d"]["forms"]), lambda read: F.when(F.size(read) == 1, F.get(read, F.lit(0))).when(F.size(read) == 0, c["raw"]))
     declared = c["d"]["kind"]
     return (
         F.when(declared == "boolean", F.when(c["kind"] == "BOOLEAN", c["raw"])).when(~is_(said), F.lit(None))
@@ -104,9 +141,9 @@ def _settled(cells: Column, in_list: bool) -> Column:
         raw = F.when(c["kind"] != "VOID", c["raw"])
         judged = c["status"] if in_list else status
         problem = first(
-            ("wire_object_keys", ~is_(c["keys"])), ("wire_pages_type", c["listed"].isNull()),
-            ("wire_value_type", ~is_(c["status"].isin(*STATUSES)) | ~is_(c["kind"].isin("STRING", "BOOLEAN", "VOID")) | (c["listed"].isNotNull() & c["pages"].isNull())),
-            ("pages_invalid", ~rules.unique(c["pages"]) | F.exists(c["pages"], lambda p: p < 1)),
+            ("wire_object_keys", ~is_(c["keys"])), ("wire_pages_type", ~c["listed"]),
+            ("wire_value_type", ~is_(c["status"].isin(*STATUSES)) | ~is_(c["kind"].isin("STRING", "BOOLEAN", "VOID")) | (c["listed"] & c["pages"].isNull())),
+            ("pages_invalid", _twice(c["pages"]) | F.exists(c["pages"], lambda p: p < 1)),
             ("raw_required", F.lit(in_list) & (c["status"] == "extracted") & raw.isNull()), ("raw_forbidden", ~judged.isin("extracted", "invalid") & raw.isNotNull()),
             ("pages_required", raw.isNotNull() & (F.size(c["pages"]) == 0)),
         )
@@ -116,11 +153,12 @@ def _settled(cells: Column, in_list: bool) -> Column:
 
 
 def _cells(declared: Column, found: Column) -> Column:
-    return F.transform(declared, lambda d: F.struct(d.alias("d"), entries(F.try_element_at(found, d["id"])).alias("m")))
+    own = F.transform(declared, lambda d: F.struct(d.alias("d"), F.try_element_at(found, d["id"]).alias("c")))
+    return F.transform(own, lambda z: F.struct(z["d"].alias("d"), z["c"].alias("c"), kind(z["c"]).alias("of")))
 
 
 def _same_names(found: Column, wanted: Column) -> Column:
-    return is_(F.array_sort(F.map_keys(found)) == F.array_sort(wanted))
+    return is_(F.sort_array(F.map_keys(found)) == F.sort_array(wanted))
 
 
 def _rows(declared: Column, listed: Column, first_page: Column) -> Column:
@@ -142,11 +180,11 @@ def _rows(declared: Column, listed: Column, first_page: Column) -> Column:
         z, pages = r["z"], r["pages"]
         names = F.array(*(F.lit(n) for n in ("cells", "continues_next", "continues_previous", "pages")))
         problem = least(F.concat(F.array(first(
-            ("wire_object_keys", ~is_(F.array_sort(F.map_keys(z["m"])) == names) | ~_same_names(z["cells"], F.transform(declared, lambda d: d["id"]))),
+            ("wire_object_keys", ~is_(F.sort_array(F.map_keys(z["m"])) == names) | ~_same_names(z["cells"], F.transform(declared, lambda d: d["id"]))),
             ("wire_pages_type", z["listed"].isNull()),
             ("wire_value_type", (z["listed"].isNotNull() & pages.isNull()) | ~is_((z["before_kind"] == "BOOLEAN") & (z["after_kind"] == "BOOLEAN"))),
-            ("pages_invalid", ~rules.unique(pages) | F.exists(pages, lambda p: p < 1)), ("pages_required", F.size(pages) == 0),
-            ("cell_pages_outside_row", F.exists(r["cells"], lambda c: ~rules.subset(c["pages"], pages))),
+            ("pages_invalid", _twice(pages) | F.exists(pages, lambda p: p < 1)), ("pages_required", F.size(pages) == 0),
+            ("cell_pages_outside_row", F.exists(r["cells"], lambda c: _beyond(c["pages"], pages))),
             ("boundary_flags", (z["before"] & (z["i"] != 0)) | (z["after"] & (z["i"] != last))),
         )), F.transform(r["cells"], lambda c: c["problem"])))
         key = F.concat(F.lit("batch:"), first_page.cast("string"), F.lit(":row:"), z["i"].cast("string"))
@@ -155,10 +193,9 @@ def _rows(declared: Column, listed: Column, first_page: Column) -> Column:
     return F.transform(read, settle)
 
 
-def _list_problem(status: Column, whole: Column, reason: Column, cells: Column, by: str) -> Column:
-    """The first rule of lists that is broken, of all cells' statuses under one name."""
-    accepted, resolved = F.exists(cells, lambda c: c[by] == "extracted"), F.forall(cells, lambda c: c[by].isin("extracted", "missing"))
-    return first(*contracts.list_rules(status, whole, reason, is_(accepted), is_(resolved)).items())
+def _list_problem(status: Column, whole: Column, reason: Column, of: Column, by: str) -> Column:
+    """The first rule of lists that is broken, of what was said of all cells' statuses under one name."""
+    return first(*contracts.list_rules(status, whole, reason, of[f"{by}_accepted"], of[f"{by}_resolved"]).items())
 
 
 def _lists(declared: Column, found: Column, first_page: Column, pages: Column) -> Column:
@@ -174,36 +211,51 @@ def _lists(declared: Column, found: Column, first_page: Column, pages: Column) -
     )
     read = F.transform(told, lambda z: F.struct(z.alias("z"), _rows(z["d"]["columns"], z["listed"], first_page).alias("rows")))
     flat = F.transform(read, lambda r: F.struct(r["z"].alias("z"), r["rows"].alias("rows"), F.flatten(F.transform(r["rows"], lambda w: w["cells"])).alias("cells")))
+    some = lambda cells, test: is_(F.exists(cells, test))
+    settled = ("extracted", "missing")
+
+    def judged(cells: Column, by: str) -> list[Column]:
+        return [some(cells, lambda c: c[by] == "extracted").alias(f"{by}_accepted"), is_(F.forall(cells, lambda c: c[by].isin(*settled))).alias(f"{by}_resolved")]
+
+    weighed = F.transform(
+        flat,
+        lambda r: F.struct(
+            r["z"].alias("z"), r["rows"].alias("rows"),
+            some(r["cells"], lambda c: (c["status"] != c["original"]) | c["normalized"].isNotNull()).alias("changed"), some(r["cells"], lambda c: ~c["status"].isin(*settled)).alias("open"),
+            *judged(r["cells"], "original"), *judged(r["cells"], "status"),
+        ),
+    )
 
-    def settle(r: Column) -> Column:
-        z, cells = r["z"], r["cells"]
-        names = F.array(*(F.lit(n) for n in ("enumeration_complete", "reason", "rows", "status")))
+    def judge(r: Column) -> Column:
         # An unresolved cell that the reply had taken for granted makes the list partial, or unresolved as invalid.
-        changed = is_(F.exists(cells, lambda c: (c["status"] != c["original"]) | c["normalized"].isNotNull()))
-        open_ = is_(F.exists(cells, lambda c: ~c["status"].isin("extracted", "missing")))
-        accepted = is_(F.exists(cells, lambda c: c["status"] == "extracted"))
-        status = F.when(changed & open_, F.when(accepted, "partial").otherwise("unresolved")).otherwise(z["status"])
-        reason = F.when(changed & open_, F.when(~accepted, "invalid")).otherwise(z["reason"])
+        turned, accepted = r["changed"] & r["open"], r["status_accepted"]
+        status = F.when(turned, F.when(accepted, "partial").otherwise("unresolved")).otherwise(r["z"]["status"])
+        reason = F.when(turned, F.when(~accepted, "invalid")).otherwise(r["z"]["reason"])
+        return F.struct(r.alias("r"), status.alias("status"), reason.alias("reason"))
+
+    def settle(x: Column) -> Column:
+        r, z = x["r"], x["r"]["z"]
+        names = F.array(*(F.lit(n) for n in ("enumeration_complete", "reason", "rows", "status")))
         problem = least(F.concat(F.array(
             first(
-                ("wire_object_keys", ~is_(F.array_sort(F.map_keys(z["m"])) == names)), ("wire_rows_type", z["listed"].isNull()),
+                ("wire_object_keys", ~is_(F.sort_array(F.map_keys(z["m"])) == names)), ("wire_rows_type", z["listed"].isNull()),
                 ("wire_value_type", ~is_(z["status"].isin(*LIST_STATUSES)) | ~is_(z["whole_kind"] == "BOOLEAN") | ~is_((z["reason_kind"] == "VOID") | z["reason"].isin(*REASONS))),
-                ("pages_unavailable", F.exists(r["rows"], lambda w: ~rules.subset(w["pages"], pages))),
+                ("pages_unavailable", F.exists(r["rows"], lambda w: _beyond(w["pages"], pages))),
             ),
-            _list_problem(z["status"], z["whole"], z["reason"], cells, "original"), _list_problem(status, z["whole"], reason, cells, "status"),
+            _list_problem(z["status"], z["whole"], z["reason"], r, "original"), _list_problem(x["status"], z["whole"], x["reason"], r, "status"),
         ), F.coalesce(F.transform(r["rows"], lambda w: w["problem"]), F.array().cast("array<int>"))))
-        return F.struct(z["d"]["id"].alias("field_id"), status.alias("status"), reason.alias("reason"), z["whole"].alias("enumeration_complete"), r["rows"].alias("rows"), problem.alias("problem"))
+        return F.struct(z["d"]["id"].alias("field_id"), x["status"].alias("status"), x["reason"].alias("reason"), z["whole"].alias("enumeration_complete"), r["rows"].alias("rows"), problem.alias("problem"))
 
-    return F.transform(flat, settle)
+    return F.transform(F.transform(weighed, judge), settle)
 
 
 def profile_shapes(declarations: DataFrame) -> DataFrame:
     """(profile, scalars, lists) of declarations (profile, list_id or null, field_id, kind, formats, place): a profile's fields in one row."""
     one = F.struct("place", F.col("field_id").alias("id"), "kind", F.coalesce("formats", F.array().cast("array<string>")).alias("formats"))
-    bare = lambda c: F.transform(F.array_sort(c), lambda d: F.struct(d["id"].alias("id"), d["kind"].alias("kind"), d["formats"].alias("formats")))
+    bare = lambda c: F.transform(F.array_sort(c), lambda d: F.struct(d["id"].alias("id"), d["kind"].alias("kind"), date_forms(d["formats"]).alias("forms")))
     parts = declarations.groupBy("profile", "list_id").agg(bare(F.collect_list(one)).alias("columns"), F.min("place").alias("place"))  # a declaration's few rows
     lists = F.array_sort(F.collect_list(F.when(F.col("list_id").isNotNull(), F.struct("place", F.col("list_id").alias("id"), "columns"))))
-    scalars = F.coalesce(F.max(F.when(F.col("list_id").isNull(), F.col("columns"))), F.array().cast("array<struct<id:string,kind:string,formats:array<string>>>"))
+    scalars = F.coalesce(F.max(F.when(F.col("list_id").isNull(), F.col("columns"))), F.array().cast("array<struct<id:string,kind:string,forms:array<struct<whole:string,spelled:string,plain:boolean>>>>"))
     return parts.groupBy("profile").agg(scalars.alias("scalars"), F.transform(lists, lambda x: F.struct(x["id"].alias("id"), x["columns"].alias("columns"))).alias("lists"))
 
 
@@ -214,21 +266,21 @@ def parsed_batches(replies: DataFrame, shapes: DataFrame, key: str) -> DataFrame
     j = F.col
     rows = replies.join(shapes, "profile").withColumns({"_strict": strict_problem(j("text")), "_root": entries(F.try_parse_json("text"))})
     part = lambda name: entries(F.try_element_at(j("_root"), F.lit(name)))
-    rows = rows.withColumns({"_fields": part("fields"), "_lists": part("lists"), "_pages": part("membership")})
+    rows = rows.withColumns({"_fields": part("fields"), "_lists": part("lists"), "_pages": part("membership"), "_own": j("pages").cast("array<bigint>")})
     rows = rows.withColumns({
         "_values": _settled(_told(_cells(j("scalars"), j("_fields"))), False),
-        "_found": _lists(j("lists"), j("_lists"), F.get("pages", F.lit(0)), j("pages").cast("array<bigint>")),
+        "_found": _lists(j("lists"), j("_lists"), F.get("pages", F.lit(0)), j("_own")),
         "_told": F.transform("pages", lambda p: F.struct(p.alias("page"), text(F.try_element_at(j("_pages"), p.cast("string"))).alias("status"))),
     })
     names = F.array(F.lit("fields"), F.lit("lists"), F.lit("membership"))
     ids = lambda declared: F.transform(declared, lambda d: d["id"])
     keys = (
-        is_(F.array_sort(F.map_keys("_root")) == names) & _same_names(j("_fields"), ids(j("scalars"))) & _same_names(j("_lists"), ids(j("lists")))
+        is_(F.sort_array(F.map_keys("_root")) == names) & _same_names(j("_fields"), ids(j("scalars"))) & _same_names(j("_lists"), ids(j("lists")))
         & _same_names(j("_pages"), F.transform("pages", lambda p: p.cast("string")))
     )
     own = first(
         ("wire_object_keys", ~keys), ("wire_value_type", F.exists("_told", lambda t: ~is_(t["status"].isin(*MEMBERSHIPS)))),
-        ("pages_unavailable", F.exists("_values", lambda c: ~rules.subset(c["pages"], j("pages").cast("array<bigint>")))),
+        ("pages_unavailable", F.exists("_values", lambda c: _beyond(c["pages"], j("_own")))),
     )
     worst = least(F.concat(F.array(own), F.transform("_values", lambda c: c["problem"]), F.transform("_found", lambda x: x["problem"])))
     problem = F.coalesce("_strict", F.get(F.array(*(F.lit(c) for c in CODES)), worst))
