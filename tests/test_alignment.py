@@ -24,6 +24,12 @@ def test_what_is_dealt_out_by_case_stays(spark, name):
     assert plan.count("ENSURE_REQUIREMENTS") == 0 and "REPARTITION_BY_NUM" in plan
 
 
+def test_the_report_shuffles_only_its_sums(spark):
+    """The counters of cases are summed by label: one shuffle more than for the counters themselves."""
+    plan = catalog.queries()["list_report"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ENSURE_REQUIREMENTS") == 1
+
+
 def tables(spark, seed, fields):
     """Lists with wrong, blank, absent and foreign cells, null values and no pages, on one or two lists of a case."""
     r = random.Random(seed)
